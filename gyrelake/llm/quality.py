@@ -26,15 +26,10 @@ LABELLED, UNLABELLED = 20_000, 20_000
 ROUNDS, SHARE, SURE = 4, 0.05, 0.95
 #: Values of source and language that get a weight of their own at most; all others share one.
 VALUES = 200
-TEXT_FEATURES = ("length", "symbols", "digits", "uppers", "spaces", "lines", "pipes", "ends", "word_length", "repeats", "short")
+TEXT_FEATURES = ("length", "symbols", "digits", "uppers", "spaces", "lines", "pipes", "ends", "word_length", "repeats", "twice", "short")
 META_NUMBERS = ("declared", "agrees", "missing")
 
 
-def _share(text: Column, pattern: str) -> Column:
-    """How many of a text's characters a class of characters covers."""
-    return F.length(F.regexp_replace(text, pattern, "")) / F.greatest(F.length(text), F.lit(1))
-
-
 def text_view(text: Column) -> dict[str, Column]:
     text = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(text), F.lit(1)).cast("double")
@@ -54,6 +49,7 @@ def text_view(text: Column) -> dict[str, Column]:
         "ends": F.sqrt(gone(".,;:!?")),
         "word_length": F.log1p(n / (spaces * n + lines)),
         "repeats": 1 - F.size(F.array_distinct(pieces)) / F.greatest(F.size(pieces), F.lit(1)),
+        "twice": F.sqrt(F.regexp_count(text, F.lit(r"(?<!\S)(\S++) (?=\1(?!\S))")) / (spaces * n + lines)),
         "short": 1 / F.sqrt(n),
     }
 
