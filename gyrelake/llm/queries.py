@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyrelake.llm import exact_dedup, packing, pii, quality, sentencepieces, topk, toxicity
+from gyrelake.llm import exact_dedup, near_dedup, packing, pii, quality, repeats, sentencepieces, topk, toxicity
 from gyrelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = toxicity.fit(docs, labels.where(~held_out))
     scored = toxicity.toxicity(docs, machine)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op3_near_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op10_repeated_strings")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated(table(spark, sf_dir, "documents"))

@@ -6,8 +6,8 @@ dots inside or a new ending still shares most of its weight with the insult itse
 digits that stand for letters count as those, and a row of single letters counts as one word.
 
 Training reads a bounded sample of labelled documents, cut into sentences; equal sentences count once. A sentence of a
-toxic document is only possibly toxic, so the words that occur in sentences of toxic documents and hardly in others
-become the positive words, and common or similar-looking words of clean sentences the negative ones. Landmarks are drawn
+toxic document is only possibly toxic, so the words that begin as words do that occur in sentences of toxic documents
+and hardly in others become the positive words, and common or similar-looking words of clean sentences the negative ones. Landmarks are drawn
 from both. The kernel's values at the landmarks, whitened, are the features of a linear SVM with squared hinge loss;
 hard negatives are added over rounds. As the kernel is a product of subsequence counts, the trained machine folds into
 one weight per subsequence, and every distinct word of a text costs a few table lookups.
@@ -39,7 +39,7 @@ LETTERS = 48
 #: Longest part of a word that is compared; longer ones are read in overlapping parts of this length.
 LONGEST = 24
 #: Bounds of the fit: labelled documents, words of each kind, landmarks, hard-negative rounds.
-LABELLED, POSITIVE, NEGATIVE, LANDMARKS, ROUNDS = 12_000, 600, 6_000, 120, 4
+LABELLED, POSITIVE, NEGATIVE, LANDMARKS, ROUNDS = 12_000, 500, 3_000, 120, 4
 #: Scores of words that a task remembers.
 KNOWN = 500_000
 #: Digits and signs read as letters (fixed values).
@@ -104,7 +104,7 @@ def spread(rows: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-9)
 
 
-def margins(words: list[str], table: np.ndarray, bias: float, kernel_norm=None) -> np.ndarray:
+def margins(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
     """The machine's margin for each word: its best part's."""
     out = np.full(len(words), -2.0)
     for at in range(0, len(words), 4096):
@@ -127,16 +127,16 @@ def margins(words: list[str], table: np.ndarray, bias: float, kernel_norm=None)
     return out
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-3, steps: int = 25) -> tuple[np.ndarray, float]:
+def train_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float, steps: int = 25) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss by Newton steps on the rows inside the margin; y is +1 or -1."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     reg = ridge * np.eye(len(w))
-    reg[-1, -1] = 1e-9
+    reg[-1, -1] = 1e-9  # the bias is free
     for _ in range(steps):
         inside = y * (x @ w) < 1
         a = x[inside] * cost[inside][:, None]
-        new = np.linalg.solve(a.T @ x[inside] / len(x) + reg, a.T @ y[inside] / len(x))
+        new = np.linalg.solve(a.T @ x[inside] + reg, a.T @ y[inside])
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -227,9 +227,12 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 7) -> Machine | None:
     if not share[0] or not share[1]:
         return None
     base = share[0] / (share[0] + share[1])
-    gain = F.col("pos") * F.log((F.col("pos") + 0.1) / ((F.col("pos") + F.col("neg") + 0.1) * base))
-    positive = words.where((F.col("pos") >= 4) & (F.col("neg") <= F.col("pos") * 0.02)).orderBy(gain.desc(), "word").limit(POSITIVE).toPandas()
-    positive = positive[positive["pos"] * np.log(1 / base) > np.log(share[0] + share[1])]
+    # a beginning that many words share tells more than each of its rare words
+    begun = words.where(F.length("word") >= 4).withColumn("stem", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(4), F.lit(7)), lambda n: F.substr("word", F.lit(1), n)))))
+    stems = begun.groupBy("stem").agg(F.sum("pos").alias("stem_pos"), F.sum("neg").alias("stem_neg"))
+    told = stems.where((F.col("stem_pos") * float(np.log(1 / base)) > float(np.log(share[0] + share[1]))) & (F.col("stem_neg") <= F.col("stem_pos") * 0.01))
+    positive = begun.join(told, "stem").where("pos > 0 and neg <= pos * 0.02").groupBy("word").agg(F.max("pos").alias("pos"), F.max("stem_pos").alias("stem_pos"))
+    positive = positive.orderBy(F.desc(F.log1p("pos") + F.log1p("stem_pos")), "word").limit(POSITIVE).toPandas()
     if not len(positive):
         return None
     chosen = set(positive["word"])
@@ -238,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 7) -> Machine | None:
     frequent = clean.orderBy(F.desc("neg"), "word").limit(NEGATIVE // 2)
     pool = clean.orderBy(F.xxhash64("word"), "word").limit(20 * NEGATIVE)
     negative = [w for w in frequent.toPandas()["word"] if w not in chosen]
-    pool = [w for w in pool.toPandas()["word"] if w not in chosen and w not in set(negative[:0])]
+    pool = [w for w in pool.toPandas()["word"] if w not in chosen]
     words.unpersist()
     rng = np.random.default_rng(seed)
     table, bias = _machine(list(positive["word"]), np.log1p(positive["pos"].to_numpy(float)), negative, pool, rng)
@@ -277,16 +280,18 @@ def _machine(positive: list[str], weight: np.ndarray, negative: list[str], pool:
     for step in range(ROUNDS):
         x = np.concatenate([xp, xn])
         y = np.append(np.ones(len(xp)), -np.ones(len(xn)))
-        cost = np.append(weight / weight.mean(), np.full(len(xn), max(len(xp), 1) * 2.0 / max(len(xn), 1)))
-        w, bias = train_svm(x, y, cost)
+        # both kinds weigh the same in all; the ridge is a tenth of an average positive word
+        cost = np.append(0.5 * weight / weight.sum(), np.full(len(xn), 0.5 / max(len(xn), 1)))
+        w, bias = train_svm(x, y, cost, ridge=0.05 / len(xp))
         table = anchors_t @ (white @ w)
         if step + 1 < ROUNDS and pool:
             m = margins(pool, table, bias)
-            hard = [pool[i] for i in np.argsort(-m)[: NEGATIVE // 4] if m[i] > -1]
+            order = np.argsort(-m)
+            hard = [pool[i] for i in order[: NEGATIVE // 4] if m[i] > -1]
             if not hard:
                 break
             xn = np.concatenate([xn, features(hard)])
-            pool = [p for p, v in zip(pool, m.tolist(), strict=True) if v <= np.sort(m)[-min(len(hard), len(m))]] if hard else pool
+            pool = [pool[i] for i in order[len(hard) :]]
     return table, bias
 
 
