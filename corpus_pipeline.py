@@ -1,5 +1,65 @@
-"""A pipeline of stages over `documents`."""
-STAGES = []
+"""The corpus pipeline: five stages over `documents`, each of which reads what the one before has written.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gyrelake.llm import exact_dedup, near_dedup, packing, pii, quality
+from gyrelake.llm.common import table, written
+from gyrelake.llm.queries import vocabulary
+
+#: Documents less likely than this to be of good quality go. Low, so that a clean document is not lost to a doubt.
+LEAST_QUALITY = 0.3
+#: Shared shingles in 100 of all that make two documents near duplicates.
+LEAST_SHARED = 80
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier does not reject."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"), LEAST_QUALITY)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest doc_id."""
+    return exact_dedup.dedup_exact(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id."""
+    return near_dedup.dedup_near(docs, LEAST_SHARED)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with spans of personal data replaced by their kind, and n_chars of the new texts."""
+    out = pii.redacted(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 1024 tokens."""
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("exact_dedup", without_copies),
+    ("near_dedup", without_near_copies),
+    ("pii", without_personal_data),
+    ("packing", packed),
+]
+#: No SQL states a trained classifier or best-fit packing; tests hold each stage against a plain version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; each one's result is written and reread as the next one's documents."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = written(docs)
+    return docs

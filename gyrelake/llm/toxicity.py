@@ -5,7 +5,7 @@ Two words are alike by the subsequences of three letters they share, where lette
 dots inside or a new ending still shares most of its weight with the insult itself. Signs inside a word are left out,
 digits that stand for letters count as those, and a row of single letters counts as one word.
 
-Training reads a bounded sample of labelled documents, cut into sentences; equal sentences count once. A sentence of a
+Training reads a bounded sample of labelled documents, cut into sentences; equal places count once. A sentence of a
 toxic document is only possibly toxic, so the words that begin as words do that occur in sentences of toxic documents
 and hardly in others become the positive words, and common or similar-looking words of clean sentences the negative ones. Landmarks are drawn
 from both. The kernel's values at the landmarks, whitened, are the features of a linear SVM with squared hinge loss;
@@ -22,7 +22,6 @@ of both kinds every document scores 0.0; empty tables give empty results.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 from functools import partial
 
@@ -190,18 +189,19 @@ def words_of(text: str) -> set[str]:
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sentence's hash, word, label) for the distinct words of every sentence."""
+    """(hash of the word before, word, label) for the words of every sentence."""
     for batch in batches:
         out = [], [], []
         for text, y in zip(batch["text"].to_pylist(), batch["y"].to_pylist(), strict=True):
-            for sentence in SENTENCE.split(unicodedata.normalize("NFC", text or "")):
-                if sentence:
-                    key = hash_of(sentence)
-                    words = {w.strip(".,;:!?\"'()[]|") for w in words_of(sentence)} - {""}
-                    out[0].extend([key] * len(words))
-                    out[1].extend(words)
-                    out[2].extend([y] * len(words))
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32())], names=["sentence", "word", "y"])
+            found = set()
+            for sentence in SENTENCE.split(text or ""):
+                words = [w for w in (w.strip(".,;:!?\"'()[]|") for w in sentence.lower().split()) if w]
+                found.update(zip(["", *words], words))
+                found.update(("", "".join(m.group().split())) for m in SPELLED.finditer(sentence.lower()))
+            out[0].extend(hash_of(a) for a, _ in found)
+            out[1].extend(w for _, w in found)
+            out[2].extend([y] * len(found))
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32())], names=["before", "word", "y"])
 
 
 def hash_of(text: str) -> int:
@@ -219,9 +219,10 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 7) -> Machine | None:
     n = marked.count()
     near = F.pmod(F.xxhash64("labelled_id", F.lit("toxic")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, LABELLED * 0.95 / max(n, 1)))
     sample = docs.select("doc_id", "text").join(F.broadcast(marked.where(near)), F.col("doc_id") == F.col("labelled_id")).select("text", "y").persist()
-    rows = sample.mapInArrow(_word_rows, "sentence long, word string, y int")
-    # equal sentences count once, as toxic only where all their documents are
-    once = rows.groupBy("sentence", "word").agg(F.min("y").alias("y"))
+    rows = sample.mapInArrow(_word_rows, "before long, word string, y int")
+    # a word counts once for each word that it follows, so that copies of a document, and near copies, tell no more
+    # than one; it counts as toxic there only where all its documents are
+    once = rows.groupBy("before", "word").agg(F.min("y").alias("y"))
     words = once.groupBy("word").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).persist()
     share = words.agg(F.sum("pos"), F.sum("neg")).first()
     if not share[0] or not share[1]:
@@ -236,6 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 7) -> Machine | None:
     if not len(positive):
         return None
     chosen = set(positive["word"])
+    print("DBG", len(positive), positive.head(40).values.tolist(), positive.tail(40).values.tolist())
     # clean words: the commonest half, and a hash's choice of the others
     clean = words.where((F.col("neg") > 0) & (F.col("pos") <= F.col("neg")))
     frequent = clean.orderBy(F.desc("neg"), "word").limit(NEGATIVE // 2)
