@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyrelake.llm import exact_dedup, near_dedup, packing, pii, quality, repeats, sentencepieces, topk, toxicity
+from gyrelake.llm import exact_dedup, lm_scoring, near_dedup, packing, pii, quality, repeats, sentencepieces, topk, toxicity
 from gyrelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_repeated_strings")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated(table(spark, sf_dir, "documents"))
+
+
+@query("op7_lm_scoring")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scores(table(spark, sf_dir, "documents"))

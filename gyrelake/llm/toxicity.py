@@ -12,8 +12,7 @@ from both. The kernel's values at the landmarks, whitened, are the features of a
 hard negatives are added over rounds. As the kernel is a product of subsequence counts, the trained machine folds into
 one weight per subsequence, and every distinct word of a text costs a few table lookups.
 
-A document's score is a logistic step, fitted on the labelled sample, over its highest word margin and the share of its
-next ones.
+A document's score is a logistic step, fitted on the labelled sample, over the highest margins of its distinct words.
 
 Defined results: a null or empty text scores as one without words; rows with equal texts score equally; without labels
 of both kinds every document scores 0.0; empty tables give empty results.
@@ -22,6 +21,7 @@ of both kinds every document scores 0.0; empty tables give empty results.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 from functools import partial
 
@@ -38,7 +38,7 @@ LETTERS = 48
 #: Longest part of a word that is compared; longer ones are read in overlapping parts of this length.
 LONGEST = 24
 #: Bounds of the fit: labelled documents, words of each kind, landmarks, hard-negative rounds.
-LABELLED, POSITIVE, NEGATIVE, LANDMARKS, ROUNDS = 12_000, 500, 3_000, 120, 4
+LABELLED, POSITIVE, NEGATIVE, LANDMARKS, ROUNDS = 12_000, 500, 3_000, 300, 4
 #: Scores of words that a task remembers.
 KNOWN = 500_000
 #: Digits and signs read as letters (fixed values).
@@ -153,9 +153,10 @@ class Machine:
         return Machine, (self.table, self.bias, self.step)
 
     def tops(self, texts: list[str]) -> np.ndarray:
-        """For each text the highest three margins of its distinct words."""
+        """For each text the highest three margins of its distinct words, and the log of their number."""
         sets = [words_of(t) for t in texts]
-        out = np.full((len(texts), 3), -2.0)
+        out = np.full((len(texts), 4), -2.0)
+        out[:, 3] = [np.log1p(len(s)) for s in sets]
         for a in range(0, len(sets), 256):
             part = sets[a : a + 256]
             new = list({w for s in part for w in s if w not in self.known})
@@ -174,9 +175,12 @@ class Machine:
 
 
 def evidence(tops: np.ndarray) -> np.ndarray:
-    """What the logistic step reads: the best margin and the mean of the next two, both held within -2 and 2."""
-    tops = np.clip(tops, -2, 2)
-    return np.column_stack([tops[:, 0], tops[:, 1:].mean(1)])
+    """What the logistic step reads: the three highest margins, held within -0.5 and 1, as how far a clean word lies
+    from the others tells nothing; and the log of the words, as more words reach further by chance, alone and times the
+    best and second margin."""
+    best = np.clip(tops[:, :3], -0.5, 1.0)
+    size = tops[:, 3:] / 5
+    return np.column_stack([best, size, size * best[:, :2]])
 
 
 def words_of(text: str) -> set[str]:
@@ -195,7 +199,7 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, y in zip(batch["text"].to_pylist(), batch["y"].to_pylist(), strict=True):
             found = set()
             for sentence in SENTENCE.split(text or ""):
-                words = [w for w in (w.strip(".,;:!?\"'()[]|") for w in sentence.lower().split()) if w]
+                words = [w for w in (w.strip(string.punctuation) for w in sentence.lower().split()) if w]
                 found.update(zip(["", *words], words))
                 found.update(("", "".join(m.group().split())) for m in SPELLED.finditer(sentence.lower()))
             out[0].extend(hash_of(a) for a, _ in found)
@@ -228,16 +232,19 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 7) -> Machine | None:
     if not share[0] or not share[1]:
         return None
     base = share[0] / (share[0] + share[1])
-    # a beginning that many words share tells more than each of its rare words
+    n_words = words.count()
+    # a word is told by its own counts, or by a beginning that it shares with many others
+    surprise = lambda p, n: p * F.log((p + 0.1) / ((p + n) * base)) + n * F.log((n + 0.1) / ((p + n) * (1 - base)))
+    telling = lambda p, n: (surprise(F.col(p), F.col(n)) > float(np.log(n_words)) + 2) & (F.col(n) <= 0.15 * F.col(p))
     begun = words.where(F.length("word") >= 4).withColumn("stem", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(4), F.lit(7)), lambda n: F.substr("word", F.lit(1), n)))))
-    stems = begun.groupBy("stem").agg(F.sum("pos").alias("stem_pos"), F.sum("neg").alias("stem_neg"))
-    told = stems.where((F.col("stem_pos") * float(np.log(1 / base)) > float(np.log(share[0] + share[1]))) & (F.col("stem_neg") <= F.col("stem_pos") * 0.01))
-    positive = begun.join(told, "stem").where("pos > 0 and neg <= pos * 0.02").groupBy("word").agg(F.max("pos").alias("pos"), F.max("stem_pos").alias("stem_pos"))
-    positive = positive.orderBy(F.desc(F.log1p("pos") + F.log1p("stem_pos")), "word").limit(POSITIVE).toPandas()
+    stems = begun.groupBy("stem").agg(F.sum("pos").alias("stem_pos"), F.sum("neg").alias("stem_neg")).where(telling("stem_pos", "stem_neg") & (F.col("stem_neg") <= 0.01 * F.col("stem_pos")))
+    by_stem = begun.join(stems, "stem").where("pos > 0 and neg <= pos * 0.02").select("word", "pos", (F.log1p("pos") + F.log1p("stem_pos")).alias("weight"))
+    by_word = words.where(telling("pos", "neg")).select("word", "pos", (2 * F.log1p("pos")).alias("weight"))
+    positive = by_word.unionByName(by_stem).groupBy("word").agg(F.max("pos").alias("pos"), F.max("weight").alias("weight"))
+    positive = positive.orderBy(F.desc("weight"), "word").limit(POSITIVE).toPandas()
     if not len(positive):
         return None
     chosen = set(positive["word"])
-    print("DBG", len(positive), positive.head(40).values.tolist(), positive.tail(40).values.tolist())
     # clean words: the commonest half, and a hash's choice of the others
     clean = words.where((F.col("neg") > 0) & (F.col("pos") <= F.col("neg")))
     frequent = clean.orderBy(F.desc("neg"), "word").limit(NEGATIVE // 2)
@@ -246,14 +253,14 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 7) -> Machine | None:
     pool = [w for w in pool.toPandas()["word"] if w not in chosen]
     words.unpersist()
     rng = np.random.default_rng(seed)
-    table, bias = _machine(list(positive["word"]), np.log1p(positive["pos"].to_numpy(float)), negative, pool, rng)
-    machine = Machine(table, bias, np.array([1.0, 1.0, 0.0]))
+    table, bias = _machine(list(positive["word"]), positive["weight"].to_numpy(float), negative, pool, rng)
+    machine = Machine(table, bias, np.zeros(7))
     # the logistic step on the sample's documents
-    tops = sample.mapInArrow(partial(_topped, machine), "a double, b double, c double, y int").toPandas()
+    tops = sample.mapInArrow(partial(_topped, machine), "a double, b double, c double, d double, y int").toPandas()
     sample.unpersist()
     from gyrelake.llm.quality import fit_logistic
 
-    machine.step = fit_logistic(evidence(tops[["a", "b", "c"]].to_numpy()), tops["y"].to_numpy(float))
+    machine.step = fit_logistic(evidence(tops[["a", "b", "c", "d"]].to_numpy()), tops["y"].to_numpy(float))
     return machine
 
 
@@ -300,7 +307,7 @@ def _machine(positive: list[str], weight: np.ndarray, negative: list[str], pool:
 def _topped(machine: Machine, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         tops = machine.tops([t or "" for t in batch["text"].to_pylist()])
-        yield pa.RecordBatch.from_arrays([*(pa.array(tops[:, i]) for i in range(3)), batch["y"]], names=["a", "b", "c", "y"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(tops[:, i]) for i in range(4)), batch["y"]], names=["a", "b", "c", "d", "y"])
 
 
 def _scores(machine: Machine, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
