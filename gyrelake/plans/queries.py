@@ -1,22 +1,4 @@
-"""Registered queries and the SQL that states the same results."""
+"""All registered queries of this library's own operators."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query under `name`, with the equal SQL if SQL can state it."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return add
+from gyrelake.plans import dynamic, field, network, observation, pairing  # noqa: F401  they register on import
+from gyrelake.plans.registry import ORACLE, QUERIES  # noqa: F401
