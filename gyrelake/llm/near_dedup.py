@@ -6,10 +6,10 @@ put documents into buckets; a pair at the least similarity of 0.85 meets in no b
 
 Documents with equal sets are one node of the graph. Candidates are confirmed on full sets. Nodes of a bucket are not
 compared pair by pair: every node is compared with its bucket's centre, the member that meets most others over all
-buckets. What a member shares with no other member of its centre's group bounds how similar the two can be to anything
-else in the group, so most members are done after one comparison. Those that are not meet each other through what they
-hold beside the centre, and go on with the next centre where that cannot be told. The last rounds compare what is left
-pair by pair, which are only pairs that no bound could rule out. Components of the confirmed links follow by repeated
+buckets. Two members that are not linked with the centre can only be linked with each other if they share enough of what
+the centre lacks; each shows the few of its shingles of which a partner must hold one, and members that show none that
+another component shows too are done. The others go on under another centre. After the last round, pairs that show
+the same shingle are compared, which leaves out no possible link. Components of the confirmed links follow by repeated
 contraction, with at most two rows a link in any step.
 
 Defined results: A to Z are lowered, no other letter; words are runs of characters other than space and the five controls
@@ -33,10 +33,8 @@ from gyrelake.llm.common import free_name, written
 
 WORDS = 5
 BANDS, ROWS = 40, 6
-#: Members whose similarity to the centre is so many hundredths at least list what they hold beside it.
-NEAR = 60
 #: Rounds of centres before what is left is compared pair by pair.
-CENTRES = 3
+CENTRES = 4
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -125,9 +123,14 @@ def _sets(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch["node"], pa.array([shingler(t).tobytes() for t in batch["text"].to_pylist()], pa.binary())], names=["node", "shingles"])
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, na, nb, both, rest): sizes of two sets and of what they share; rest: b's shingles that a lacks."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("both", pa.int64()), ("rest", pa.list_(pa.int64()))])
+def _compared(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, na, nb, both, beside): sizes of two sets and of what they share; beside: what b must show to a third set.
+
+    A set that is linked with b holds at least `least` hundredths of b's shingles, so beyond those that b shares with a
+    it holds so many of b's others. Of any more than b can lack it holds one: of two such sets, the first ones in the
+    order of the hashes overlap.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("both", pa.int64()), ("beside", pa.list_(pa.int64()))])
     for batch in batches:
         out = {n: [] for n in schema.names}
         for a, b, x, y in zip(*(batch[c].to_pylist() for c in ("a", "b", "sa", "sb")), strict=True):
@@ -135,14 +138,9 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.searchsorted(x, y)
             same = x[np.minimum(at, len(x) - 1)] == y
             both = int(same.sum())
-            out["a"].append(a)
-            out["b"].append(b)
-            out["na"].append(len(x))
-            out["nb"].append(len(y))
-            out["both"].append(both)
-            # what is left is only asked for where the two are near enough for a third to be near both
-            near = both * 100 >= NEAR * (len(x) + len(y) - both)
-            out["rest"].append(y[~same].view(np.int64) if near else None)
+            need = max(-(-least * len(y) // 100) - both, 1)
+            for name, value in (("a", a), ("b", b), ("na", len(x)), ("nb", len(y)), ("both", both), ("beside", y[~same][: max(len(y) - both - need + 1, 0)].view(np.int64))):
+                out[name].append(value)
         yield pa.RecordBatch.from_pydict(out, schema)
 
 
@@ -185,55 +183,37 @@ def near_links(docs: DataFrame, least: int = 85, words: int = WORDS) -> tuple[Da
     meets = written(keyed.join(shared.select("bucket", "size"), "bucket").select("bucket", "size", "node", F.col("n_shingles").alias("n")))
     # how many others a node meets over all its buckets: the text that the others were made from meets most
     central = meets.groupBy("node").agg(F.sum("size").alias("weight"))
-    active = written(meets.join(central, "node").select("bucket", "node", "n", "weight"))
+    active = written(meets.join(central, "node").select("bucket", "node", "weight"))
     own = texts.withColumnRenamed("doc_id", "node").join(active.select("node").distinct(), "node", "left_semi")
     sets = written(own.mapInArrow(partial(_sets, words), "node long, shingles binary"))
-    ratio = least / 100
-    links, done, shares = None, None, None
+    similar = F.col("both") * 100 >= least * (F.col("na") + F.col("nb") - F.col("both"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
         both = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
-        return written(both.mapInArrow(_compared, "a long, b long, na long, nb long, both long, rest array<long>"))
+        return written(both.mapInArrow(partial(_compared, least), "a long, b long, na long, nb long, both long, beside array<long>"))
 
-    similar = F.col("both") * 100 >= least * (F.col("na") + F.col("nb") - F.col("both"))
+    group, links = active.withColumnRenamed("bucket", "group"), None
     for _ in range(CENTRES):
-        best = active.groupBy("bucket").agg(F.max(F.struct("weight", F.negate("node").alias("other"), F.col("node").alias("centre"))).alias("best")).select("bucket", F.col("best.centre").alias("centre"))
-        led = active.join(best, "bucket")
-        pairs = led.where(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        result = confirmed(pairs)
-        done = result if done is None else written(done.unionByName(result))
-        links = done.where(similar).select("a", "b")
-        labels = components(links)
-        # what each member can share at most with another of its centre's group: what it shares with the centre, and
-        # that part of the rest which some other member of the group holds too
-        rest = done.select("a", "b", F.explode("rest").alias("shingle"))
-        held = rest.groupBy("a", "shingle").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        useful = rest.join(held, ["a", "shingle"]).groupBy("a", "b").agg(F.count("*").alias("useful"))
-        # distances obey the triangle: who is within `close` of the centre has all possible partners among those whose
-        # rest was listed; of others nothing is known
-        close = F.col("both") * 100 >= (NEAR + 100 - least) * (F.col("na") + F.col("nb") - F.col("both"))
-        bound = done.join(useful, ["a", "b"], "left").select(F.col("a").alias("centre"), F.col("b").alias("node"), F.when(close, F.col("both") + F.coalesce("useful", F.lit(0))).alias("cap"), similar.alias("linked"))
-        after = led.where(F.col("node") != F.col("centre")).join(bound, ["centre", "node"], "left").join(labels, "node", "left")
-        after = after.withColumn("component", F.coalesce("component", "node"))
-        # with a cap c, a partner of m shingles is linked only if c * 100 >= least * (n + m - c): m is c * (1 + 1 / ratio) - n at most, and ratio * n at least
-        after = after.withColumn("cap", F.coalesce("cap", "n")).withColumn("most", F.floor(F.col("cap") * (1 + 1 / ratio) - F.col("n") + 1e-6))
-        span = after.groupBy("bucket").agg(F.min("n").alias("smallest"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-        left = after.join(span, "bucket").where("c0 <> c1").where((F.col("cap") >= ratio * F.col("n")) & (F.col("most") >= F.col("smallest")))
-        # a bucket whose remaining members are one component has nothing to add
-        again = left.groupBy("bucket").agg(F.min("component").alias("d0"), F.max("component").alias("d1")).where("d0 <> d1").select("bucket")
-        active = written(left.join(again, "bucket", "left_semi").select("bucket", "node", "n", "weight", "component", "most"))
-        if active.isEmpty():
+        best = group.groupBy("group").agg(F.max(F.struct("weight", F.negate("node").alias("other"), F.col("node").alias("centre"))).alias("best")).select("group", F.col("best.centre").alias("centre"))
+        led = group.join(best, "group").where(F.col("node") != F.col("centre")).groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.max("weight").alias("weight"))
+        led = written(led)
+        result = confirmed(led.select("a", "b"))
+        new = result.where(similar).select("a", "b")
+        links = new if links is None else links.unionByName(new)
+        labels = components(links).withColumnRenamed("node", "b")
+        # members of different components that show the same shingle beside their centre may be linked; no others can
+        shown = result.select("a", "b", F.explode("beside").alias("shingle")).join(labels, "b", "left").withColumn("component", F.coalesce("component", "b"))
+        met = shown.groupBy("a", "shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("a", "shingle")
+        open_ = written(shown.join(met, ["a", "shingle"]))
+        if open_.isEmpty():
             return members, links
-        rest_of = active
-        active = active.select("bucket", "node", "n", "weight")
-    x, y = rest_of.alias("x"), rest_of.alias("y")
-    pairs = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where("x.node < y.node and x.component <> y.component and x.n <= y.most and y.n <= x.most")
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = confirmed(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti").join(done.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
-    return members, written(links.unionByName(more.where(similar).select("a", "b")))
+        # the centre has been compared with all of its group; the others go on under the next one
+        group = open_.select("a", "b").distinct().join(led, ["a", "b"]).select(F.col("a").alias("group"), F.col("b").alias("node"), "weight")
+    x, y = open_.alias("x"), open_.alias("y")
+    pairs = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.b") < F.col("y.b")) & (F.col("x.component") != F.col("y.component")))
+    more = confirmed(pairs.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct())
+    return members, links.unionByName(more.where(similar).select("a", "b"))
 
 
 def near_groups(docs: DataFrame, least: int = 85, words: int = WORDS) -> DataFrame:

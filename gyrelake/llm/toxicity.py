@@ -20,6 +20,7 @@ of both kinds every document scores 0.0; empty tables give empty results.
 
 from __future__ import annotations
 
+import heapq
 import re
 import string
 from collections.abc import Iterator
@@ -40,7 +41,7 @@ LONGEST = 24
 #: Bounds of the fit: labelled documents, words of each kind, landmarks, hard-negative rounds.
 LABELLED, POSITIVE, NEGATIVE, LANDMARKS, ROUNDS = 12_000, 500, 3_000, 300, 4
 #: Scores of words that a task remembers.
-KNOWN = 500_000
+KNOWN = 300_000
 #: Digits and signs read as letters (fixed values).
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -106,8 +107,8 @@ def spread(rows: np.ndarray) -> np.ndarray:
 def margins(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
     """The machine's margin for each word: its best part's."""
     out = np.full(len(words), -2.0)
-    for at in range(0, len(words), 4096):
-        part = words[at : at + 4096]
+    for at in range(0, len(words), 2048):
+        part = words[at : at + 2048]
         rows, owner = coded(part)
         total, keys, weights, where = np.zeros(len(rows)), [], [], []
         for r, number, weight in subsequences(rows):
@@ -154,19 +155,18 @@ class Machine:
 
     def tops(self, texts: list[str]) -> np.ndarray:
         """For each text the highest three margins of its distinct words, and the log of their number."""
-        sets = [words_of(t) for t in texts]
         out = np.full((len(texts), 4), -2.0)
-        out[:, 3] = [np.log1p(len(s)) for s in sets]
-        for a in range(0, len(sets), 256):
-            part = sets[a : a + 256]
+        for a in range(0, len(texts), 32):  # few texts at a time: their words as objects take far more room than they do
+            part = [words_of(t) for t in texts[a : a + 32]]
             new = list({w for s in part for w in s if w not in self.known})
             if len(self.known) + len(new) > KNOWN:
                 self.known.clear()
                 new = list(set().union(*part))
             self.known.update(zip(new, margins(new, self.table, self.bias).tolist(), strict=True))
             for i, s in enumerate(part, a):
-                best = sorted(map(self.known.__getitem__, s), reverse=True)[:3] if s else []
+                best = heapq.nlargest(3, map(self.known.__getitem__, s))
                 out[i, : len(best)] = best
+                out[i, 3] = np.log1p(len(s))
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
