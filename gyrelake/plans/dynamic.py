@@ -1,0 +1,55 @@
+"""Queries on what moves or is found: detection, tracks from links, particles, coherence, separation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gyrelake.operators import advection, detection, grids, tracking
+from gyrelake.plans.observation import box_ring, simple
+from gyrelake.plans.registry import query
+
+
+def basin(spark: SparkSession) -> DataFrame:
+    """Three days of a height field with two highs and a low that drift west, and its currents."""
+    cells = spark.range(3 * 60 * 40).select(F.floor(F.col("id") / 2400).alias("t"), F.floor(F.col("id") % 2400 / 40).cast("int").alias("i"), (F.col("id") % 40).cast("int").alias("j"))
+    g = cells.withColumns({"lon": 10 + F.col("i") * 0.25, "lat": 30 + F.col("j") * 0.25})
+    hump = lambda x, y, w, h: h * F.exp(-(F.pow(F.col("lon") - x + F.col("t") * 0.1, 2) + F.pow(F.col("lat") - y, 2)) / w)
+    g = g.withColumn("height", hump(14.0, 34.0, 0.5, 0.2) + hump(20.0, 36.0, 0.5, -0.15) + hump(19.0, 32.0, 0.4, 0.1))
+    return grids.with_currents(g, "height", 0.25, 1)
+
+
+@query("detect")
+def detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detection.detect(basin(spark), "height", detection.Limits(step=0.01)).select("t", "sign", F.round("lon", 4).alias("lon"), F.round("lat", 4).alias("lat"), F.round("amplitude", 4).alias("amplitude"))
+
+
+@query("advect_rk4")
+def advect_rk4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = spark.range(100).select(F.col("id").alias("pid"), (13 + F.col("id") % 10 * 0.2).alias("x"), (33 + F.floor(F.col("id") / 10) * 0.2).alias("y"))
+    return advection.paths(seeds, basin(spark), 0, 2)
+
+
+@query("coherence")
+def coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = basin(spark)
+    found = detection.detect(g, "height", detection.Limits(step=0.01)).withColumn("obs_id", F.xxhash64("t", "sign", "lon_max", "lat_max"))
+    ring = found.withColumn("ring", F.zip_with("ring_x_e", "ring_y_e", lambda x, y: F.struct(x.alias("x"), y.alias("y")))).select("t", "obs_id", "ring")
+    return advection.coherence(ring.where("t = 0"), ring.where("t = 2"), g, 0, 2, 0.1)
+
+
+@query("lavd")
+def lavd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = grids.okubo_weiss(basin(spark), 0.25)
+    return advection.path_mean(advect_rk4(spark, sf_dir), g, "vorticity", 10.0, 30.0, 0.25, 0)
+
+
+@query("fsle")
+def fsle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = spark.range(100).select(F.col("id").alias("pid"), (13 + F.col("id") % 10 * 0.2).alias("x"), (33 + F.floor(F.col("id") / 10) * 0.2).alias("y"))
+    return advection.separation(seeds, basin(spark), 0, 2, 0.02, 0.03)
+
+
+simple("tracks_from_links", lambda o: tracking.as_tracks(o.where("time < 27034"), tracking.day_links(o.where("time < 27034"))).select("obs_id", "track", "n"), None)
+simple("tracker_fold", lambda o: tracking.fold(o.where("time < 27031"))[0], None)
+simple("seeded_rings", lambda o: o.where("n = 0").withColumn("ring", box_ring(0.3)).select("obs_id", F.size("ring").alias("points")), "SELECT obs_id, 5 AS points FROM obs WHERE n = 0")

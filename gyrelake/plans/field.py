@@ -1,0 +1,71 @@
+"""Queries on gridded fields, over a made-up grid: derivatives, currents, interpolation, filters, spectra, ring statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gyrelake.operators import grids
+from gyrelake.plans.observation import box_ring, rounded, view
+from gyrelake.plans.registry import VIEW, query
+
+#: i 0 to 47, j 0 to 31, a quarter of a degree from (0, 20); every 37th cell is masked; t is 0 and 1.
+GRID = "WITH g AS (SELECT t, i, j, i * 0.25e0 AS lon, 20 + j * 0.25e0 AS lat, CASE WHEN (i * 32 + j) % 37 <> 5 THEN ((i * 7 + j * 3 + t * 11) % 50) * 0.01e0 END AS h, ((i * 5 + j * j) % 23) * 0.0625e0 - 0.5 AS u, ((i * i + 3 * j) % 19) * 0.0625e0 - 0.5 AS v FROM range(2) a(t), range(48) b(i), range(32) c(j))"
+METRE = 3.141592653589793 / 180 * 6370997.0
+
+
+def grid(spark: SparkSession) -> DataFrame:
+    cells = spark.range(2 * 48 * 32).select(F.floor(F.col("id") / 1536).alias("t"), F.floor(F.col("id") % 1536 / 32).cast("int").alias("i"), (F.col("id") % 32).cast("int").alias("j"))
+    i, j, t = F.col("i"), F.col("j"), F.col("t")
+    return cells.select("t", "i", "j", (i * 0.25).alias("lon"), (20 + j * 0.25).alias("lat"), F.when((i * 32 + j) % 37 != 5, (i * 7 + j * 3 + t * 11) % 50 * 0.01).alias("h"), ((i * 5 + j * j) % 23 * 0.0625 - 0.5).alias("u"), ((i * i + 3 * j) % 19 * 0.0625 - 0.5).alias("v"))
+
+
+def on_grid(name: str, f, sql: str | None) -> None:
+    query(name, GRID + " " + sql if sql else None, view=False)(lambda spark, sf_dir: f(grid(spark)))
+
+
+LINES = "WINDOW x AS (PARTITION BY t, j ORDER BY i), y AS (PARTITION BY t, i ORDER BY j)"
+on_grid("grid_rows", lambda g: g.groupBy("t").agg(F.count("*").alias("cells"), F.count("h").alias("valid"), F.min("lon").alias("west"), F.max("lat").alias("north")), "SELECT t, count(*) AS cells, count(h) AS valid, min(lon) AS west, max(lat) AS north FROM g GROUP BY 1")
+on_grid("grid_tile", lambda g: g.where("t = 1 and i between 10 and 19 and j between 5 and 9").select("i", "j", "u"), "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, u FROM g WHERE t = 1 AND i BETWEEN 10 AND 19 AND j BETWEEN 5 AND 9")
+on_grid("finite_diff", lambda g: rounded(grids.differences(g, "h", "d").select("t", "i", "j", "d"), "d"), f"SELECT t, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(CASE WHEN h IS NOT NULL THEN coalesce((lead(h) OVER x - lag(h) OVER x) / 2, lead(h) OVER x - h, h - lag(h) OVER x) END, 6) AS d FROM g {LINES}")
+on_grid("finite_diff_circular", lambda g: rounded(grids.differences(g, "u", "d", size=48).select("t", "i", "j", "d"), "d"), "SELECT a.t, CAST(a.i AS INTEGER) AS i, CAST(a.j AS INTEGER) AS j, round((b.u - c.u) / 2, 6) AS d FROM g a JOIN g b ON b.t = a.t AND b.j = a.j AND b.i = (a.i + 1) % 48 JOIN g c ON c.t = a.t AND c.j = a.j AND c.i = (a.i + 47) % 48")
+on_grid("stencil5", lambda g: rounded(grids.stencil(g, "h", "d", "j", 2).select("t", "i", "j", "d"), "d"), f"SELECT t, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(CASE WHEN h IS NOT NULL THEN coalesce((lag(h, 2) OVER y - lead(h, 2) OVER y + 8 * (lead(h) OVER y - lag(h) OVER y)) / 12, (lead(h) OVER y - lag(h) OVER y) / 2, lead(h) OVER y - h, h - lag(h) OVER y) END, 6) AS d FROM g {LINES}")
+on_grid("geostrophic_currents", lambda g: rounded(grids.with_currents(g.drop("u", "v"), "h", 0.25, 1).select("t", "i", "j", "u", "v"), "u", "v", digits=5), f"SELECT t, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(-9.807 / (4 * pi() / 86164.1 * sin(radians(lat))) * dy / {METRE * 0.25}, 5) AS u, round(9.807 / (4 * pi() / 86164.1 * sin(radians(lat))) * dx / ({METRE * 0.25} * cos(radians(lat))), 5) AS v FROM (SELECT *, CASE WHEN h IS NOT NULL THEN coalesce((lead(h) OVER x - lag(h) OVER x) / 2, lead(h) OVER x - h, h - lag(h) OVER x) END AS dx, CASE WHEN h IS NOT NULL THEN coalesce((lead(h) OVER y - lag(h) OVER y) / 2, lead(h) OVER y - h, h - lag(h) OVER y) END AS dy FROM g {LINES})")
+SLOPE = "coalesce((lead({0}) OVER {1} - lag({0}) OVER {1}) / 2, lead({0}) OVER {1} - {0}, {0} - lag({0}) OVER {1})"
+on_grid("okubo_weiss", lambda g: grids.okubo_weiss(g, 0.25).select("t", "i", "j", F.round(F.col("ow") * 1e12, 4).alias("ow"), F.round(F.col("vorticity") * 1e6, 4).alias("vorticity")), f"SELECT t, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round((pow(ux - vy, 2) + pow(vx + uy, 2) - pow(vx - uy, 2)) * 1e12, 4) AS ow, round((vx - uy) * 1e6, 4) AS vorticity FROM (SELECT *, {SLOPE.format('u', 'x')} / ({METRE * 0.25} * cos(radians(lat))) AS ux, {SLOPE.format('v', 'x')} / ({METRE * 0.25} * cos(radians(lat))) AS vx, {SLOPE.format('u', 'y')} / {METRE * 0.25} AS uy, {SLOPE.format('v', 'y')} / {METRE * 0.25} AS vy FROM g {LINES})")
+on_grid("ow_threshold", lambda g: grids.okubo_weiss(g, 0.25).withColumn("cut", F.lit(-0.2) * F.stddev_pop("ow").over(Window.partitionBy("t"))).groupBy("t").agg(F.count_if(F.col("ow") < F.col("cut")).alias("n")), None)
+POINTS = "pts AS (SELECT obs_id AS pid, CAST(time % 2 AS BIGINT) AS t, lon * 0.4 AS x, 22 + lat * 0.3 AS y FROM obs)"
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir).select(F.col("obs_id").alias("pid"), (F.col("time") % 2).cast("long").alias("t"), (F.col("lon") * 0.4).alias("x"), (22 + F.col("lat") * 0.3).alias("y"))
+
+
+GRID_CTE = GRID.removeprefix("WITH ")
+
+
+@query("bilinear_interp", VIEW.rstrip() + f", {POINTS}, {GRID_CTE}, q AS (SELECT *, x / 0.25 AS fi, (y - 20) / 0.25 AS fj FROM pts), w AS (SELECT *, floor(fi) AS i0, floor(fj) AS j0, fi - floor(fi) AS p, fj - floor(fj) AS r FROM q) SELECT pid, round((1 - p) * (1 - r) * a.h + (1 - p) * r * b.h + p * (1 - r) * c.h + p * r * d.h, 6) AS value FROM w LEFT JOIN g a ON a.t = w.t AND a.i = i0 AND a.j = j0 LEFT JOIN g b ON b.t = w.t AND b.i = i0 AND b.j = j0 + 1 LEFT JOIN g c ON c.t = w.t AND c.i = i0 + 1 AND c.j = j0 LEFT JOIN g d ON d.t = w.t AND d.i = i0 + 1 AND d.j = j0 + 1", view=False)
+def bilinear_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(grids.at_points(_points(spark, sf_dir), grid(spark), "h", 0.0, 20.0, 0.25).select("pid", "value"), "value")
+
+
+@query("nearest_interp", VIEW.rstrip() + f", {POINTS}, {GRID_CTE} SELECT pid, h AS value FROM pts LEFT JOIN g ON g.t = pts.t AND g.i = round(x / 0.25) AND g.j = round((y - 20) / 0.25)", view=False)
+def nearest_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grids.at_points(_points(spark, sf_dir), grid(spark), "h", 0.0, 20.0, 0.25, "nearest").select("pid", "value")
+
+
+@query("time_interp")
+def time_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grids.between_times(_points(spark, sf_dir).withColumn("t", F.lit(0.25)), grid(spark).withColumn("t", F.col("t").cast("double")), "u", 0.0, 20.0, 0.25).select("pid", "value")
+
+
+@query("grid_in_rings", VIEW.rstrip() + f", {GRID_CTE} SELECT obs_id, count(h) AS n, round(avg(h), 6) AS mean, min(h) AS least, max(h) AS most FROM (SELECT obs_id, lon * 0.4 AS x, 22 + lat * 0.3 AS y FROM obs WHERE n = 0) o JOIN g ON g.t = 0 AND g.lon >= x - 0.51 AND g.lon < x + 0.51 AND g.lat >= y - 0.51 AND g.lat < y + 0.51 GROUP BY 1", view=False)
+def grid_in_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = view(spark, sf_dir).where("n = 0").select("obs_id", F.lit(0).cast("long").alias("t"), (F.col("lon") * 0.4).alias("lon"), (22 + F.col("lat") * 0.3).alias("lat"))
+    return rounded(grids.in_rings(o.withColumn("ring", box_ring(0.51)), grid(spark), "h", 0.0, 20.0, 0.25), "mean")
+
+
+on_grid("bessel_filter", lambda g: rounded(grids.low_pass(g, "h", 0.25, 120.0, 48).select("t", "i", "j", "low"), "low"), None)
+on_grid("lanczos_high_filter", lambda g: rounded(grids.high_pass(g, "h", 0.25, 120.0, 48, kind="lanczos").select("t", "i", "j", "high"), "high"), None)
+on_grid("spectrum_lon", lambda g: rounded(grids.spectrum(g, "u"), "power"), None)
+on_grid("regrid", lambda g: rounded(grids.at_points(g.where("i < 40 and j < 24").select("t", (F.col("lon") + 0.1).alias("x"), (F.col("lat") + 0.05).alias("y")), g, "u", 0.0, 20.0, 0.25), "value"), None)
