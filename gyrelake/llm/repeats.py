@@ -300,13 +300,13 @@ def covered(size: int, places: np.ndarray, whole: np.ndarray) -> np.ndarray:
 
 
 def _cleaned(texts: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    fields = [("row", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     schema = pa.schema([*fields, *([("kept_text", pa.string())] if texts else [])])
     for batch in batches:
         out = {n: [] for n in schema.names}
-        for row, text, lists, whole in zip(*(batch[c].to_pylist() for c in ("row", "text", "places", "whole")), strict=True):
+        for doc_id, text, lists, whole in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "places", "whole")), strict=True):
             raw = (text or "").encode()
-            out["row"].append(row)
+            out["doc_id"].append(doc_id)
             out["n_bytes"].append(len(raw))
             if not lists and not whole:
                 removed, spans, kept = 0, 0, raw
@@ -323,10 +323,19 @@ def _cleaned(texts: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_pydict(out, schema)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """row, doc_id, text: row is the doc_id itself; where ids repeat or are null, numbers in the order of doc_id."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if texts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        return texts.withColumn("row", F.col("doc_id"))
+    # rows of one id come in any order, so that a hot id is dealt to many tasks
+    return written(texts.orderBy(F.asc_nulls_first("doc_id"), F.rand(1)).withColumn("row", F.monotonically_increasing_id()))
+
+
 def _found(docs: DataFrame, largest: int) -> tuple[DataFrame, DataFrame]:
-    """(texts, marks): texts has row, doc_id, text; marks has row and lists of packed places (places, whole)."""
+    """(texts, lists): texts has row, doc_id, text; lists has row and lists of packed places (places, whole)."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("row"), "text")
+    texts = _numbered(docs)
     size = texts.agg(F.sum(F.octet_length("text")), F.max("row")).first()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((size[0] or 0) * 0.034 * RECORD.itemsize / BUCKET_BYTES) + 1)
     dealt = texts.where(F.octet_length("text") >= LEAST).mapInArrow(partial(_blocked, buckets), "bucket int, records binary")
@@ -349,6 +358,6 @@ def _found(docs: DataFrame, largest: int) -> tuple[DataFrame, DataFrame]:
 def repeated(docs: DataFrame, texts: bool = False, largest: int = LARGEST) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts also kept_text (whole characters)."""
     own, lists = _found(docs, largest)
-    kept = own.join(lists, "row", "left").select("row", "text", "places", "whole")
-    schema = "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if texts else "")
-    return kept.mapInArrow(partial(_cleaned, texts), schema).withColumnRenamed("row", "doc_id")
+    kept = own.join(lists, "row", "left").select("doc_id", "text", "places", "whole")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if texts else "")
+    return kept.mapInArrow(partial(_cleaned, texts), schema)
