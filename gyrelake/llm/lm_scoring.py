@@ -1,69 +1,197 @@
 """Stupid-backoff scores of documents by the n-grams of all other documents.
 
-Texts are cut into lower-case words by white space. Every n-gram of 1 to `order` words becomes a 64-bit hash; equal ones
-within a document are added up first. Tables of n-gram counts are grouped sums by hash, and a document's n-grams are
-joined to them: to the n-gram, to its first words and, where the n-gram is unknown, to the shorter n-gram it backs off
-to, with a factor of 0.4 a step. Logs are summed per document.
+Texts are cut into lower-case words by white space; every n-gram of 1 to `order` words is a 64-bit hash. Documents are
+packed into blocks of bounded size, and the n-grams of a block are added up before they leave it: an n-gram sends one
+count a block, however many documents hold it, so no n-gram is hot. The counts are dealt to tables by hash and added up
+there; each block is then joined with the totals of its own n-grams, which give every n-gram of every document its score:
+how often it occurs elsewhere over how often its first words do, or, where it does not occur, 0.4 times the score of the
+shorter n-gram without its first word. Logs are summed per document.
 
 A document's own counts are taken away before it is scored, so a text that nothing else resembles scores low.
 
-Defined results: a null or empty text, and one of white space, has no words, n_words 0 and a null score; a word that no
-other document holds counts as one in all words; rows with the same doc_id are one document; a null doc_id is a document
-of its own with null rows together; an empty table gives an empty result.
+Defined results: a null or empty text, and one of white space, has no words, n_words 0 and a null score, as has the score
+of a text of fewer words than `order`; a word that no other document holds counts as one in all words; every row is a
+document of its own, so repeated rows tell of each other, and a null doc_id is kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
+from collections.abc import Iterator
+from functools import partial
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gyrelake.llm.common import written
+
 #: The factor for each step of backing off (the method's fixed value).
 BACKOFF = 0.4
+#: Words of a block about; bytes of counts that one part of the tables holds about.
+BLOCK_WORDS, PART_BYTES = 1_000_000, 16_000_000
+#: Words whose hashes a task remembers.
+KNOWN = 400_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+SPACES = str.maketrans(dict.fromkeys(map(chr, (9, 10, 11, 12, 13)), " "))
+BLOCKS = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("n", pa.int64()), ("vocabulary", pa.binary()), ("words", pa.binary())])
+SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("score", pa.float64())])
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _small(x: np.ndarray) -> bytes:
+    """The size and the numbers below 2**32, compressed."""
+    raw = x.astype("<u4").tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _large(raw: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True), "<u4")
+
+
+def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of BLOCKS: documents' ids and numbers of words, and the words as places in the block's vocabulary of hashes."""
+    import xxhash
+
+    each = xxhash.xxh3_64_intdigest
+    known: dict[str, int] = {}
+    ids, parts, n = [], [], 0
+
+    def packed() -> pa.RecordBatch:
+        vocabulary, words = np.unique(np.concatenate(parts), return_inverse=True)
+        row = {"block": [uuid.uuid4().int >> 65], "ids": [ids], "lengths": [[len(p) for p in parts]], "n": [n], "vocabulary": [vocabulary.tobytes()], "words": [_small(words)]}
+        return pa.RecordBatch.from_pydict(row, BLOCKS)
+
+    for batch in batches:
+        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            words = [w for w in (text or "").lower().translate(SPACES).split(" ") if w]
+            if len(known) > KNOWN:
+                known.clear()
+            for w in set(words):
+                if w not in known:
+                    known[w] = each(w)
+            ids.append(doc_id)
+            parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+            n += len(words)
+            if n + len(ids) >= BLOCK_WORDS:
+                yield packed()
+                ids, parts, n = [], [], 0
+    if ids:
+        yield packed()
+
+
+class Block:
+    """A block's documents and the hashes of their n-grams. grams[n] holds one hash for each place where one begins."""
+
+    def __init__(self, lengths: list[int], vocabulary: bytes, words: bytes, order: int):
+        self.lengths = np.array(lengths, np.int64)
+        self.document = np.repeat(np.arange(len(lengths)), self.lengths)
+        left = np.repeat(np.cumsum(self.lengths), self.lengths) - np.arange(len(self.document))  # words from here to the document's end
+        h = np.frombuffer(vocabulary, np.uint64)[_large(words)]
+        self.places, self.grams = {}, {}
+        for k in range(1, order + 1):
+            at = np.flatnonzero(left >= k)
+            gram = np.full(len(at), k, np.uint64)
+            for j in range(k):
+                gram = _mix(gram * _ODD + h[at + j])
+            self.places[k], self.grams[k] = at, gram
+
+    def counted(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All distinct n-grams by part and hash: their parts, hashes and counts, and for every place which one it is."""
+        key, which, count = np.unique(np.concatenate([*self.grams.values()]), return_inverse=True, return_counts=True)
+        part = ((key >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return part[order], key[order], count[order], back[which]
+
+
+def _cut(part: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, part[1:] != part[:-1]))[: len(part)]
+
+
+def _counts(order: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, block, grams, counts): what each block holds of each part of the tables."""
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+    for batch in batches:
+        for r in batch.to_pylist():
+            part, key, count, _ = Block(r["lengths"], r["vocabulary"], r["words"], order).counted(parts)
+            cut = _cut(part)
+            ends = [*cut[1:].tolist(), len(part)]
+            for a in range(0, len(cut), 256):
+                spans = [*zip(cut[a : a + 256].tolist(), ends[a : a + 256], strict=True)]
+                yield pa.RecordBatch.from_pydict({"part": part[cut[a : a + 256]].astype(np.int32), "block": [r["block"]] * len(spans), "grams": [key[i:j].tobytes() for i, j in spans], "counts": [_small(count[i:j]) for i, j in spans]}, schema)
 
 
-def _grams(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, gram (hash), head (hash of all words but the last), tail (of all but the first), own: the document's count."""
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
-    hashed = docs.select("doc_id", F.transform(words, lambda w: F.xxhash64(w)).alias("w"))
-    part = lambda i, a, b: F.xxhash64(F.slice("w", i + a, b - a)) if b - a > 1 else F.get("w", i + a - 1)
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, part, totals) in the order of each block's grams. Rows come sorted by part; one part at a time is held."""
+    schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("totals", pa.binary())])
 
-    def made(i: Column) -> Column:
-        head = part(i, 0, n - 1) if n > 1 else F.lit(0).cast("long")
-        tail = part(i, 1, n) if n > 1 else F.lit(0).cast("long")
-        return F.struct(part(i, 0, n).alias("gram"), head.alias("head"), tail.alias("tail"))
+    def added(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        grams = [np.frombuffer(r[2], np.uint64) for r in rows]
+        _, which = np.unique(np.concatenate(grams), return_inverse=True)
+        total = np.bincount(which, np.concatenate([_large(r[3]) for r in rows])).astype(np.int64)[which]
+        at = 0
+        for r, g in zip(rows, grams, strict=True):
+            yield pa.RecordBatch.from_pydict({"block": [r[1]], "part": [r[0]], "totals": [_small(np.minimum(total[at : at + len(g)], 2**32 - 1))]}, schema)
+            at += len(g)
 
-    places = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
-    every = hashed.select("doc_id", F.explode(F.transform(places, made)).alias("g")).select("doc_id", "g.*")
-    return every.groupBy("doc_id", "gram", "head", "tail").agg(F.count("*").alias("own"))
+    waiting: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch[c].to_pylist() for c in ("part", "block", "grams", "counts")), strict=True):
+            if waiting and row[0] != waiting[0][0]:
+                yield from added(waiting)
+                waiting = []
+            waiting.append(row)
+    if waiting:
+        yield from added(waiting)
 
 
-def counts(grams: DataFrame) -> DataFrame:
-    """gram and its count in all documents, partitioned by hash."""
-    return grams.groupBy("gram").agg(F.sum("own").alias("total"))
+def _scored(order: int, parts: int, words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            block = Block(r["lengths"], r["vocabulary"], r["words"], order)
+            n_docs = len(block.lengths)
+            score = np.full(n_docs, np.nan)
+            if r["found"]:
+                _, _, _, which = block.counted(parts)
+                total = np.concatenate([_large(x["totals"]) for x in sorted(r["found"], key=lambda x: x["part"])]).astype(np.int64)
+                document = np.concatenate([block.document[at] for at in block.places.values()])
+                _, same, own = np.unique(document * len(total) + which, return_inverse=True, return_counts=True)
+                elsewhere = total[which] - own[same]
+                sizes = np.cumsum([0, *(len(at) for at in block.places.values())])
+                logs = None
+                for k, at in block.places.items():
+                    here = elsewhere[sizes[k - 1] : sizes[k]]
+                    full = np.zeros(len(block.document) + 1)  # by the place of the n-gram's first word
+                    if logs is None:
+                        full[at] = np.log(np.maximum(here, 1) / max(words, 1))
+                    else:
+                        head = np.zeros(len(block.document), np.int64)
+                        head[block.places[k - 1]] = before
+                        full[at] = np.where(here > 0, np.log(np.maximum(here, 1) / np.maximum(head[at], 1)), logs[at + 1] + np.log(BACKOFF))
+                    logs, before = full, here
+                at = block.places[order]
+                n = np.bincount(block.document[at], minlength=n_docs)
+                sums = np.bincount(block.document[at], logs[at], n_docs)
+                score[n > 0] = sums[n > 0] / n[n > 0]
+            yield pa.RecordBatch.from_arrays([pa.array(r["ids"], pa.int64()), pa.array(block.lengths), pa.array(score, from_pandas=True)], schema=SCORES)
 
 
 def scores(docs: DataFrame, order: int = 2) -> DataFrame:
     """Per document: doc_id, n_words, score: the mean log of its words' stupid-backoff scores by all other documents."""
-    docs = docs.select("doc_id", "text")
-    grams = {n: _grams(docs, n) for n in range(1, order + 1)}
-    tables = {n: counts(grams[n]) for n in grams}
-    words = grams[1].agg(F.sum("own")).first()[0] or 0
-    # unigrams: how often a word occurs elsewhere, in all other words
-    level = grams[1].join(tables[1], "gram").select("doc_id", "gram", "own", (F.col("total") - F.col("own")).alias("else_where"))
-    level = level.withColumn("log", F.log(F.greatest("else_where", F.lit(1)) / float(max(words, 1))))
-    sums = level.groupBy("doc_id").agg(F.sum("own").alias("n_words"))
-    known = level.select("doc_id", "gram", "log", "else_where")
-    for n in range(2, order + 1):
-        rows = grams[n].join(tables[n], "gram").withColumn("here", F.col("total") - F.col("own"))
-        head = known.select("doc_id", F.col("gram").alias("head"), F.col("else_where").alias("head_count"))
-        tail = known.select("doc_id", F.col("gram").alias("tail"), F.col("log").alias("tail_log"))
-        rows = rows.join(head, ["doc_id", "head"]).join(tail, ["doc_id", "tail"])
-        log = F.when(F.col("here") > 0, F.log(F.col("here") / F.greatest("head_count", "here"))).otherwise(F.col("tail_log") + math.log(BACKOFF))
-        known = rows.select("doc_id", "gram", log.alias("log"), F.col("here").alias("else_where"), "own")
-    if order == 1:
-        known = level
-    total = known.groupBy("doc_id").agg(F.sum(F.col("log") * F.col("own")).alias("logs"), F.sum("own").alias("n_grams"))
-    out = docs.select("doc_id").distinct().join(sums, "doc_id", "left").join(total, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), (F.col("logs") / F.col("n_grams")).alias("score"))
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    blocks = written(texts.mapInArrow(_blocked, "block long, ids array<long>, lengths array<int>, n long, vocabulary binary, words binary"))
+    words = blocks.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), words * order * 10 // PART_BYTES + 1)
+    told = blocks.select("block", "lengths", "vocabulary", "words").mapInArrow(partial(_counts, order, parts), "part int, block long, grams binary, counts binary")
+    totals = told.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_totals, "block long, part int, totals binary")
+    found = totals.groupBy("block").agg(F.collect_list(F.struct("part", "totals")).alias("found"))
+    return blocks.join(found, "block", "left").select("ids", "lengths", "vocabulary", "words", "found").mapInArrow(partial(_scored, order, parts, words), "doc_id long, n_words long, score double")
