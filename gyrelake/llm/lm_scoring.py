@@ -45,14 +45,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _small(x: np.ndarray) -> bytes:
-    """The size and the numbers below 2**32, compressed."""
-    raw = x.astype("<u4").tobytes()
+def _small(x: np.ndarray, width: int = 4) -> bytes:
+    """Numbers of `width` bytes, compressed with all lowest bytes first, then the next ones: high bytes are mostly zero."""
+    raw = x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def _large(raw: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True), "<u4")
+def _large(raw: bytes, width: int = 4) -> np.ndarray:
+    plain = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
 def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +65,11 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids, parts, n = [], [], 0
 
     def packed() -> pa.RecordBatch:
-        vocabulary, words = np.unique(np.concatenate(parts), return_inverse=True)
+        vocabulary, words, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        common = np.argsort(-count, kind="stable")  # common words get small numbers
+        rank = np.empty(len(common), np.int64)
+        rank[common] = np.arange(len(common))
+        vocabulary, words = vocabulary[common], rank[words]
         row = {"block": [uuid.uuid4().int >> 65], "ids": [ids], "lengths": [[len(p) for p in parts]], "n": [n], "vocabulary": [vocabulary.tobytes()], "words": [_small(words)]}
         return pa.RecordBatch.from_pydict(row, BLOCKS)
 
@@ -103,13 +108,9 @@ class Block:
             self.places[k], self.grams[k] = at, gram
 
     def counted(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All distinct n-grams by part and hash: their parts, hashes and counts, and for every place which one it is."""
+        """All distinct n-grams by hash: their parts (equal ranges of hashes), hashes and counts, and for every place which one it is."""
         key, which, count = np.unique(np.concatenate([*self.grams.values()]), return_inverse=True, return_counts=True)
-        part = ((key >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        return part[order], key[order], count[order], back[which]
+        return ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64), key, count, which
 
 
 def _cut(part: np.ndarray) -> np.ndarray:
@@ -126,7 +127,7 @@ def _counts(order: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterat
             ends = [*cut[1:].tolist(), len(part)]
             for a in range(0, len(cut), 256):
                 spans = [*zip(cut[a : a + 256].tolist(), ends[a : a + 256], strict=True)]
-                yield pa.RecordBatch.from_pydict({"part": part[cut[a : a + 256]].astype(np.int32), "block": [r["block"]] * len(spans), "grams": [key[i:j].tobytes() for i, j in spans], "counts": [_small(count[i:j]) for i, j in spans]}, schema)
+                yield pa.RecordBatch.from_pydict({"part": part[cut[a : a + 256]].astype(np.int32), "block": [r["block"]] * len(spans), "grams": [_small(np.append(key[i], np.diff(key[i:j])), 8) for i, j in spans], "counts": [_small(count[i:j]) for i, j in spans]}, schema)
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +135,7 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("totals", pa.binary())])
 
     def added(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        grams = [np.frombuffer(r[2], np.uint64) for r in rows]
+        grams = [np.cumsum(_large(r[2], 8), dtype=np.uint64) for r in rows]  # they come as differences
         _, which = np.unique(np.concatenate(grams), return_inverse=True)
         total = np.bincount(which, np.concatenate([_large(r[3]) for r in rows])).astype(np.int64)[which]
         at = 0
