@@ -7,8 +7,9 @@ put documents into buckets; a pair at the least similarity of 0.85 meets in no b
 Documents with equal sets are one node of the graph. Candidates are confirmed on full sets. Nodes of a bucket are not
 compared pair by pair: every node is compared with its bucket's centre, the member that meets most others over all
 buckets. Two members that are not linked with the centre can only be linked with each other if they share enough of what
-the centre lacks; each shows the few of its shingles of which a partner must hold one, and members that show none that
-another component shows too are done. The others go on under another centre. After the last round, pairs that show
+the centre lacks, or if what they share lies inside the centre; each shows the few of its shingles of which a partner must
+hold one (of its whole set, where the centre may hold all they share), and members that show none that another component
+shows too are done. The others go on under another centre. After the last round, pairs that show
 the same shingle are compared, which leaves out no possible link. Components of the confirmed links follow by repeated
 contraction, with at most two rows a link in any step.
 
@@ -124,13 +125,14 @@ def _sets(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _compared(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, na, nb, both, beside): sizes of two sets and of what they share; beside: what b must show to a third set.
+    """(a, b, na, nb, both, inside, beside): sizes of two sets and of what they share; beside: what b must show to a third set.
 
     A set that is linked with b holds at least `least` hundredths of b's shingles, so beyond those that b shares with a
     it holds so many of b's others. Of any more than b can lack it holds one: of two such sets, the first ones in the
-    order of the hashes overlap.
+    order of the hashes overlap. inside: b shares so many with a that a linked set may hold none of b's others; two such
+    sets meet by the first ones of their whole sets (`_firsts`).
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("both", pa.int64()), ("beside", pa.list_(pa.int64()))])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("both", pa.int64()), ("inside", pa.bool_()), ("beside", pa.list_(pa.int64()))])
     for batch in batches:
         out = {n: [] for n in schema.names}
         for a, b, x, y in zip(*(batch[c].to_pylist() for c in ("a", "b", "sa", "sb")), strict=True):
@@ -138,12 +140,21 @@ def _compared(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             at = np.searchsorted(x, y)
             same = x[np.minimum(at, len(x) - 1)] == y
             both = int(same.sum())
-            need = max(-(-least * len(y) // 100) - both, 1)
-            for name, value in (("a", a), ("b", b), ("na", len(x)), ("nb", len(y)), ("both", both), ("beside", y[~same][: max(len(y) - both - need + 1, 0)].view(np.int64))):
+            need = -(-least * len(y) // 100) - both
+            inside, need = need <= 0, max(need, 1)
+            for name, value in (("a", a), ("b", b), ("na", len(x)), ("nb", len(y)), ("both", both), ("inside", inside), ("beside", y[~same][: max(len(y) - both - need + 1, 0)].view(np.int64))):
                 out[name].append(value)
         yield pa.RecordBatch.from_pydict(out, schema)
 
 
+def _firsts(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(b, firsts): the shingles of the whole set b, first in the order of the hashes, of which any linked set shows one too."""
+    for batch in batches:
+        sets = [np.frombuffer(s, np.uint64) for s in batch["shingles"].to_pylist()]
+        firsts = [s[: len(s) - -(-least * len(s) // 100) + 1].view(np.int64) for s in sets]
+        yield pa.RecordBatch.from_arrays([batch["b"], pa.array(firsts, pa.list_(pa.int64()))], names=["b", "firsts"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node in `links` (a, b: longs).
 
@@ -191,7 +202,7 @@ def near_links(docs: DataFrame, least: int = 85, words: int = WORDS) -> tuple[Da
     def confirmed(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
         both = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
-        return written(both.mapInArrow(partial(_compared, least), "a long, b long, na long, nb long, both long, beside array<long>"))
+        return written(both.mapInArrow(partial(_compared, least), "a long, b long, na long, nb long, both long, inside boolean, beside array<long>"))
 
     group, links = active.withColumnRenamed("bucket", "group"), None
     for _ in range(CENTRES):
@@ -202,16 +213,25 @@ def near_links(docs: DataFrame, least: int = 85, words: int = WORDS) -> tuple[Da
         new = result.where(similar).select("a", "b")
         links = new if links is None else links.unionByName(new)
         labels = components(links).withColumnRenamed("node", "b")
-        # members of different components that show the same shingle beside their centre may be linked; no others can
-        shown = result.select("a", "b", F.explode("beside").alias("shingle")).join(labels, "b", "left").withColumn("component", F.coalesce("component", "b"))
-        met = shown.groupBy("a", "shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("a", "shingle")
-        open_ = written(shown.join(met, ["a", "shingle"]))
+        # members of different components that show the same shingle may be linked; no others can
+        shown = result.select("a", "b", F.col("nb").alias("n"), F.lit(False).alias("whole"), F.explode("beside").alias("shingle")).join(labels, "b", "left").withColumn("component", F.coalesce("component", "b"))
+        # what members share may lie inside the centre: where these are of different components, they show of their whole sets
+        inside = result.where("inside").select("a", "b", F.col("nb").alias("n")).join(labels, "b", "left").withColumn("component", F.coalesce("component", "b"))
+        mixed = inside.groupBy("a").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("a")
+        inside = written(inside.join(mixed, "a", "left_semi").select("b", "a", "n", "component"))
+        if not inside.isEmpty():
+            all_of = sets.withColumnRenamed("node", "b").join(inside.select("b").distinct(), "b", "left_semi").select("b", "shingles")
+            firsts = all_of.mapInArrow(partial(_firsts, least), "b long, firsts array<long>")
+            shown = shown.unionByName(inside.join(firsts, "b").select("a", "b", "n", F.lit(True).alias("whole"), F.explode("firsts").alias("shingle"), "component"))
+        met = shown.groupBy("a", "whole", "shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("a", "whole", "shingle")
+        open_ = written(shown.join(met, ["a", "whole", "shingle"]))
         if open_.isEmpty():
             return members, links
         # the centre has been compared with all of its group; the others go on under the next one
         group = open_.select("a", "b").distinct().join(led, ["a", "b"]).select(F.col("a").alias("group"), F.col("b").alias("node"), "weight")
     x, y = open_.alias("x"), open_.alias("y")
-    pairs = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.b") < F.col("y.b")) & (F.col("x.component") != F.col("y.component")))
+    sizes = F.greatest("x.n", "y.n") * least <= F.least("x.n", "y.n") * 100  # of linked sets the smaller holds so much
+    pairs = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.whole") == F.col("y.whole")) & (F.col("x.shingle") == F.col("y.shingle")) & sizes & (F.col("x.b") < F.col("y.b")) & (F.col("x.component") != F.col("y.component")))
     more = confirmed(pairs.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct())
     return members, links.unionByName(more.where(similar).select("a", "b"))
 

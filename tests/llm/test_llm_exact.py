@@ -56,6 +56,21 @@ def test_near_groups_without_centres(make, prose, monkeypatch):
     assert found == plain_groups(list(enumerate(prose)))
 
 
+@pytest.mark.parametrize("least, own, shift", [(85, 84, 6), (80, 79, 8)])
+def test_near_groups_inside_a_centre(make, least, own, shift):
+    """Two linked excerpts of longer, much copied texts: neither is linked with those, and all they share lies inside them."""
+    word = lambda k: f"w{k}"
+    core = [word(k) for k in range(own + shift + 4)]
+    rows = [" ".join(core[: own + 4]), " ".join(core[shift:])]
+    for family in range(8):
+        tail = [word(1000 * (family + 1) + k) for k in range(100 - own - shift + 3)]
+        rows += [" ".join(core + tail[: len(tail) - less]) for less in range(4)]
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(make(rows), least).collect()}
+    want = plain_groups(list(enumerate(rows)), least)
+    assert want[1][1] == 0 and sum(w[1] == 0 for w in want.values()) == 2
+    assert found == want
+
+
 def test_near_groups_odd_ids(make):
     t = "one two three four five six seven"
     rows = near_dedup.near_groups(make([(3, t), (3, t), (None, t), (1, t), (7, "other")])).collect()
