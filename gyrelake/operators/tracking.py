@@ -65,12 +65,20 @@ def _extended(ends: DataFrame, most: int) -> DataFrame:
 def fold(obs: DataFrame, most_gap: int = 3, reach: float = 1.0, furthest: float = 125_000.0, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows with track, open ends): day by day, each day linked with the open ends of the day before, virtual ones too.
 
+    On a day without any row every open end moves on virtually, from the latest end of `state` on.
+
     The open ends are one row per live track: what a later run needs to go on (`state`). Every day is written out.
     """
     fields = ["obs_id", "time", "lon", "lat", "amplitude", "radius_s"]
     days = [r[0] for r in obs.select("time").distinct().orderBy("time").collect()]  # one value a day
     done, ends = None, state
+    last = None if state is None else state.agg(F.max("time")).first()[0]
     for day in days:
+        if last is not None and day > last + 1:  # days without any row
+            for _ in range(min(day - last - 1, most_gap + 1)):
+                ends = _extended(ends, most_gap)
+            ends = written(ends)
+        last = day
         now = obs.where(F.col("time") == day).select(*fields)
         if ends is None or ends.isEmpty():
             current = now.withColumns({"track": F.col("obs_id"), "dlon": F.lit(0.0), "dlat": F.lit(0.0), "gap": F.lit(0)})

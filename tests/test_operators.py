@@ -41,6 +41,16 @@ def test_fold_bridges_an_absence(spark):
     assert ends.where("track = 0").count() == 1
 
 
+def test_fold_goes_through_days_without_rows(spark):
+    """Days 3 and 7 to 9 have no row at all: one day is bridged, three are one too many."""
+    obs = spark.createDataFrame([(t, t, 0.25 * t, 10.0, 1.0, 5e4) for t in (0, 1, 2, 4, 5, 6, 10)], "obs_id long, time int, lon double, lat double, amplitude double, radius_s double")
+    done, ends = tracking.fold(obs, 2)
+    assert {r["obs_id"]: r["track"] for r in done.collect()} == dict.fromkeys((0, 1, 2, 4, 5, 6), 0) | {10: 10}
+    assert [r["track"] for r in ends.collect()] == [10]
+    first, state = tracking.fold(obs.where("time < 3"), 2)
+    assert {r["track"] for r in tracking.fold(obs.where("time between 3 and 5"), 2, state=state)[0].collect()} == {0}
+
+
 def test_streaming_tracker(spark, tmp_path):
     rows = [(0, 10 * t + k, t, 0.3 * t + 20.0 * k, 5.0) for t in (0, 1, 3, 4) for k in (0, 1)]
     spark.createDataFrame(rows, tracker.OUT.replace("track long", "lon double, lat double")).coalesce(1).write.parquet(str(tmp_path / "in"))
@@ -50,6 +60,22 @@ def test_streaming_tracker(spark, tmp_path):
     assert {r["obs_id"]: r["track"] for r in spark.table("tracked").collect()} == {10 * t + k: k for t in (0, 1, 3, 4) for k in (0, 1)}
 
 
+@pytest.mark.parametrize("hold", [False, True])
+def test_streaming_tracker_day_over_batches(spark, tmp_path, hold):
+    """A region's day in two files, each a micro-batch of its own, after a day without rows."""
+    schema = tracker.OUT.replace("track long", "lon double, lat double")
+    rows = lambda t, ks: [(0, 10 * t + k, t, 0.3 * t + 20.0 * k, 5.0) for k in ks]
+    parts = [rows(0, (0, 1, 2)), rows(2, (1,)), rows(2, (0, 2)), rows(3, (2,)), rows(3, (1, 0)), rows(9, (0,))]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in*"))
+        q = tracker.tracked(stream, **({"hold": True} if hold else {})).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+        assert q.awaitTermination(60)
+    found = [(r["obs_id"], r["track"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    want = {10 * t + k: k for t in (0, 2, 3) for k in (0, 1, 2)} | ({90: 90} if not hold else {})
+    assert len(found) == len(dict(found)) and dict(found) == want
+
+
 def test_registry_and_files(spark, tmp_path):
     assert src.schema(src.TRACK)["track"].dataType.typeName() == "long"
     with pytest.raises(KeyError):
