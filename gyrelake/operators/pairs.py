@@ -82,13 +82,14 @@ def match(a: DataFrame, b: DataFrame, kind: str = "union", least: float = 0.0, o
     return scored.where((F.col("score") >= least) & (F.col("score") > 0))
 
 
-def holder(points: DataFrame, rings: DataFrame, size: float = 1.0) -> DataFrame:
-    """Each point (pid, x, y) with the smallest obs_id of the rings that hold it; null if none does or a coordinate is missing."""
+def holder(points: DataFrame, rings: DataFrame, size: float = 1.0, on: list[str] | None = None) -> DataFrame:
+    """Each point (pid, x, y) with the smallest obs_id of the rings that hold it; null if none does or a coordinate is missing. on: equal keys."""
+    on = on or []
     edge = lambda pick, k: F.floor(pick(F.transform("ring", lambda p: p[k])) / size).cast("int")
-    dealt = rings.select("obs_id", "ring", F.explode(F.sequence(edge(F.array_min, "x"), edge(F.array_max, "x"))).alias("_i"))
+    dealt = rings.select("obs_id", "ring", *on, F.explode(F.sequence(edge(F.array_min, "x"), edge(F.array_max, "x"))).alias("_i"))
     dealt = dealt.withColumn("_j", F.explode(F.sequence(edge(F.array_min, "y"), edge(F.array_max, "y"))))
     at = points.where("not (isnan(x) or isnan(y))").withColumns({"_i": F.floor(F.col("x") / size).cast("int"), "_j": F.floor(F.col("y") / size).cast("int")})
-    inside = at.join(dealt, ["_i", "_j"]).where(winding(F.col("ring"), F.col("x"), F.col("y")) != 0).groupBy("pid").agg(F.min("obs_id").alias("obs_id"))
+    inside = at.join(dealt, ["_i", "_j", *on]).where(winding(F.col("ring"), F.col("x"), F.col("y")) != 0).groupBy("pid").agg(F.min("obs_id").alias("obs_id"))
     return points.join(inside, "pid", "left")
 
 
@@ -177,9 +178,9 @@ def unmatched(df: DataFrame, pairs: DataFrame, side: str = "a") -> DataFrame:
     return df.join(pairs.select(F.col(side).alias("obs_id")), "obs_id", "left_anti")
 
 
-def inside_any(df: DataFrame, polygons: DataFrame) -> DataFrame:
-    """Rows whose centre lies in any of the polygons (obs_id, ring)."""
-    found = holder(df.select(F.col("obs_id").alias("pid"), F.col("lon").alias("x"), F.col("lat").alias("y")), polygons).where("obs_id is not null").select(F.col("pid").alias("obs_id"))
+def inside_any(df: DataFrame, polygons: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """Rows whose centre lies in any of the polygons (obs_id, ring). on: equal keys."""
+    found = holder(df.select(F.col("obs_id").alias("pid"), F.col("lon").alias("x"), F.col("lat").alias("y"), *(on or [])), polygons, on=on).where("obs_id is not null").select(F.col("pid").alias("obs_id"))
     return df.join(found, "obs_id", "left_semi")
 
 

@@ -50,6 +50,6 @@ def fsle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return advection.separation(seeds, basin(spark), 0, 2, 0.02, 0.03)
 
 
-simple("tracks_from_links", lambda o: tracking.as_tracks(o.where("time < 27034"), tracking.day_links(o.where("time < 27034"))).select("obs_id", "track", "n"), None)
-simple("tracker_fold", lambda o: tracking.fold(o.where("time < 27031"))[0], None)
+simple("tracks_from_links", lambda o: tracking.as_tracks(o, tracking.day_links(o)).select("obs_id", "track", "n"), None)
+simple("tracker_fold", lambda o: tracking.fold(o)[0], None)
 simple("seeded_rings", lambda o: o.where("n = 0").withColumn("ring", box_ring(0.3)).select("obs_id", F.size("ring").alias("points")), "SELECT obs_id, 5 AS points FROM obs WHERE n = 0")

@@ -69,9 +69,8 @@ simple("time_edges", lambda o: networks.time_edges(o, 2, 0.5).select("a", "b", F
 
 
 def _segments(o: DataFrame) -> DataFrame:
-    part = o.where("track < 60")
-    edges = networks.time_edges(part, 2, 0.3)
-    return networks.segmented(networks.grouped(part, edges), edges).select("obs_id", "track", "segment", "next_id", "prev_id")
+    edges = networks.time_edges(o, 2, 0.3)
+    return networks.segmented(networks.grouped(o, edges), edges).select("obs_id", "track", "segment", "next_id", "prev_id")
 
 
 simple("split_segments", _segments, None)

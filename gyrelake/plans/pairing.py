@@ -78,4 +78,30 @@ simple("contains", _holders, "SELECT p.obs_id AS pid, min(r.obs_id) AS obs_id FR
 simple("mask_from_polygons", lambda o: pairs.inside_any(o, o.where("time = 27035 and track % 10 = 0").withColumn("ring", box_ring(2.0)).select("obs_id", "ring")).select("obs_id"), "SELECT DISTINCT p.obs_id FROM obs p JOIN obs r ON r.time = 27035 AND r.track % 10 = 0 AND p.lon >= r.lon - 2 AND p.lon < r.lon + 2 AND p.lat >= r.lat - 2 AND p.lat < r.lat + 2")
 simple("seed_mesh", lambda o: pairs.seeds(o.where("n = 0").withColumn("ring", box_ring(0.5)), 0.25).groupBy("obs_id").agg(F.count("*").alias("n")), "SELECT obs_id, CAST((ceil((lon + 0.5) / 0.25) - ceil((lon - 0.5) / 0.25)) * (ceil((lat + 0.5) / 0.25) - ceil((lat - 0.5) / 0.25)) AS BIGINT) AS n FROM obs WHERE n = 0")
 simple("track_outline", lambda o: pairs.merged_outline(o.where("track < 20").withColumn("ring", box_ring(0.5)), 0.5).groupBy("track").agg(F.count("*").alias("cells")), "c AS (SELECT DISTINCT track, i, j FROM obs, range(-100, 200) a(i), range(-100, 100) b(j) WHERE track < 20 AND (i + 0.5) * 0.5 >= lon - 0.5 AND (i + 0.5) * 0.5 < lon + 0.5 AND (j + 0.5) * 0.5 >= lat - 0.5 AND (j + 0.5) * 0.5 < lat + 0.5) SELECT track, count(*) AS cells FROM c GROUP BY 1")
-simple("greedy_assign", lambda o: rounded(pairs.assigned(pairs.step_candidates(o.where("time < 27036"))), "cost"), None)
+simple("greedy_assign", lambda o: rounded(pairs.assigned(pairs.step_candidates(o)), "cost"), None)
+
+
+# The queries above that read some days or tracks only, over the whole view.
+
+
+def _all_rings(o: DataFrame) -> DataFrame:
+    r = o.withColumn("ring", box_ring(0.5)).select("obs_id", "time", "ring")
+    return rounded(pairs.match(r, r, "union", 0.2, ["time"]).where("a_obs_id < b_obs_id").select(*IDS, "score"), "score")
+
+
+def _day_before(o: DataFrame, half: float) -> DataFrame:
+    return o.withColumns({"ring": box_ring(half), "time": F.col("time") + 1}).select("obs_id", "time", "ring")
+
+
+def _all_holders(o: DataFrame) -> DataFrame:
+    points = o.select(F.col("obs_id").alias("pid"), "time", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return pairs.holder(points, _day_before(o, 0.5), on=["time"]).select("pid", "obs_id")
+
+
+BEFORE = "r.time = p.time - 1 AND p.lon >= r.lon - {0} AND p.lon < r.lon + {0} AND p.lat >= r.lat - {0} AND p.lat < r.lat + {0}"
+simple("match_rings_whole", _all_rings, f"p AS (SELECT a.obs_id AS a_obs_id, b.obs_id AS b_obs_id, {SHARED} AS s {SAME_DAY} WHERE {META.format(1.0)}) SELECT a_obs_id, b_obs_id, round(s / (2.0 - s), 6) AS score FROM p WHERE s / (2.0 - s) >= 0.2")
+simple("align_on_inner_whole", lambda o: pairs.aligned(o.where("track % 2 = 0"), o.where("track % 2 = 1"), "time", 3).groupBy("bin").agg(F.count("*").alias("n")), "SELECT CAST(floor(a.time / 3) AS BIGINT) AS bin, count(*) AS n FROM obs a JOIN obs b ON floor(a.time / 3) = floor(b.time / 3) WHERE a.track % 2 = 0 AND b.track % 2 = 1 GROUP BY 1")
+simple("align_on_left_whole", lambda o: pairs.aligned(o.where("track % 2 = 0"), o.where("track % 2 = 1"), "time", 3, True).groupBy("bin").agg(F.count("b_obs_id").alias("n")), "SELECT CAST(floor(a.time / 3) AS BIGINT) AS bin, count(b.obs_id) AS n FROM obs a LEFT JOIN (SELECT * FROM obs WHERE track % 2 = 1) b ON floor(a.time / 3) = floor(b.time / 3) WHERE a.track % 2 = 0 GROUP BY 1")
+simple("contains_whole", _all_holders, f"SELECT p.obs_id AS pid, min(r.obs_id) AS obs_id FROM obs p LEFT JOIN obs r ON {BEFORE.format('0.5')} GROUP BY 1")
+simple("mask_from_polygons_whole", lambda o: pairs.inside_any(o, _day_before(o, 2.0), ["time"]).select("obs_id"), f"SELECT DISTINCT p.obs_id FROM obs p JOIN obs r ON {BEFORE.format('2')}")
+simple("track_outline_whole", lambda o: pairs.merged_outline(o.withColumn("ring", box_ring(0.5)), 0.5).groupBy("track").agg(F.count("*").alias("cells")), "c AS (SELECT DISTINCT track, i, j FROM obs, range(-100, 200) a(i), range(-100, 100) b(j) WHERE (i + 0.5) * 0.5 >= lon - 0.5 AND (i + 0.5) * 0.5 < lon + 0.5 AND (j + 0.5) * 0.5 >= lat - 0.5 AND (j + 0.5) * 0.5 < lat + 0.5) SELECT track, count(*) AS cells FROM c GROUP BY 1")

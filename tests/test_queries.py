@@ -33,6 +33,22 @@ def test_equal_to_sql(spark, duck, name):
     assert shown(df.select(*sorted(columns)).collect()) == shown(tuple(dict(zip(columns, r, strict=True))[c] for c in sorted(columns)) for r in found.fetchall())
 
 
+def test_whole_view(spark, tmp_path):
+    """Three users far apart, with ids and days beyond any bound: each is one track."""
+    days, users = ("2024-01-10", "2024-01-11", "2024-01-12"), (3, 70, 141)
+    events = [(u, d, 1.0 + u) for d in days for u in users]
+    spark.createDataFrame(events, "user_id long, day string, value double").selectExpr("user_id", "cast(day as timestamp) as ts", "value").write.parquet(str(tmp_path / "events.parquet"))
+    rows = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    ids = {u: [u * 100000 + k for k in range(3)] for u in users}
+    assert {(r["a"], r["b"]) for r in rows("greedy_assign")} == {p for v in ids.values() for p in zip(v, v[1:])}
+    assert {r["obs_id"]: r["track"] for r in rows("tracker_fold")} == {i: v[0] for v in ids.values() for i in v}
+    found = {r["obs_id"]: (r["track"], r["n"]) for r in rows("tracks_from_links")}
+    assert found == {i: (k, n) for k, v in enumerate(ids.values()) for n, i in enumerate(v)}
+    net = {r["obs_id"]: r for r in rows("split_segments")}
+    assert {i: r["next_id"] for i, r in net.items() if r["next_id"] in net} == {i: j for v in ids.values() for i, j in zip(v, v[1:])}
+    assert set(net) == {i for v in ids.values() for i in v}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - SLOW))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).columns
