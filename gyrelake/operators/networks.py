@@ -31,22 +31,22 @@ def time_edges(obs: DataFrame, window: int, delta: float | None = None, least: f
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of all nodes in edges (a, b), by large-star and small-star steps.
 
-    A step makes at most as many rows as there are edges, whatever the degree of a node.
+    A step makes at most as many rows as there are edges, whatever the degree of a node. Roots are written before they
+    are joined, so that both sides are shuffled for the join itself and Spark can split the rows of a hub.
     """
     pairs = written(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi > lo").distinct())
-    seen = None
     while True:
+        # done when every node has one link, and that to a node that has none downwards
+        roots = pairs.select(F.col("lo").alias("hi")).distinct().withColumn("is_root", F.lit(True))
+        if pairs.groupBy("hi").agg(F.count("*").alias("n")).join(roots, "hi", "left").where("n > 1 or is_root").isEmpty():
+            own = roots.select(F.col("hi").alias("node"), F.col("hi").alias("component"))
+            return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(own)
         ways = pairs.unionByName(pairs.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        root = ways.groupBy("hi").agg(F.min("lo").alias("root")).select("hi", F.least("hi", "root").alias("root"))
-        star = ways.join(root, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("root").alias("lo")).where("hi > lo").distinct()
-        root = star.groupBy("hi").agg(F.min("lo").alias("root"))
+        root = written(ways.groupBy("hi").agg(F.min("lo").alias("root")).select("hi", F.least("hi", "root").alias("root")))
+        star = written(ways.join(root, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("root").alias("lo")).where("hi > lo").distinct())
+        root = written(star.groupBy("hi").agg(F.min("lo").alias("root")))
         other = star.join(root, "hi").where("lo > root").select(F.col("lo").alias("hi"), F.col("root").alias("lo"))
         pairs = written(other.unionByName(root.withColumnRenamed("root", "lo")).distinct())
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if now == seen:
-            roots = pairs.select(F.col("lo").alias("node")).distinct().withColumn("component", F.col("node"))
-            return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots)
-        seen = now
 
 
 def grouped(obs: DataFrame, edges: DataFrame) -> DataFrame:

@@ -5,13 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. A local one stands in for it only where driver and executors are one
+    process, as in tests: on a cluster every executor would write to a disk of its own, so there it is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/checkpoints"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """`df` written and reread, in the folder that spark.checkpoint.dir names; a local one only where none is named."""
+    """`df` as a Parquet table in the shared folder, reread: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    path = f"{named.rstrip('/') if named else tempfile.gettempdir() + '/checkpoints'}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
