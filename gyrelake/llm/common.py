@@ -2,24 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from gyrelake.sources.tables import written
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else tempfile.gettempdir() + "/checkpoints"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a Parquet table in the shared folder, reread: it cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["free_name", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,38 +4,43 @@ A document is the set of its distinct word shingles. Each permutation of the shi
 the smallest and the largest, so that half as many hash evaluations fill a signature. `BANDS` bands of `ROWS` values each
 put documents into buckets; a pair at the least similarity of 0.85 meets in no bucket with a probability below 1e-8.
 
-Documents with equal sets are one node of the graph. Candidates are confirmed on full sets. Nodes of a bucket are not
-compared pair by pair: every node is compared with its bucket's centre, the member that meets most others over all
-buckets. Two members that are not linked with the centre can only be linked with each other if they share enough of what
-the centre lacks, or if what they share lies inside the centre; each shows the few of its shingles of which a partner must
-hold one (of its whole set, where the centre may hold all they share), and members that show none that another component
-shows too are done. The others go on under another centre. After the last round, pairs that show
-the same shingle are compared, which leaves out no possible link. Components of the confirmed links follow by repeated
-contraction, with at most two rows a link in any step.
+Documents with equal sets are one node of the graph; candidates are confirmed on full sets. Nodes of a bucket are not
+compared pair by pair. Every node is first compared with its bucket's centre, the member that meets most others over all
+buckets; what is linked then is one component, and a bucket of one component is done. Of the nodes in the other buckets
+two can still be linked, if they are of different components and share one of the first shingles of both, in the order of
+how few nodes hold a shingle: each node shows so many of them, for every class of sizes that a partner can have, that no
+link is missed. As the rarest come first, what all members of a group hold is hardly ever shown. Where nodes that show the
+same would still make more than `SPARSE` pairs a row, they too are compared with a centre, and again, until they don't;
+each such round settles every group's centre, so the rounds end and nothing is left out. The last step compares what
+remains in pairs, which are linear in the rows by then. Components are contracted after each step, so no step sees more
+than its own new links.
 
 Defined results: A to Z are lowered, no other letter; words are runs of characters other than space and the five controls
 from tab to carriage return; texts of fewer words than a shingle are one shingle of all their words; a text without words, or a null text, has an
 empty set and is linked with nothing; rows with the same doc_id are one node; a null doc_id is linked with nothing and
-has a null component; an empty table gives an empty result.
+has a null component; an empty table gives an empty result; other columns pass through `dedup_near` and do not appear in
+`near_groups`. Shingles are told apart by 64-bit hashes and equal sets by 128-bit digests of those.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gyrelake.llm.common import free_name, written
+from gyrelake.llm.common import written
+from gyrelake.operators.networks import components
 
 WORDS = 5
 BANDS, ROWS = 40, 6
-#: Rounds of centres before what is left is compared pair by pair.
-CENTRES = 4
+#: Pairs for each row that shows a shingle, above which a centre is compared first. Ratio of sizes within a class.
+SPARSE, CLASS = 4, 1.02
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -120,128 +125,136 @@ def _signed(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 def _sets(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler(words)
+    kind = pa.list_(pa.int64())
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch["node"], pa.array([shingler(t).tobytes() for t in batch["text"].to_pylist()], pa.binary())], names=["node", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch["node"], pa.array([shingler(t).view(np.int64) for t in batch["text"].to_pylist()], kind)], names=["node", "shingles"])
 
 
-def _compared(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, na, nb, both, inside, beside): sizes of two sets and of what they share; beside: what b must show to a third set.
+def _up(x: Column, by: int) -> Column:
+    """x / by in whole numbers, rounded up."""
+    return F.floor((x + (by - 1)) / by)
 
-    A set that is linked with b holds at least `least` hundredths of b's shingles, so beyond those that b shares with a
-    it holds so many of b's others. Of any more than b can lack it holds one: of two such sets, the first ones in the
-    order of the hashes overlap. inside: b shares so many with a that a linked set may hold none of b's others; two such
-    sets meet by the first ones of their whole sets (`_firsts`).
-    """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("both", pa.int64()), ("inside", pa.bool_()), ("beside", pa.list_(pa.int64()))])
-    for batch in batches:
-        out = {n: [] for n in schema.names}
-        for a, b, x, y in zip(*(batch[c].to_pylist() for c in ("a", "b", "sa", "sb")), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            at = np.searchsorted(x, y)
-            same = x[np.minimum(at, len(x) - 1)] == y
-            both = int(same.sum())
-            need = -(-least * len(y) // 100) - both
-            inside, need = need <= 0, max(need, 1)
-            for name, value in (("a", a), ("b", b), ("na", len(x)), ("nb", len(y)), ("both", both), ("inside", inside), ("beside", y[~same][: max(len(y) - both - need + 1, 0)].view(np.int64))):
-                out[name].append(value)
-        yield pa.RecordBatch.from_pydict(out, schema)
-
-
-def _firsts(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(b, firsts): the shingles of the whole set b, first in the order of the hashes, of which any linked set shows one too."""
-    for batch in batches:
-        sets = [np.frombuffer(s, np.uint64) for s in batch["shingles"].to_pylist()]
-        firsts = [s[: len(s) - -(-least * len(s) // 100) + 1].view(np.int64) for s in sets]
-        yield pa.RecordBatch.from_arrays([batch["b"], pa.array(firsts, pa.list_(pa.int64()))], names=["b", "firsts"])
+
+def _joint(a: Column, b: Column, least: int) -> Column:
+    """Shingles that sets of these sizes share at least if they are linked."""
+    return _up((a + b) * least, 100 + least)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) that are linked, by their full sets; other columns stay. The centres' sets travel, one for a pair."""
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    similar = F.col("both") * 100 >= least * (F.size("sa") + F.size("sb") - F.col("both"))
+    return written(both.where(similar).select(*pairs.columns).distinct())
+
+
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels (node, component) after links between components (a, b); a component without links is its only node's id."""
+    new = components(edges).select(F.col("node").alias("old"), F.col("component").alias("new"))
+    every = labels.unionByName(new.select(F.col("old").alias("node"), F.col("old").alias("component"))).distinct()
+    return written(every.join(new, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component")))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, component (the smallest node reachable) of every node in `links` (a, b: longs).
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    Large-star and small-star steps: each joins a node's neighbours to the smallest of them, so no step makes more
-    rows than links. Every round is written out, so a lost executor costs one round at most.
+
+def centred(rows: DataFrame, key: list[str], least: int) -> DataFrame:
+    """(a, b): each group's centre with every other member that is not too large or too small to be linked with it."""
+    best = rows.groupBy(*key).agg(F.max(F.struct("weight", F.negate("node").alias("other"), F.col("node").alias("a"), F.col("n").alias("na"))).alias("best"))
+    best = written(best.select(*key, "best.a", "best.na"))
+    sizes = F.greatest("na", "n") * least <= F.least("na", "n") * 100
+    return written(rows.join(best, key).where((F.col("node") != F.col("a")) & sizes).select("a", F.col("node").alias("b")).distinct())
+
+
+def shown(sets: DataFrame, least: int) -> DataFrame:
+    """(shingle, kind, node, n, pos, small): the shingles that every set shows to sets of the class `kind` of sizes.
+
+    Of two linked sets the smaller shows, in its own class (small), the first of the shingles that they share, and the
+    larger shows it to that class. pos is its place in the set, in the order of how many sets hold a shingle.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        edges = written(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    own = sets.select(F.xxhash64("node", "shingles").alias("id"), "node", F.size("shingles").cast("long").alias("n"), "shingles")
+    flat = own.select("id", F.explode("shingles").alias("shingle"))
+    held = flat.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1")
+    # shingles of one set only come first, and no other set shows them
+    common = flat.join(held, "shingle").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("sets", "shingle"))).alias("common"))
+    placed = own.select("id", "node", "n").distinct().join(common, "id").select("node", "n", F.posexplode("common").alias("pos", "common"), (F.col("n") - F.size("common")).alias("alone"))
+    placed = placed.select("node", "n", F.col("common.shingle").alias("shingle"), (F.col("pos") + F.col("alone")).alias("pos"))
+    least_n, width = _up(F.col("n") * least, 100), math.log(CLASS)
+    kind = lambda n: F.floor(F.log(n) / width)
+    placed = placed.where(F.col("pos") <= F.col("n") - least_n).withColumn("kind", F.explode(F.sequence(kind(least_n), kind(F.col("n")))))
+    lowest = F.greatest(least_n, F.floor(F.exp(F.col("kind") * width)) - 1)
+    placed = placed.where(F.col("pos") <= F.col("n") - _joint(lowest, F.col("n"), least))
+    small = (F.col("kind") == kind(F.col("n"))) & (F.col("pos") <= F.col("n") - _joint(F.col("n"), F.col("n"), least))
+    return placed.select("shingle", "kind", "node", "n", "pos", small.alias("small"))
 
 
 def near_links(docs: DataFrame, least: int = 85, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members has node, doc_id, n_shingles of every row; links has a, b: confirmed pairs of nodes that
-    connect all nodes that are linked by pairs with 100 * shared >= least * united."""
+    """(members, labels): members has node, doc_id, n_shingles of every row; labels has node, component of all nodes that
+    are linked by pairs with 100 * shared >= least * united. A component's name is its smallest node."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(texts.mapInArrow(partial(_signed, words), "doc_id long, n_shingles long, digest binary, bands array<long>"))
     # one node for equal sets: their smallest doc_id
-    nodes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
+    nodes = written(signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node")))
     members = signed.select("doc_id", "n_shingles", "digest").join(nodes, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node"))
     owners = signed.select("digest", F.col("doc_id").alias("node"), "bands", "n_shingles").join(nodes, ["digest", "node"], "left_semi")
-    keyed = owners.select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    meets = written(keyed.join(shared.select("bucket", "size"), "bucket").select("bucket", "size", "node", F.col("n_shingles").alias("n")))
+    keyed = owners.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    shared = written(keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket", "size"))
+    meets = written(keyed.join(shared, "bucket"))
     # how many others a node meets over all its buckets: the text that the others were made from meets most
     central = meets.groupBy("node").agg(F.sum("size").alias("weight"))
-    active = written(meets.join(central, "node").select("bucket", "node", "weight"))
+    active = written(meets.join(central, "node").select("bucket", "node", "n", "weight"))
     own = texts.withColumnRenamed("doc_id", "node").join(active.select("node").distinct(), "node", "left_semi")
-    sets = written(own.mapInArrow(partial(_sets, words), "node long, shingles binary"))
-    similar = F.col("both") * 100 >= least * (F.col("na") + F.col("nb") - F.col("both"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-        both = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
-        return written(both.mapInArrow(partial(_compared, least), "a long, b long, na long, nb long, both long, inside boolean, beside array<long>"))
-
-    group, links = active.withColumnRenamed("bucket", "group"), None
-    for _ in range(CENTRES):
-        best = group.groupBy("group").agg(F.max(F.struct("weight", F.negate("node").alias("other"), F.col("node").alias("centre"))).alias("best")).select("group", F.col("best.centre").alias("centre"))
-        led = group.join(best, "group").where(F.col("node") != F.col("centre")).groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.max("weight").alias("weight"))
-        led = written(led)
-        result = confirmed(led.select("a", "b"))
-        new = result.where(similar).select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        labels = components(links).withColumnRenamed("node", "b")
-        # members of different components that show the same shingle may be linked; no others can
-        shown = result.select("a", "b", F.col("nb").alias("n"), F.lit(False).alias("whole"), F.explode("beside").alias("shingle")).join(labels, "b", "left").withColumn("component", F.coalesce("component", "b"))
-        # what members share may lie inside the centre: where these are of different components, they show of their whole sets
-        inside = result.where("inside").select("a", "b", F.col("nb").alias("n")).join(labels, "b", "left").withColumn("component", F.coalesce("component", "b"))
-        mixed = inside.groupBy("a").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("a")
-        inside = written(inside.join(mixed, "a", "left_semi").select("b", "a", "n", "component"))
-        if not inside.isEmpty():
-            all_of = sets.withColumnRenamed("node", "b").join(inside.select("b").distinct(), "b", "left_semi").select("b", "shingles")
-            firsts = all_of.mapInArrow(partial(_firsts, least), "b long, firsts array<long>")
-            shown = shown.unionByName(inside.join(firsts, "b").select("a", "b", "n", F.lit(True).alias("whole"), F.explode("firsts").alias("shingle"), "component"))
-        met = shown.groupBy("a", "whole", "shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("a", "whole", "shingle")
-        open_ = written(shown.join(met, ["a", "whole", "shingle"]))
-        if open_.isEmpty():
-            return members, links
-        # the centre has been compared with all of its group; the others go on under the next one
-        group = open_.select("a", "b").distinct().join(led, ["a", "b"]).select(F.col("a").alias("group"), F.col("b").alias("node"), "weight")
-    x, y = open_.alias("x"), open_.alias("y")
-    sizes = F.greatest("x.n", "y.n") * least <= F.least("x.n", "y.n") * 100  # of linked sets the smaller holds so much
-    pairs = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.whole") == F.col("y.whole")) & (F.col("x.shingle") == F.col("y.shingle")) & sizes & (F.col("x.b") < F.col("y.b")) & (F.col("x.component") != F.col("y.component")))
-    more = confirmed(pairs.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct())
-    return members, links.unionByName(more.where(similar).select("a", "b"))
+    sets = written(own.mapInArrow(partial(_sets, words), "node long, shingles array<long>"))
+
+    labels = written(components(confirmed(centred(active, ["bucket"], least), sets, least)))
+    active = written(labelled(active, labels))
+    mixed = active.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
+    open_ = written(active.join(mixed, "bucket", "left_semi").select("node", "weight", "component").distinct())
+    if open_.isEmpty():
+        return members, labels
+    rows = written(shown(sets.join(open_.select("node"), "node", "left_semi"), least).join(open_, "node"))
+    key = ["shingle", "kind"]
+    while True:
+        part = rows.groupBy(*key, "component").agg(F.count_if("small").alias("x"), F.count("*").alias("y"))
+        group = part.groupBy(*key).agg((F.sum("x") * F.sum("y") - F.sum(F.col("x") * F.col("y"))).alias("pairs")).where("pairs > 0")
+        rows = written(rows.join(group, key))
+        total = rows.agg(F.count("*"), F.sum(F.col("pairs") / F.lit(1.0))).first()
+        # pairs stand on every row of their group
+        wanted = group.agg(F.sum("pairs")).first()[0] or 0
+        if not total[0]:
+            return members, labels
+        rows = rows.drop("pairs")
+        if wanted <= SPARSE * total[0]:
+            break
+        led = centred(rows, key, least)
+        known = rows.select("node", "component").distinct()
+        of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))  # noqa: E731, B023
+        new = confirmed(led.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select("a", "b", "ca", "cb"), sets, least)
+        # the centre has been compared with all of its group
+        best = rows.groupBy(*key).agg(F.max(F.struct("weight", F.negate("node").alias("other"))).alias("best")).select(*key, F.negate("best.other").alias("node"))
+        rows = rows.join(best, [*key, "node"], "left_anti")
+        if not new.isEmpty():
+            edges = new.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+            labels = merged(labels, edges)
+            rows = labelled(rows.drop("component"), labels)
+        rows = written(rows)
+    x, y = rows.where("small").alias("x"), rows.alias("y")
+    joint = _joint(F.col("x.n"), F.col("y.n"), least)
+    order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
+    fits = (F.col("y.n") * least <= F.col("x.n") * 100) & (F.col("x.pos") <= F.col("x.n") - joint) & (F.col("y.pos") <= F.col("y.n") - joint)
+    same = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.kind") == F.col("y.kind"))
+    pairs = x.join(y, same & order & fits & (F.col("x.component") != F.col("y.component")))
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb")).distinct()
+    new = confirmed(pairs, sets, least)
+    return members, labels if new.isEmpty() else merged(labels, new.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
 
 
 def near_groups(docs: DataFrame, least: int = 85, words: int = WORDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept."""
-    members, links = near_links(docs, least, words)
-    labelled = members.join(components(links), "node", "left")
-    component = F.coalesce("component", "node")
-    return labelled.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    members, labels = near_links(docs, least, words)
+    kept = F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True))
+    return labelled(members, labels).select("doc_id", "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
 
 
 def dedup_near(docs: DataFrame, least: int = 80, words: int = WORDS) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators with exact results against plain versions."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -49,11 +50,20 @@ def test_near_groups(make, prose, least):
     assert found == plain_groups(list(enumerate(prose)), least)
 
 
-def test_near_groups_without_centres(make, prose, monkeypatch):
-    """What the centres leave over is compared pair by pair."""
-    monkeypatch.setattr(near_dedup, "CENTRES", 1)
-    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(make(prose)).collect()}
-    assert found == plain_groups(list(enumerate(prose)))
+@pytest.mark.parametrize("sparse", [0, 10**9])
+def test_near_groups_by_centres_or_pairs(make, prose, monkeypatch, sparse):
+    """What the buckets' centres leave over is settled by further centres, or by pairs."""
+    monkeypatch.setattr(near_dedup, "SPARSE", sparse)
+    rng = random.Random(8)
+    words = [f"v{i}" for i in range(300)]
+    base, rows = [rng.choice(words) for _ in range(150)], list(prose)
+    for _ in range(60):  # copies about as far from each other as the bound
+        own = list(base)
+        for _ in range(rng.randint(0, 5)):
+            own[rng.randrange(150)] = rng.choice(words[:6])
+        rows.append(" ".join(own[rng.randint(0, 20) : 150 - rng.randint(0, 20)]))
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(make(rows)).collect()}
+    assert found == plain_groups(list(enumerate(rows)))
 
 
 @pytest.mark.parametrize("least, own, shift", [(85, 84, 6), (80, 79, 8)])
