@@ -10,9 +10,9 @@ buckets; what is linked then is one component, and a bucket of one component is
 two can still be linked, if they are of different components and share one of the first shingles of both, in the order of
 how few nodes hold a shingle: each node shows so many of them, for every class of sizes that a partner can have, that no
 link is missed. As the rarest come first, what all members of a group hold is hardly ever shown. Where nodes that show the
-same would still make more than `SPARSE` pairs a row, they too are compared with a centre, and again, until they don't;
-each such round settles every group's centre, so the rounds end and nothing is left out. The last step compares what
-remains in pairs, which are linear in the rows by then. Components are contracted after each step, so no step sees more
+same would still make more than `SPARSE` pairs for each place in a bucket, they too are compared with a centre, and
+again, until they don't; each such round settles every group's centre, so the rounds end and nothing is left out. The last
+step joins what remains, linear in the rows by then; sizes and places in the order rule out all but a few pairs of it. Components are contracted after each step, so no step sees more
 than its own new links.
 
 Defined results: A to Z are lowered, no other letter; words are runs of characters other than space and the five controls
@@ -39,8 +39,9 @@ from gyrelake.operators.networks import components
 
 WORDS = 5
 BANDS, ROWS = 40, 6
-#: Pairs for each row that shows a shingle, above which a centre is compared first. Ratio of sizes within a class.
-SPARSE, CLASS = 4, 1.02
+#: Pairs by one shown shingle for each place of a node in a bucket, above which a centre is compared first: their sizes
+#: and places are looked at within the join, in far less time than signing a text takes. Ratio of sizes within a class.
+SPARSE, CLASS = 200, 1.02
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -88,15 +89,16 @@ class Shingler:
 
 
 def signature(shingles: np.ndarray, permutations: int) -> np.ndarray:
-    """The smallest and the largest value of each permutation, side by side."""
+    """The smallest and the largest value of each permutation, side by side. Shingles are mixed hashes already, so a
+    product with an odd number permutes them."""
     factors = _mix(np.arange(1, permutations + 1, dtype=np.uint64) * _ODD) | np.uint64(1)
-    out = np.empty(2 * permutations, np.uint64)
-    for i, f in enumerate(factors):
-        x = shingles * f
-        x ^= x >> np.uint64(32)
-        x *= _ODD
-        out[2 * i], out[2 * i + 1] = x.min(), x.max()
-    return out
+    out = np.empty((permutations, 2), np.uint64)
+    step = max(1, 32_768 // len(shingles))
+    for i in range(0, permutations, step):
+        x = factors[i : i + step, None] * shingles
+        x.min(axis=1, out=out[i : i + step, 0])
+        x.max(axis=1, out=out[i : i + step, 1])
+    return out.ravel()
 
 
 def band_keys(values: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -213,19 +215,18 @@ def near_links(docs: DataFrame, least: int = 85, words: int = WORDS) -> tuple[Da
     open_ = written(active.join(mixed, "bucket", "left_semi").select("node", "weight", "component").distinct())
     if open_.isEmpty():
         return members, labels
+    met = active.count()
     rows = written(shown(sets.join(open_.select("node"), "node", "left_semi"), least).join(open_, "node"))
     key = ["shingle", "kind"]
     while True:
         part = rows.groupBy(*key, "component").agg(F.count_if("small").alias("x"), F.count("*").alias("y"))
-        group = part.groupBy(*key).agg((F.sum("x") * F.sum("y") - F.sum(F.col("x") * F.col("y"))).alias("pairs")).where("pairs > 0")
+        group = part.groupBy(*key).agg((F.sum("x") * F.sum("y") - F.sum(F.col("x") * F.col("y"))).alias("pairs"), F.sum("y").alias("size")).where("pairs > 0")
         rows = written(rows.join(group, key))
-        total = rows.agg(F.count("*"), F.sum(F.col("pairs") / F.lit(1.0))).first()
-        # pairs stand on every row of their group
-        wanted = group.agg(F.sum("pairs")).first()[0] or 0
-        if not total[0]:
+        pairs = rows.agg(F.sum(F.col("pairs") / F.col("size"))).first()[0]
+        if pairs is None:
             return members, labels
-        rows = rows.drop("pairs")
-        if wanted <= SPARSE * total[0]:
+        rows = rows.drop("pairs", "size")
+        if pairs <= SPARSE * met:
             break
         led = centred(rows, key, least)
         known = rows.select("node", "component").distinct()
