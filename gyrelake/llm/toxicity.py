@@ -96,34 +96,38 @@ def subsequences(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, flo
         yield at, (a[at, place] * LETTERS + b[at, place]) * LETTERS + c[at, place], weight
 
 
-def spread(rows: np.ndarray) -> np.ndarray:
-    """Rows' subsequence weights, one column per subsequence, scaled to length 1. For few rows."""
-    out = np.zeros((len(rows), LETTERS**3), np.float32)
-    for at, number, weight in subsequences(rows):
-        np.add.at(out, (at, number), weight)
-    return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-9)
+def combined(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, subsequence number, weight) of the distinct subsequences of every row, each row's weights of length 1."""
+    parts = [(r.astype(np.int64) * LETTERS**3 + number, np.full(len(r), weight)) for r, number, weight in subsequences(rows)]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    key, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(key, kind="stable")
+    key, weight = key[order], weight[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
+    row, number = np.divmod(key[first], LETTERS**3)
+    weight = np.add.reduceat(weight, first) if len(first) else weight
+    norm = np.sqrt(np.bincount(row, weight**2, len(rows)))
+    return row, number, weight / norm[row]
+
+
+def spread(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Rows' weights at these subsequences (sorted numbers), one column each; of the length 1 over all subsequences."""
+    row, number, weight = combined(rows)
+    at = np.minimum(np.searchsorted(columns, number), len(columns) - 1)
+    known = columns[at] == number
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    out[row[known], at[known]] = weight[known]
+    return out
 
 
 def margins(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
     """The machine's margin for each word: its best part's."""
     out = np.full(len(words), -2.0)
     for at in range(0, len(words), 2048):
-        part = words[at : at + 2048]
-        rows, owner = coded(part)
-        total, keys, weights, where = np.zeros(len(rows)), [], [], []
-        for r, number, weight in subsequences(rows):
-            total += np.bincount(r, table[number] * weight, len(rows))
-            where.append(r)
-            keys.append(r.astype(np.int64) * LETTERS**3 + number)
-            weights.append(np.full(len(r), weight))
-        # the norm adds the weights of the same subsequence within a row before squaring
-        if keys:
-            key, weight = np.concatenate(keys), np.concatenate(weights)
-            order = np.argsort(key, kind="stable")
-            key, weight = key[order], weight[order]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            norm = np.sqrt(np.bincount(key[first] // LETTERS**3, np.add.reduceat(weight, first) ** 2, len(rows)))
-            np.maximum.at(out, at + owner, total / np.maximum(norm, 1e-9) + bias)
+        rows, owner = coded(words[at : at + 2048])
+        row, number, weight = combined(rows)
+        np.maximum.at(out, at + owner, np.bincount(row, table[number] * weight, len(rows)) + bias)
     return out
 
 
@@ -268,19 +272,19 @@ def _machine(positive: list[str], weight: np.ndarray, negative: list[str], pool:
     """Landmarks, Nystroem features, SVM, hard negatives; folded into weights per subsequence."""
     half = LANDMARKS // 2
     marks = [*positive[:half], *(rng.choice(negative, min(half, len(negative)), replace=False) if negative else [])]
-    rows, owner = coded(marks)
-    anchors = spread(rows[np.unique(owner, return_index=True)[1]])
+    first_parts = lambda coded_: coded_[0][np.unique(coded_[1], return_index=True)[1]]
+    rows = first_parts(coded(marks))
+    columns = np.unique(combined(rows)[1])  # what no landmark has adds nothing to a kernel value
+    anchors = spread(rows, columns)
     k = anchors @ anchors.T
     value, vector = np.linalg.eigh(k.astype(float))
     keep = value > 1e-4 * value.max()
     white = vector[:, keep] / np.sqrt(value[keep])  # features are k(word, landmarks) @ white
-    anchors_t = np.ascontiguousarray(anchors.T)
 
     def features(words: list[str]) -> np.ndarray:
         parts = []
         for at in range(0, len(words), 256):
-            rows, owner = coded(words[at : at + 256])
-            parts.append((spread(rows[np.unique(owner, return_index=True)[1]]) @ anchors_t) @ white)
+            parts.append((spread(first_parts(coded(words[at : at + 256])), columns) @ anchors.T) @ white)
         return np.concatenate(parts) if parts else np.zeros((0, white.shape[1]))
 
     xp, negative = features(positive), list(negative)
@@ -292,7 +296,7 @@ def _machine(positive: list[str], weight: np.ndarray, negative: list[str], pool:
         # both kinds weigh the same in all; the ridge is a tenth of an average positive word
         cost = np.append(0.5 * weight / weight.sum(), np.full(len(xn), 0.5 / max(len(xn), 1)))
         w, bias = train_svm(x, y, cost, ridge=0.05 / len(xp))
-        table = anchors_t @ (white @ w)
+        table[columns] = anchors.T @ (white @ w)
         if step + 1 < ROUNDS and pool:
             m = margins(pool, table, bias)
             order = np.argsort(-m)

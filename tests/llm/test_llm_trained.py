@@ -24,7 +24,7 @@ def test_toxicity_held_out(spark):
 
 def test_kernel_stands_gaps_and_signs():
     rows, _ = toxicity.coded(["dreadful", "dreaddful", "dr.ead.ful", "dre4dful", "mountain"])
-    x = toxicity.spread(rows)
+    x = toxicity.spread(rows, np.arange(toxicity.LETTERS**3))
     near = x @ x[0]
     assert near[2] == near[3] == pytest.approx(1, abs=1e-5) and near[1] > 0.7 > 0.2 > near[4]
 
@@ -35,7 +35,7 @@ def test_folded_machine_equals_the_kernel():
     table = rng.normal(size=toxicity.LETTERS**3)
     words = ["dreadful", "a", "mountains", "aaaaaa"]
     rows, _ = toxicity.coded(words)
-    assert toxicity.margins(words, table, 0.5) == pytest.approx(toxicity.spread(rows) @ table + 0.5, abs=1e-3)
+    assert toxicity.margins(words, table, 0.5) == pytest.approx(toxicity.spread(rows, np.arange(len(table))) @ table + 0.5, abs=1e-3)
 
 
 def test_toxicity_odd_inputs(spark, make, prose):
