@@ -53,7 +53,7 @@ def with_currents(grid: DataFrame, height: str, step: float, half: int = 4) -> D
     """u and v (m/s) in balance with the height field's slope; step: the grid's degrees a cell."""
     per_cell = np.pi / 180 * RADIUS * 1000 * step
     out = stencil(stencil(grid, height, "_dx", "i", half), height, "_dy", "j", half)
-    f = coriolis(F.col("lat"))
+    f = F.nullif(coriolis(F.col("lat")), F.lit(0.0))  # no balance on the equator itself
     return out.withColumns({"u": -GRAVITY / f * F.col("_dy") / per_cell, "v": GRAVITY / f * F.col("_dx") / (per_cell * F.cos(F.radians("lat")))}).drop("_dx", "_dy")
 
 
@@ -170,3 +170,89 @@ def in_rings(rings: DataFrame, grid: DataFrame, field: str, x0: float, y0: float
     inside = wide.where(winding(F.col("ring"), F.col("i") * step + x0, F.col("j") * step + y0) != 0).select("obs_id", "t", "i", "j")
     v = F.col(field)
     return inside.join(grid, ["t", "i", "j"]).groupBy("obs_id").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"))
+
+
+def second_difference(grid: DataFrame, field: str, into: str, axis: str = "i", reach: int = 1) -> DataFrame:
+    """Both neighbours at `reach` cells less twice the cell; null where one of the three is missing."""
+    line = Window.partitionBy("t", "j" if axis == "i" else "i").orderBy(axis)
+    at = lambda k: F.first(field).over(line.rangeBetween(k, k))
+    return grid.withColumn(into, at(reach) + at(-reach) - 2 * F.col(field))
+
+
+def with_equatorial_currents(grid: DataFrame, height: str, step: float, reach: int = 15, half: int = 4) -> DataFrame:
+    """u and v by the slope's balance, blended near the equator with the one of its second differences: within 5 degrees
+    that takes the share exp(-(lat / 2.2)^2). The height is to be smooth there already (`low_pass`)."""
+    per_cell = np.pi / 180 * RADIUS * 1000 * step
+    out = with_currents(grid, height, step, half)
+    out = second_difference(out, height, "_yy", "j", reach)
+    x = Window.partitionBy("t", "j").orderBy("i")
+    y = Window.partitionBy("t", "i").orderBy("j")
+    side = lambda c, w: (F.first(c).over(w.rangeBetween(1, 1)) - F.first(c).over(w.rangeBetween(-1, -1))) / 2
+    out = out.withColumn("_x", side(height, x)).withColumn("_xy", side("_x", y))
+    beta = coriolis(F.lit(90.0)) * F.cos(F.radians("lat")) / (RADIUS * 1000)
+    u, v = -GRAVITY / beta * F.col("_yy") / (per_cell * reach) ** 2, GRAVITY / beta * F.col("_xy") / (per_cell**2 * F.cos(F.radians("lat")))
+    share = F.when(F.abs("lat") <= 5, F.exp(-F.pow(F.col("lat") / 2.2, 2))).otherwise(0.0)
+    mixed = lambda own, near: F.when(F.col("lat") == 0, near).otherwise(F.coalesce(F.col(own) * (1 - share) + near * share, F.when(share == 0, F.col(own))))
+    return out.withColumns({"u": mixed("u", u), "v": mixed("v", v)}).drop("_yy", "_x", "_xy")
+
+
+def gaussian(grid: DataFrame, field: str, into: str, sigma: float, size: tuple[int, int]) -> DataFrame:
+    """The field smoothed by a Gaussian of `sigma` cells, cut at four of them, over cells that have a value; the grid is
+    mirrored at its edges. One axis after the other; every cell gets one, null where no cell in reach has a value."""
+    reach = int(4 * sigma + 0.5)
+    k = np.arange(-reach, reach + 1)
+    weights = np.exp(-(k**2) / (2 * sigma**2))
+    weights = (weights / weights.sum()).tolist()
+    out = grid.withColumns({"_v": F.coalesce(field, F.lit(0.0)), "_w": F.col(field).isNotNull().cast("double")})
+    for axis, n in zip("ij", size, strict=True):
+        mirrored = F.array(F.col(axis), -F.col(axis) - 1, 2 * n - 1 - F.col(axis))
+        halo = out.withColumn("_at", F.explode(mirrored)).where(F.col("_at").between(-reach, n - 1 + reach))
+        line = Window.partitionBy("t", "j" if axis == "i" else "i").orderBy("_at")
+        total = lambda c: sum((F.coalesce(F.first(c).over(line.rangeBetween(int(d), int(d))), F.lit(0.0)) * w for d, w in zip(k, weights, strict=True)), F.lit(0.0))  # noqa: E731, B023
+        halo = halo.withColumns({"_a": total("_v"), "_b": total("_w")})
+        out = halo.where(F.col("_at") == F.col(axis)).drop("_v", "_w", "_at").withColumnsRenamed({"_a": "_v", "_b": "_w"})
+    return out.withColumn(into, F.when(F.col("_w") > 0, F.col("_v") / F.col("_w"))).drop("_v", "_w")
+
+
+def without_land(grid: DataFrame, land: DataFrame, field: str, x0: float, y0: float, step: float) -> DataFrame:
+    """The field null where the nearest cell of `land` (i, j, mask) is 1."""
+    i, j = (F.round((F.col(c) - c0) / step).cast("int") for c, c0 in (("lon", x0), ("lat", y0)))
+    at = land.select(F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("mask").alias("_m"))
+    return grid.join(at, (i == F.col("_i")) & (j == F.col("_j")), "left").withColumn(field, F.when(F.coalesce("_m", F.lit(0)) != 1, F.col(field))).drop("_i", "_j", "_m")
+
+
+def flags_in_rings(rings: DataFrame, grid: DataFrame, field: str, x0: float, y0: float, step: float, above: float) -> DataFrame:
+    """Per ring: whether a cell inside has no value, and whether one is over `above`."""
+    from gyrelake.functions.geo import winding
+
+    edge = lambda pick, k, c: F.round((pick(F.transform("ring", lambda p: p[k])) - c) / step).cast("int")
+    wide = rings.withColumn("i", F.explode(F.sequence(edge(F.array_min, "x", x0), edge(F.array_max, "x", x0))))
+    wide = wide.withColumn("j", F.explode(F.sequence(edge(F.array_min, "y", y0), edge(F.array_max, "y", y0))))
+    inside = wide.where(winding(F.col("ring"), F.col("i") * step + x0, F.col("j") * step + y0) != 0).select("obs_id", "t", "i", "j")
+    v = F.col(field)
+    return inside.join(grid, ["t", "i", "j"]).groupBy("obs_id").agg(F.bool_or(v.isNull()).alias("masked"), F.coalesce(F.bool_or(v > above), F.lit(False)).alias("beyond"))
+
+
+def described(grid: DataFrame) -> list[tuple[str, str, str]]:
+    """(name, type, unit) of a grid's variables."""
+    return [(f.name, f.dataType.simpleString(), f.metadata.get("unit", "")) for f in grid.schema.fields if f.name not in ("t", "i", "j", "lon", "lat")]
+
+
+def with_variable(grid: DataFrame, name: str, value: Column | str, unit: str | None = None) -> DataFrame:
+    """A variable more: an expression, or a copy of another one, with that one's unit unless another is given."""
+    have = grid.schema[value].metadata if isinstance(value, str) else {}
+    return grid.withColumn(name, (F.col(value) if isinstance(value, str) else value).alias(name, metadata=have | ({"unit": unit} if unit else {})))
+
+
+def save_grid(grid: DataFrame, path: str) -> None:
+    """Parquet with one folder per time, so that a window of times is a choice of folders."""
+    grid.write.partitionBy("t").option("compression", "zstd").mode("overwrite").parquet(path)
+
+
+def load_grid(spark, path: str, variables: list[str] | None = None, times: tuple[float, float] | None = None, lon: tuple[float, float] | None = None, lat: tuple[float, float] | None = None) -> DataFrame:
+    """A saved grid: chosen variables, times and area reach the scan as read schema, folders and pushed filters."""
+    out = spark.read.parquet(path)
+    for c, bounds in (("t", times), ("lon", lon), ("lat", lat)):
+        if bounds:
+            out = out.where(F.col(c).between(*bounds))
+    return out.select("t", "i", "j", "lon", "lat", *variables) if variables else out

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gyrelake.operators.pairs import match, near_centres
-from gyrelake.operators.tracks import renumbered
+from gyrelake.operators.tracks import numbered, renumbered
 from gyrelake.sources.observations import union_all
 from gyrelake.sources.tables import written
 
@@ -235,3 +235,68 @@ def corrected_close_events(net: DataFrame, most_days: int = 20) -> DataFrame:
     loop = leave.join(come, (F.col("b_track") == F.col("c_track")) & (F.col("b_segment") == F.col("c_segment")) & (F.col("p_segment") == F.col("q_segment")) & (F.col("p_track") == F.col("q_track")))
     loop = loop.where(F.col("_t1") - F.col("_t0") < most_days).groupBy(F.col("b_track").alias("track"), F.col("b_segment").alias("segment")).agg(F.min("p_segment").alias("_new"))
     return net.join(loop, ["track", "segment"], "left").withColumn("segment", F.coalesce("_new", "segment")).drop("_new")
+
+
+def close_networks(pairs: DataFrame, other: DataFrame, least: int = 10) -> DataFrame:
+    """Rows of `other`'s networks that meet the first table in `least` pairs (b_track) at least."""
+    near = pairs.groupBy("b_track").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return other.join(near.select(F.col("b_track").alias("track")), "track", "left_semi")
+
+
+def only_one(net: DataFrame) -> DataFrame:
+    """The table itself; ValueError if it holds more than one network."""
+    if net.select("track").distinct().limit(2).count() > 1:
+        raise ValueError("several networks")
+    return net
+
+
+def with_lifetime(net: DataFrame) -> DataFrame:
+    """lifetime: days between the first and the last row of a row's network."""
+    w = Window.partitionBy("track")
+    return net.withColumn("lifetime", F.max("time").over(w) - F.min("time").over(w))
+
+
+def segment_numbers(net: DataFrame) -> DataFrame:
+    """(segment_id, track, segment): dense numbers over all segments of all networks."""
+    return numbered(net.select("track", "segment"), ["track", "segment"], "segment_id")
+
+
+def rekeyed(net: DataFrame, group: str = "track") -> DataFrame:
+    """Rows numbered anew in the order of network, segment and time, with their links."""
+    new = numbered(net.select(group, "segment", "time", "obs_id"), [group, "segment", "time", "obs_id"], "_new").select("obs_id", "_new")
+    of = lambda c: new.select(F.col("obs_id").alias(c), F.col("_new").alias(f"_{c}"))
+    out = net.join(new, "obs_id").join(of("next_id"), "next_id", "left").join(of("prev_id"), "prev_id", "left")
+    return out.withColumns({"obs_id": F.col("_new"), "next_id": F.col("_next_id"), "prev_id": F.col("_prev_id")}).select(*net.columns)
+
+
+def percentile_at_splits(net: DataFrame, value: str, window: int = 10, q: float = 0.5, least: int = 1) -> DataFrame:
+    """Per split (started): the percentile of a value over both branches' rows within so many days after the event, the
+    one that goes on (main) and the new one (branch); null where a branch has fewer than `least` values."""
+    events = splits(net).where("after is not null").select("started", "after", F.col("time").alias("_t"))
+    own = net.select(F.col("obs_id").alias("_id"), F.col("track").alias("_tr"), F.col("segment").alias("_sg"))
+    out = events.select("started")
+    for name, c in (("main", "after"), ("branch", "started")):
+        at = events.join(own, events[c] == own["_id"]).select("started", "_tr", "_sg", "_t")
+        rows = at.join(net, (F.col("_tr") == net["track"]) & (F.col("_sg") == net["segment"]) & (F.col("time") > F.col("_t")) & (F.col("time") <= F.col("_t") + window))
+        stat = rows.groupBy("started").agg(F.when(F.count(value) >= least, F.percentile(value, q)).alias(name))
+        out = out.join(stat, "started", "left")
+    return out
+
+
+def swapped(net: DataFrame, cost: str, most_main: int = 2, least_branch: int = 10, margin: float = -0.2) -> DataFrame:
+    """At splits whose main line ends soon and freely, while the branch lives on and costs not much less, the labels
+    change places: the main line's rows after the event take the branch's number, and the branch the main one's."""
+    row = lambda n, *cs: net.select(F.col("obs_id").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in cs])
+    events = splits(net).where("after is not null").drop("time").join(row("before", "track", "segment", "time"), "before")
+    events = events.join(row("after", "segment", cost), "after").join(row("started", "segment", "time", cost), "started")
+    end = _edge_row(net, True)
+    last = lambda n: end.select(F.col("track").alias("_t"), F.col("segment").alias("_s"), F.col("time").alias(f"{n}_end"), F.col("next_id").alias(f"{n}_next"))
+    for n, c in (("main", "before_segment"), ("branch", "started_segment")):
+        events = events.join(last(n), (F.col("before_track") == F.col("_t")) & (F.col(c) == F.col("_s"))).drop("_t", "_s")
+    due = events.where((F.col("main_end") - F.col("before_time") <= most_main) & (F.col("branch_end") - F.col("started_time") >= least_branch) & F.col("main_next").isNull() & (F.col(f"started_{cost}") - F.col(f"after_{cost}") > margin))
+    part = lambda old, new, since: due.select(F.col("before_track").alias("track"), F.col(old).alias("segment"), F.col(new).alias("_new"), F.col(since).alias("_since"))
+    moves = part("before_segment", "started_segment", "before_time").unionByName(part("started_segment", "before_segment", "before_time"))
+    # of several events of one segment the first one counts
+    moves = moves.groupBy("track", "segment").agg(F.min_by("_new", "_since").alias("_new"), F.min("_since").alias("_since"))
+    out = net.join(moves, ["track", "segment"], "left")
+    return out.withColumn("segment", F.when(F.col("time") > F.col("_since"), F.col("_new")).otherwise(F.col("segment"))).select(*net.columns)

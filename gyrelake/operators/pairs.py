@@ -26,17 +26,20 @@ def with_box(df: DataFrame, half: Column | float | None = None) -> DataFrame:
 def box_pairs(a: DataFrame, b: DataFrame, size: float = 1.0, on: list[str] | None = None, around: bool = True) -> DataFrame:
     """Pairs whose closed boxes meet, as columns a_*, b_*. on: further equal keys. around: longitudes meet across 360."""
     on = on or []
+    if around:  # cells must divide the circle, so that a turn is a whole number of them
+        size = 360 / max(1, int(360 / size))
 
     def dealt(df: DataFrame, name: str) -> DataFrame:
         df = df.select(*[F.col(c).alias(f"{name}_{c}") for c in df.columns])
         lo, hi = (F.floor(F.col(f"{name}_{e}") / size) for e in ("x0", "x1"))
         df = df.withColumn("_i", F.explode(F.sequence(lo, hi))).withColumn("_j", F.explode(F.sequence(F.floor(F.col(f"{name}_y0") / size), F.floor(F.col(f"{name}_y1") / size))))
-        turn = int(360 / size)
+        turn = round(360 / size)
         return df.withColumns({"_cell": F.pmod("_i", F.lit(turn)) if around else F.col("_i"), f"_{name}i": F.col("_i")}).drop("_i")
 
     x, y = dealt(a, "a"), dealt(b, "b")
     pairs = x.join(y, (x["_cell"] == y["_cell"]) & (x["_j"] == y["_j"]) & _equal(on))
-    shift = F.col("_ai") * size - F.col("_bi") * size  # a whole number of turns where the two lie across the seam
+    # whole turns between the two where they lie across the seam
+    shift = F.floor((F.col("_ai") - F.col("_bi")) / round(360 / size)) * 360.0 if around else F.lit(0.0)
     ax0, ax1, bx0, bx1 = F.col("a_x0"), F.col("a_x1"), F.col("b_x0") + shift, F.col("b_x1") + shift
     meet = (ax0 <= bx1) & (bx0 <= ax1) & (F.col("a_y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("a_y1"))
     first = (F.col("_ai") == F.floor(F.greatest(ax0, bx0) / size)) & (x["_j"] == F.floor(F.greatest("a_y0", "b_y0") / size))
@@ -200,3 +203,34 @@ def seeds(df: DataFrame, step: float) -> DataFrame:
     mesh = df.select("obs_id", "ring", F.explode(F.sequence(edge(F.array_min, "x"), edge(F.array_max, "x") + 1)).alias("_i"))
     mesh = mesh.withColumn("_j", F.explode(F.sequence(edge(F.array_min, "y"), edge(F.array_max, "y") + 1))).select("obs_id", "ring", (F.col("_i") * step).alias("x"), (F.col("_j") * step).alias("y"))
     return mesh.where(winding(F.col("ring"), F.col("x"), F.col("y")) != 0).select("obs_id", "x", "y")
+
+
+def area_candidates(obs: DataFrame, reach: float = 1.0, furthest: float | None = None, least: float = 0.2) -> DataFrame:
+    """Pairs of rings of neighbour days: step, a, b, cost, 1 less the shared part of the union, which is
+    `least` at least. For `tracking.day_links`: a tracker by overlap. reach and furthest are not used."""
+    later = obs.withColumn("time", F.col("time") - 1)
+    found = match(obs.select("obs_id", "time", "ring"), later.select("obs_id", "time", "ring"), "union", least, ["time"])
+    return found.select(F.col("a_time").alias("step"), F.col("a_obs_id").alias("a"), F.col("b_obs_id").alias("b"), (1 - F.col("score")).alias("cost"))
+
+
+def common_area_cost(pairs: DataFrame) -> DataFrame:
+    """Ring pairs of `match(..., "smaller")` with cost: 1 less the shared part of the smaller ring."""
+    return pairs.withColumn("cost", 1 - F.col("score"))
+
+
+def axis_by_latitude(lat: Column, low: float = 1.5, high: float = 10.0, lat1: float = 13.5, lat2: float = 5.0, degrees: bool = False) -> Column:
+    """The search ellipse's long axis: `high` up to lat2, `low` from lat1 on, straight between; in km unless degrees."""
+    slope = (low - high) / (lat1 - lat2)
+    axis = F.when(F.abs(lat) < lat2, high).when(F.abs(lat) > lat1, low).otherwise(slope * (F.abs(lat) - lat1) + low)
+    return axis if degrees else axis * 111.2
+
+
+def crossing_land(pairs: DataFrame, land: DataFrame, x0: float, y0: float, step: float) -> DataFrame:
+    """Pairs (a_lon, a_lat, b_lon, b_lat) without those whose straight way over cells meets one with mask 1 in `land` (i, j, mask)."""
+    from gyrelake.functions.geo import on_segment_path
+
+    cell = lambda c, c0: F.round((F.col(c) - c0) / step).cast("int")
+    way = on_segment_path(cell("a_lon", x0), cell("a_lat", y0), cell("b_lon", x0), cell("b_lat", y0))
+    at = pairs.select("a_obs_id", "b_obs_id", F.explode(way).alias("_c")).select("a_obs_id", "b_obs_id", "_c.i", "_c.j")
+    bad = at.join(land.where("mask = 1").select("i", "j"), ["i", "j"], "left_semi").select("a_obs_id", "b_obs_id").distinct()
+    return pairs.join(bad, ["a_obs_id", "b_obs_id"], "left_anti")

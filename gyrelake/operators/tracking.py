@@ -94,3 +94,17 @@ def fold(obs: DataFrame, most_gap: int = 3, reach: float = 1.0, furthest: float
         rows = current.select("obs_id", "time", "track")
         done = rows if done is None else done.unionByName(rows)
     return (done if done is not None else obs.select("obs_id", "time", F.lit(None).cast("long").alias("track"))), ends
+
+
+def save_state(ends: DataFrame, path: str, tracker: dict) -> None:
+    """The open ends of a run, with the tracker's parameters as a note on every file's schema."""
+    ends.withColumn("track", F.col("track").alias("track", metadata={"tracker": tracker})).write.mode("overwrite").parquet(path)
+
+
+def load_state(spark, path: str, tracker: dict) -> DataFrame:
+    """Open ends to go on from; ValueError where another tracker, or one with other parameters, has left them."""
+    ends = spark.read.parquet(path)
+    have = ends.schema["track"].metadata.get("tracker")
+    if have != tracker:
+        raise ValueError(f"the state was left by {have}, not {tracker}")
+    return ends

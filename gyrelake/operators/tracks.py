@@ -63,12 +63,22 @@ def masked(df: DataFrame, mask: Column, whole: bool = False, drop_partial: bool
     return renumbered(out, "track", 1) if dense else out
 
 
+def numbered(ids: DataFrame, keys: list[str], into: str, start: int = 0) -> DataFrame:
+    """Distinct rows with dense numbers in the order of the keys. Rows are sorted in ranges, and each range's rows counted;
+    only those counts, one a range, meet in one place. Ranges are written first, as they are drawn from a sample."""
+    from gyrelake.sources.tables import written
+
+    sorted_ = ids.distinct().repartitionByRange(*keys).sortWithinPartitions(*keys)
+    at = written(sorted_.withColumn("_m", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_m", 33))
+    sizes = at.groupBy("_part").agg(F.count("*").alias("_n"))
+    ahead = sizes.withColumn("_ahead", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    number = F.col("_ahead") + F.col("_m") - F.shiftleft("_part", 33) + start
+    return at.join(F.broadcast(ahead), "_part").select(*ids.columns, number.cast("long").alias(into))
+
+
 def renumbered(df: DataFrame, key: str, start: int = 0) -> DataFrame:
     """Dense new ids in the order of the old ones; the ids are ranked apart from the rows."""
-    ids = df.select(key).distinct()
-    slices = ids.withColumn("_slice", F.floor(F.col(key) / 100_000))
-    ahead = slices.groupBy("_slice").agg(F.count("*").alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    new = slices.withColumn("_r", F.row_number().over(Window.partitionBy("_slice").orderBy(key))).join(ahead, "_slice").select(key, (F.col("_ahead") + F.col("_r") - 1 + start).cast("long").alias("_new"))
+    new = numbered(df.select(key), [key], "_new", start)
     return df.join(new, key).withColumn(key, F.col("_new")).drop("_new").select(*df.columns)
 
 
@@ -210,3 +220,25 @@ def normalised_profile(df: DataFrame, field: str, slots: int = 20) -> DataFrame:
     here = span.where(((F.col("_at") >= F.col("n")) & (F.col("_at") < F.col("n") + 1)))
     value = F.col(field) + F.coalesce((F.col("_next") - F.col(field)) * (F.col("_at") - F.col("n")), F.lit(0.0))
     return here.groupBy("slot").agg(F.avg(value).alias("mean"), F.count("*").alias("tracks"))
+
+
+def inserted(df: DataFrame, other: DataFrame, at: int, place: str = "pos") -> DataFrame:
+    """`other`'s rows between those of `df`: both have whole places from 0, and the result has them anew. A negative place
+    counts from the end. Tables of different columns raise ValueError."""
+    if set(df.columns) != set(other.columns):
+        raise ValueError("the tables have different columns")
+    more, own = other.agg(F.count("*").alias("_more")), df.agg(F.count("*").alias("_own"))
+    start = F.lit(at) if at >= 0 else F.col("_own") + at
+    moved = df.crossJoin(F.broadcast(more)).crossJoin(F.broadcast(own)).withColumn(place, F.when(F.col(place) >= start, F.col(place) + F.col("_more")).otherwise(F.col(place)))
+    new = other.crossJoin(F.broadcast(own)).withColumn(place, F.col(place) + start)
+    return moved.select(*df.columns).unionByName(new.select(*df.columns))
+
+
+def first_places(rows: DataFrame, items: DataFrame, key: str, place: str = "pos") -> DataFrame:
+    """Each distinct item with the first place of its value in `rows`; null where it has none."""
+    return items.select(key).distinct().join(rows.groupBy(key).agg(F.min(place).alias(place)), key, "left")
+
+
+def light(df: DataFrame, mask: Column, more: list[str] | None = None) -> DataFrame:
+    """Rows of a mask with time and rings only, and the columns of `more`: what a scan need not read, it does not."""
+    return df.where(mask).select("time", *[c for c in df.columns if c.startswith(("ring", "contour_"))], *(more or []))

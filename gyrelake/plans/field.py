@@ -69,3 +69,30 @@ on_grid("bessel_filter", lambda g: rounded(grids.low_pass(g, "h", 0.25, 120.0, 4
 on_grid("lanczos_high_filter", lambda g: rounded(grids.high_pass(g, "h", 0.25, 120.0, 48, kind="lanczos").select("t", "i", "j", "high"), "high"), None)
 on_grid("spectrum_lon", lambda g: rounded(grids.spectrum(g, "u"), "power"), None)
 on_grid("regrid", lambda g: rounded(grids.at_points(g.where("i < 40 and j < 24").select("t", (F.col("lon") + 0.1).alias("x"), (F.col("lat") + 0.05).alias("y")), g, "u", 0.0, 20.0, 0.25), "value"), None)
+
+
+IJ = "CAST(a.i AS INTEGER) AS i, CAST(a.j AS INTEGER) AS j"
+on_grid("second_difference", lambda g: rounded(grids.second_difference(g, "u", "d", "j", 2).select("t", "i", "j", "d"), "d"), f"SELECT a.t, {IJ}, round(b.u + c.u - 2 * a.u, 6) AS d FROM g a LEFT JOIN g b ON b.t = a.t AND b.i = a.i AND b.j = a.j + 2 LEFT JOIN g c ON c.t = a.t AND c.i = a.i AND c.j = a.j - 2")
+MIRROR = "CASE WHEN {0} < 0 THEN -{0} - 1 WHEN {0} >= {1} THEN 2 * {1} - 1 - {0} ELSE {0} END"
+on_grid("gaussian_filter", lambda g: rounded(grids.gaussian(g, "h", "smooth", 1.0, (48, 32)).select("t", "i", "j", "smooth"), "smooth"), f"SELECT a.t, {IJ}, round(sum(coalesce(b.h, 0) * exp(-(p * p + q * q) / 2.0)) / sum(CASE WHEN b.h IS NOT NULL THEN exp(-(p * p + q * q) / 2.0) END), 6) AS smooth FROM g a, range(-4, 5) x(p), range(-4, 5) y(q), g b WHERE b.t = a.t AND b.i = {MIRROR.format('(a.i + p)', 48)} AND b.j = {MIRROR.format('(a.j + q)', 32)} GROUP BY 1, 2, 3")
+
+
+def _land(g: DataFrame) -> DataFrame:
+    land = g.sparkSession.range(12 * 8).select(F.floor(F.col("id") / 8).cast("int").alias("i"), (F.col("id") % 8).cast("int").alias("j")).withColumn("mask", ((F.col("i") + F.col("j")) % 3 == 0).cast("int"))
+    return grids.without_land(g, land, "u", 0.05, 20.05, 1.0).select("t", "i", "j", "u")
+
+
+on_grid("land_mask", _land, f"SELECT t, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN x BETWEEN 0 AND 11 AND y BETWEEN 0 AND 7 AND (x + y) % 3 = 0 THEN NULL ELSE u END AS u FROM (SELECT *, CAST(round(lon - 0.05) AS INTEGER) AS x, CAST(round(lat - 20.05) AS INTEGER) AS y FROM g)")
+
+
+@query("equatorial_currents", GRID.replace("20 + j", "-4 + j") + f", s AS (SELECT g.*, (lead(h) OVER x - lag(h) OVER x) / 2 AS hx FROM (SELECT * REPLACE (((i * 7 + j * 3 + t * 11) % 50) * 0.01e0 AS h) FROM g) g WINDOW x AS (PARTITION BY t, j ORDER BY i)), d AS (SELECT *, (lead(h) OVER y - lag(h) OVER y) / 2 AS hy, lead(h, 2) OVER y + lag(h, 2) OVER y - 2 * h AS hyy, (lead(hx) OVER y - lag(hx) OVER y) / 2 AS hxy FROM s WINDOW y AS (PARTITION BY t, i ORDER BY j)), k AS (SELECT *, 4 * pi() / 86164.1 * sin(radians(lat)) AS f, 4 * pi() / 86164.1 * cos(radians(lat)) / 6370997.0 AS beta, CASE WHEN abs(lat) <= 5 THEN exp(-pow(lat / 2.2, 2)) ELSE 0 END AS w FROM d WHERE i BETWEEN 3 AND 44 AND j BETWEEN 3 AND 28) SELECT t, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(CASE WHEN lat = 0 THEN un ELSE uo * (1 - w) + un * w END, 4) + 0.0e0 AS u, round(CASE WHEN lat = 0 THEN vn ELSE vo * (1 - w) + vn * w END, 4) + 0.0e0 AS v FROM (SELECT *, -9.807 / beta * hyy / pow({METRE * 0.25} * 2, 2) AS un, 9.807 / beta * hxy / (pow({METRE * 0.25}, 2) * cos(radians(lat))) AS vn, CASE WHEN lat <> 0 THEN -9.807 / f * hy / {METRE * 0.25} END AS uo, CASE WHEN lat <> 0 THEN 9.807 / f * hx / ({METRE * 0.25} * cos(radians(lat))) END AS vo FROM k)", view=False)
+def equatorial_currents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = grid(spark).withColumns({"lat": F.col("lat") - 24, "h": (F.col("i") * 7 + F.col("j") * 3 + F.col("t") * 11) % 50 * 0.01}).drop("u", "v")
+    out = grids.with_equatorial_currents(g, "h", 0.25, 2, 1).where("i between 3 and 44 and j between 3 and 28")
+    return rounded(out.select("t", "i", "j", "u", "v"), "u", "v", digits=4).withColumns({c: F.col(c) + 0.0 for c in "uv"})  # no negative zero
+
+
+@query("ring_flags", VIEW.rstrip() + f", {GRID_CTE} SELECT obs_id, bool_or(h IS NULL) AS masked, coalesce(bool_or(h > 0.45), false) AS beyond FROM (SELECT obs_id, lon * 0.4 AS x, 22 + lat * 0.3 AS y FROM obs) o JOIN g ON g.t = 0 AND g.lon >= x - 0.51 AND g.lon < x + 0.51 AND g.lat >= y - 0.51 AND g.lat < y + 0.51 GROUP BY 1", view=False)
+def ring_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = view(spark, sf_dir).select("obs_id", F.lit(0).cast("long").alias("t"), (F.col("lon") * 0.4).alias("lon"), (22 + F.col("lat") * 0.3).alias("lat"))
+    return grids.flags_in_rings(o.withColumn("ring", box_ring(0.51)), grid(spark), "h", 0.0, 20.0, 0.25, 0.45)

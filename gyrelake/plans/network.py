@@ -74,3 +74,12 @@ def _segments(o: DataFrame) -> DataFrame:
 
 
 simple("split_segments", _segments, None)
+
+
+simple("network_lifetime", lambda o: networks.with_lifetime(linked(o)).select("obs_id", "lifetime"), f"{NET} SELECT obs_id, max(time) OVER (PARTITION BY track) - min(time) OVER (PARTITION BY track) AS lifetime FROM net")
+simple("segment_numbers", lambda o: networks.segment_numbers(linked(o)), f"{NET} SELECT dense_rank() OVER (ORDER BY track, segment) - 1 AS segment_id, track, segment FROM (SELECT DISTINCT track, segment FROM net)")
+simple("rekeyed_network", lambda o: networks.rekeyed(linked(o)).select("obs_id", "track", "segment", "next_id", "prev_id"), f"{NET}, k AS (SELECT obs_id, row_number() OVER (ORDER BY track, segment, time, obs_id) - 1 AS new FROM net) SELECT k.new AS obs_id, n.track, n.segment, a.new AS next_id, b.new AS prev_id FROM net n JOIN k ON k.obs_id = n.obs_id LEFT JOIN k a ON a.obs_id = n.next_id LEFT JOIN k b ON b.obs_id = n.prev_id")
+simple("close_networks", lambda o: networks.close_networks(pairs.near_centres(linked(o).join(o.select("obs_id", "lon"), "obs_id"), o.withColumn("track", F.floor(F.col("track") / 3)), 0.25, ["time"]), o.withColumn("track", F.floor(F.col("track") / 3)), 40).select("obs_id"), "n AS (SELECT b.track // 3 AS g FROM obs a JOIN obs b ON a.time = b.time AND abs(a.lon - b.lon) <= 0.25 AND abs(a.lat - b.lat) <= 0.25 GROUP BY 1 HAVING count(*) >= 40) SELECT obs_id FROM obs WHERE track // 3 IN (SELECT g FROM n)")
+SPLITS = "sp AS (SELECT l.prev_id AS before, r.next_id AS after, l.obs_id AS started, r.time FROM firsts l JOIN net r ON r.obs_id = l.prev_id WHERE r.segment <> l.segment AND r.next_id IS NOT NULL)"
+BRANCH = "(SELECT quantile_cont(n.lat, 0.5) FROM net e JOIN net n ON n.track = e.track AND n.segment = e.segment AND n.time > sp.time AND n.time <= sp.time + 10 WHERE e.obs_id = sp.{0})"
+simple("percentile_at_splits", lambda o: rounded(networks.percentile_at_splits(linked(o), "lat"), "main", "branch"), f"{NET}, {SPLITS} SELECT started, round({BRANCH.format('after')}, 6) AS main, round({BRANCH.format('started')}, 6) AS branch FROM sp")

@@ -148,3 +148,32 @@ def field_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 simple("age_classes", lambda o: rounded(tracks.with_lifetime(o).withColumn("class", F.ntile(4).over(Window.partitionBy("track").orderBy("time"))).groupBy("class").agg(F.avg("radius_s").alias("mean")), "mean"), "SELECT class, round(avg(radius_s), 6) AS mean FROM (SELECT *, CAST(ntile(4) OVER (PARTITION BY track ORDER BY time) AS INTEGER) AS class FROM obs) GROUP BY 1")
+
+
+def _places(o: DataFrame) -> DataFrame:
+    """Rows of a track in its own order, as a table with places."""
+    return o.select(F.col("n").alias("pos"), "obs_id", "lat")
+
+
+simple("insert_rows", lambda o: tracks.inserted(_places(o.where("track = 3")), _places(o.where("track = 4")), 2), "s AS (SELECT count(*) AS k FROM obs WHERE track = 4) SELECT CASE WHEN n >= 2 THEN n + k ELSE n END AS pos, obs_id, lat FROM obs, s WHERE track = 3 UNION ALL SELECT n + 2, obs_id, lat FROM obs WHERE track = 4")
+simple("first_places", lambda o: tracks.first_places(o.select("nb", F.col("obs_id").alias("pos")), o.select((F.col("nb") + 1).alias("nb")), "nb"), "SELECT nb, (SELECT min(obs_id) FROM obs o WHERE o.nb = i.nb) AS pos FROM (SELECT DISTINCT nb + 1 AS nb FROM obs) i")
+simple("astype_common", lambda o: src.as_fields(o, ["time", "lon", "lat", "amplitude", "segment", "next_id"]), "SELECT time, lon, lat, amplitude FROM obs")
+simple("light_extract", lambda o: tracks.light(o.withColumn("ring", box_ring(0.5)), F.col("nb") > 2, ["track"]).select("time", F.size("ring").alias("points"), "track"), "SELECT time, 5 AS points, track FROM obs WHERE nb > 2")
+simple("dataset_attributes", src.attributes, "SELECT count(*) AS n_obs, strftime(DATE '1950-01-01' + min(time), '%Y-%m-%d') AS start, strftime(DATE '1950-01-01' + max(time), '%Y-%m-%d') AS \"end\", 'P' || (max(time) - min(time) + 1) || 'D' AS duration FROM obs")
+simple("atlas_label", lambda o: src.label(o, "{t0} to {t1}: {nb_obs} rows, {nb_tracks} tracks"), "SELECT min(time) || ' to ' || max(time) || ': ' || count(*) || ' rows, ' || count(DISTINCT track) || ' tracks' AS label FROM obs")
+simple("version_flags", lambda o: o.select("obs_id", src.is_older(F.when(F.col("track") % 5 != 0, F.concat(F.lit("3."), F.col("nb"), F.lit(".1"))), "3.4").alias("older")), "SELECT obs_id, track % 5 = 0 OR nb < 4 AS older FROM obs")
+simple("inner_ring_fields", lambda o: o.select("obs_id", *[F.lit(src.ring_fields(flag)[0]).alias(n) for flag, n in ((True, "inner_x"), (False, "outer_x"))]), "SELECT obs_id, 'contour_lon_s' AS inner_x, 'contour_lon_e' AS outer_x FROM obs")
+simple("axis_by_latitude", lambda o: rounded(o.select("obs_id", pairs_axis(F.col("lat")).alias("axis")), "axis"), "SELECT obs_id, round(CASE WHEN abs(lat) < 2 THEN 1.5 WHEN abs(lat) > 6 THEN 1.05 ELSE -0.1125 * (abs(lat) - 6) + 1.05 END, 6) AS axis FROM obs")
+simple("convex_rings", lambda o: o.select("obs_id", geo.is_convex(F.when(F.col("track") % 2 == 0, box_ring(0.5)).otherwise(_arrow())).alias("convex")), "SELECT obs_id, track % 2 = 0 AS convex FROM obs")
+
+
+def _arrow() -> Column:
+    """A ring with one vertex turned inward."""
+    x, y = F.col("lon"), F.col("lat")
+    return ring_of((x - 1, y - 1), (x - 1, y + 1), (x, y), (x + 1, y + 1), (x + 1, y - 1), (x - 1, y - 1))
+
+
+def pairs_axis(lat: Column) -> Column:
+    from gyrelake.operators.pairs import axis_by_latitude
+
+    return axis_by_latitude(lat, 1.05, 1.5, 6.0, 2.0, degrees=True)

@@ -105,3 +105,38 @@ simple("align_on_left_whole", lambda o: pairs.aligned(o.where("track % 2 = 0"),
 simple("contains_whole", _all_holders, f"SELECT p.obs_id AS pid, min(r.obs_id) AS obs_id FROM obs p LEFT JOIN obs r ON {BEFORE.format('0.5')} GROUP BY 1")
 simple("mask_from_polygons_whole", lambda o: pairs.inside_any(o, _day_before(o, 2.0), ["time"]).select("obs_id"), f"SELECT DISTINCT p.obs_id FROM obs p JOIN obs r ON {BEFORE.format('2')}")
 simple("track_outline_whole", lambda o: pairs.merged_outline(o.withColumn("ring", box_ring(0.5)), 0.5).groupBy("track").agg(F.count("*").alias("cells")), "c AS (SELECT DISTINCT track, i, j FROM obs, range(-100, 200) a(i), range(-100, 100) b(j) WHERE (i + 0.5) * 0.5 >= lon - 0.5 AND (i + 0.5) * 0.5 < lon + 0.5 AND (j + 0.5) * 0.5 >= lat - 0.5 AND (j + 0.5) * 0.5 < lat + 0.5) SELECT track, count(*) AS cells FROM c GROUP BY 1")
+
+
+def _seam_wide(o: DataFrame) -> DataFrame:
+    east = o.withColumn("lon", F.pmod(F.col("lon") - 14.0, F.lit(360.0)))
+    return _day_pairs(east, 1.1).select(*IDS)
+
+
+simple("close_center_across_seam_11", _seam_wide, f"SELECT a.obs_id AS a_obs_id, b.obs_id AS b_obs_id {SAME_DAY} WHERE {META.format(1.1)}")
+
+
+def _next_rings(o: DataFrame) -> DataFrame:
+    r = o.withColumn("ring", box_ring(0.5))
+    return rounded(pairs.area_candidates(r, least=0.2), "cost")
+
+
+simple("area_link_candidates", _next_rings, f"p AS (SELECT a.time AS step, a.obs_id AS a, b.obs_id AS b, {SHARED} AS s FROM obs a JOIN obs b ON b.time = a.time + 1 WHERE {META.format(1.0)}) SELECT step, a, b, round(1 - s / (2.0 - s), 6) AS cost FROM p WHERE s > 0 AND s / (2.0 - s) >= 0.2")
+
+
+def _common_area(o: DataFrame) -> DataFrame:
+    r = o.withColumn("ring", box_ring(0.5)).select("obs_id", "time", "ring")
+    later = r.withColumn("time", F.col("time") - 1)
+    return rounded(pairs.common_area_cost(pairs.match(r, later, "smaller", on=["time"])).select(*IDS, "cost"), "cost")
+
+
+simple("common_area_cost", _common_area, f"p AS (SELECT a.obs_id AS a_obs_id, b.obs_id AS b_obs_id, {SHARED} AS s FROM obs a JOIN obs b ON b.time = a.time + 1 WHERE {META.format(1.0)}) SELECT a_obs_id, b_obs_id, round(1 - s, 6) AS cost FROM p WHERE s > 0")
+
+
+def _over_water(o: DataFrame) -> DataFrame:
+    land = o.sparkSession.range(200).select((F.col("id") % 20 * 5).cast("int").alias("i"), (F.floor(F.col("id") / 20) * 8).cast("int").alias("j"), F.lit(1).alias("mask"))
+    near = pairs.near_centres(o, o.withColumn("time", F.col("time") - 1), 0.75, ["time"])
+    return pairs.crossing_land(near, land, 0.0, -8.0, 0.25).select(*IDS)
+
+
+CELLS = "CAST(round((a.lon) / 0.25) AS INTEGER) AS i0, CAST(round((a.lat + 8) / 0.25) AS INTEGER) AS j0, CAST(round((b.lon) / 0.25) AS INTEGER) AS i1, CAST(round((b.lat + 8) / 0.25) AS INTEGER) AS j1"
+simple("over_water_pairs", _over_water, f"p AS (SELECT a.obs_id AS a_obs_id, b.obs_id AS b_obs_id, {CELLS} FROM obs a JOIN obs b ON b.time = a.time + 1 AND {META.format(0.75)}), w AS (SELECT *, greatest(abs(i1 - i0), abs(j1 - j0)) AS n FROM p), k AS (SELECT w.*, unnest(range(n + 1)) AS s FROM w), c AS (SELECT a_obs_id, b_obs_id, CASE WHEN n = 0 THEN i0 ELSE CAST(trunc(i0 + (i1 - i0) * s / n) AS INTEGER) END AS i, CASE WHEN n = 0 THEN j0 ELSE CAST(trunc(j0 + (j1 - j0) * s / n) AS INTEGER) END AS j FROM k) SELECT a_obs_id, b_obs_id FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.a_obs_id = p.a_obs_id AND c.b_obs_id = p.b_obs_id AND i % 5 = 0 AND i BETWEEN 0 AND 95 AND j % 8 = 0 AND j BETWEEN 0 AND 72)")

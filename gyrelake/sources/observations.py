@@ -143,3 +143,36 @@ def day_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def ring_fields(inner: bool, in_file: bool = False) -> tuple[str, str]:
+    """The two fields of the contour of highest speed (inner) or of the outer one, or their names in files."""
+    names = ("contour_lon_s", "contour_lat_s") if inner else ("contour_lon_e", "contour_lat_e")
+    return tuple(NAMES[n][1] for n in names) if in_file else names
+
+
+def as_fields(df: DataFrame, fields: list[str]) -> DataFrame:
+    """The columns that another kind of table also has, in its order."""
+    return df.select(*[c for c in fields if c in df.columns])
+
+
+def attributes(df: DataFrame) -> DataFrame:
+    """One row about a table: its rows, first and last day, the days covered as a duration, and the signs in it."""
+    n = F.max("time") - F.min("time") + 1
+    day = lambda c: F.date_format(to_date(c), "yyyy-MM-dd")
+    return df.agg(F.count("*").alias("n_obs"), day(F.min("time")).alias("start"), day(F.max("time")).alias("end"), F.concat(F.lit("P"), n.cast("string"), F.lit("D")).alias("duration"))
+
+
+def is_older(version: Column, own: str) -> Column:
+    """Whether a table's version is missing or lower than `own` in its first two numbers."""
+    number = lambda c: F.transform(F.slice(F.split(c, r"\."), 1, 2), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
+    return version.isNull() | (number(version) < number(F.lit(own)))
+
+
+def label(df: DataFrame, template: str) -> DataFrame:
+    """One row: the template with {t0}, {t1}, {nb_obs} and {nb_tracks} filled in."""
+    facts = df.agg(F.min("time").alias("t0"), F.max("time").alias("t1"), F.count("*").alias("nb_obs"), F.count_distinct("track").alias("nb_tracks"))
+    text = F.lit(template)
+    for c in facts.columns:
+        text = F.replace(text, F.lit("{" + c + "}"), F.col(c).cast("string"))
+    return facts.select(text.alias("label"))
