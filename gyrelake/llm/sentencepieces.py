@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 SPACE = "▁".encode()
 #: Characters of the texts that a task remembers, to answer copies without encoding them again.
 REMEMBERED = 16_000_000
-ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("source_bytes", pa.int64()), ("covered_bytes", pa.int64())])
+ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("source_bytes", pa.int64()), ("spans_sha256", pa.string()), ("covered_bytes", pa.int64())])
 PIECES = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
 
 
@@ -129,15 +129,16 @@ class Pieces:
     def ids(self, text: str) -> list[int]:
         return self.library.encode(text) + [self.end_id]
 
-    def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end source bytes of every id. A piece written from one source place takes all of it."""
+    def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Start and end source bytes of every id. A piece written from one source place takes all of it. None if the
+        pieces are not those of our own normalised text, as with a model whose rules the walk does not know."""
         out, source = self.normalise(text.encode())
         width = self.width[ids]
         if self.unknown in ids:
             width[np.equal(ids, self.unknown)] = self._unknown(text)
         ends = np.cumsum(width)
         if ends[-1] != len(out):
-            raise ValueError(f"pieces cover {ends[-1]} of {len(out)} normalised bytes")
+            return None
         first, last, after = source[ends - width], source[np.maximum(ends - 1, 0)], source[ends]
         inside = (after == last) & (width > 0)  # the next piece begins in what the same source place wrote
         if inside.any():
@@ -162,7 +163,9 @@ def _digests(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         ids = model.ids(text)
         joined = " ".join(map(words.__getitem__, ids)).encode()
         decoded = model.decode(ids).encode()
-        return len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded).hexdigest(), len(text.encode()), _covered(*model.spans(text, ids))
+        spans = model.spans(text, ids)
+        told = (hashlib.sha256(np.stack(spans).astype("<i8").tobytes()).hexdigest(), _covered(*spans)) if spans else (None, None)
+        return len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded).hexdigest(), len(text.encode()), *told
 
     for batch in batches:
         rows = []
@@ -193,21 +196,22 @@ def _spanned(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         out = {name: [] for name in PIECES.names}
         for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             ids = model.ids(text or "")
-            first, last = model.spans(text or "", ids)
-            for name, x in zip(PIECES.names, (doc_id, ids, first.tolist(), last.tolist()), strict=True):
+            first, last = model.spans(text or "", ids) or (None, None)
+            for name, x in zip(PIECES.names, (doc_id, ids, first, last), strict=True):
                 out[name].append(x)
         yield pa.RecordBatch.from_pydict(out, PIECES)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (with the end id), starts and ends: each id's span of source bytes."""
+    """doc_id, ids (with the end id), starts and ends: each id's span of source bytes (null where they cannot be told)."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_spanned, path), "doc_id long, ids array<int>, starts array<long>, ends array<long>")
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256, source_bytes and covered_bytes (bytes in a piece's span)."""
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256, source_bytes, spans_sha256 (of all starts, then all ends,
+    as little-endian 64-bit numbers) and covered_bytes (bytes in a piece's span)."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        partial(_digests, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, source_bytes long, covered_bytes long"
+        partial(_digests, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, source_bytes long, spans_sha256 string, covered_bytes long"
     )
 
 
