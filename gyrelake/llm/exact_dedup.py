@@ -28,6 +28,8 @@ GROUP = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("group_siz
 _MASK = (1 << 64) - 1
 #: Entries that one bucket of a filter holds, and moves before the filter counts as full.
 SLOTS, KICKS = 4, 200
+#: Rows of partial groups that one task's index holds about.
+INDEXED = 1_000_000
 
 
 def _mixed(x: int) -> int:
@@ -152,7 +154,9 @@ def live_groups(marked: DataFrame, deleted: DataFrame | None = None) -> DataFram
     rows = part.select(F.unhex("text_sha256").alias("digest"), "largest", "size", F.lit(False).alias("gone"))
     if deleted is not None:
         rows = rows.unionByName(deleted.select(F.unhex("text_sha256").alias("digest"), F.lit(None).cast("long").alias("largest"), F.lit(0).cast("long").alias("size"), F.lit(True).alias("gone")))
-    groups = rows.repartition("digest").mapInArrow(_indexed, "digest binary, keep_id long, group_size long")
+    # as many parts as keep an index within its bound, whatever the session's number of partitions
+    parts = max(int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions")), marked.count() // INDEXED + 1)
+    groups = rows.repartition(parts, "digest").mapInArrow(_indexed, "digest binary, keep_id long, group_size long")
     return groups.select(F.lower(F.hex("digest")).alias("text_sha256"), "keep_id", "group_size")
 
 
