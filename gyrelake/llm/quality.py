@@ -1,6 +1,7 @@
 """Quality classification by co-training on two views of a document.
 
-The text view sees counts of characters, words and lines; the metadata view sees source, language, declared length and
+The text view sees what words a document has, by weights of hashed words learnt from one half of the labelled rows (the
+other half is what the views are fitted on), and counts of characters, words and lines; the metadata view sees source, language, declared length and
 how it agrees with the text. Each view is a logistic model. Over a few rounds each model labels the unlabelled documents
 of a bounded sample that it is most sure of, and the other model trains on them too. Each view is then calibrated on
 labelled documents kept out of its training, and a last logistic step on both calibrated log-odds combines them; a view
@@ -26,12 +27,30 @@ LABELLED, UNLABELLED = 20_000, 20_000
 ROUNDS, SHARE, SURE = 4, 0.05, 0.95
 #: Values of source and language that get a weight of their own at most; all others share one.
 VALUES = 200
-TEXT_FEATURES = ("length", "symbols", "digits", "uppers", "spaces", "lines", "pipes", "ends", "word_length", "repeats", "twice", "short")
+#: Numbers that words are hashed to, for their weights.
+BUCKETS = 4096
+TEXT_FEATURES = ("content", "length", "symbols", "digits", "uppers", "spaces", "lines", "pipes", "ends", "word_length", "repeats", "twice", "short")
 META_NUMBERS = ("declared", "agrees", "missing")
 
 
-def text_view(text: Column) -> dict[str, Column]:
+def hashed_words(text: Column) -> Column:
+    """Numbers of a text's words in lower case, cut at spaces and line ends."""
+    return F.transform(F.split(F.lower(F.translate(text, "\n\t", "  ")), " "), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+
+
+def word_weights(marked: DataFrame) -> list[float]:
+    """For each number of words the log of how much likelier a good document (y = 1) has it than another. Rows: text, y."""
+    has = marked.select("y", F.explode(F.array_distinct(hashed_words(F.coalesce("text", F.lit("")))) ).alias("bucket"))
+    seen = {r["bucket"]: (r["good"], r["all"] - r["good"]) for r in has.groupBy("bucket").agg(F.sum("y").alias("good"), F.count("*").alias("all")).collect()}
+    good, every = marked.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.count("*")).first()
+    return [float(np.log((g + 1) / (good + 2)) - np.log((b + 1) / (every - good + 2))) for g, b in (seen.get(i, (0, 0)) for i in range(BUCKETS))]
+
+
+def text_view(text: Column, weights: list[float]) -> dict[str, Column]:
     text = F.coalesce(text, F.lit(""))
+    words = hashed_words(text)
+    table = F.split(F.lit(",".join(f"{w:.6g}" for w in weights)), ",").cast("array<double>")  # one constant of the plan
+    content = F.aggregate(words, F.lit(0.0), lambda s, w: s + F.get(table, w)) / F.greatest(F.size(words), F.lit(1))
     n = F.greatest(F.length(text), F.lit(1)).cast("double")
     # the characters of a class are what replacing them takes away; translate runs no pattern
     gone = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))) / n
@@ -39,6 +58,7 @@ def text_view(text: Column) -> dict[str, Column]:
     lines = (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("double")
     pieces = F.split(text, "\n")
     return {
+        "content": content,
         "length": F.log1p(F.length(text).cast("double")),
         "symbols": F.sqrt(gone("#$%&*@^~<>{}[]\\=_+")),
         "digits": F.sqrt(gone("0123456789")),
@@ -136,7 +156,6 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, more_text: np.nd
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` with score: how likely each document is of good quality, between 0 and 1."""
-    numbers = text_view(F.col("text")) | {k: v for k, v in meta_view(docs).items() if k in META_NUMBERS}
     named = {k: v for k, v in meta_view(docs).items() if k not in META_NUMBERS}
     marked = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("labelled_id"), F.col("quality").cast("double").alias("y"))
     sample = docs.select("doc_id", "text", *[c for c in ("source", "lang", "n_chars") if c in docs.columns])
@@ -145,6 +164,9 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     by_hash = lambda c, most, n: F.pmod(F.xxhash64(c, F.lit("sample")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, most / max(n, 1)))
     chosen = marked.where(by_hash("labelled_id", LABELLED * 0.95, n_labels))
     known = sample.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")).drop("labelled_id")
+    half = F.pmod(F.xxhash64("doc_id", F.lit("words")), F.lit(2)) == 0
+    numbers = text_view(F.col("text"), word_weights(known.where(half))) | {k: v for k, v in meta_view(docs).items() if k in META_NUMBERS}
+    known = known.where(~half)
     others = sample.where(by_hash("doc_id", UNLABELLED * 0.95, n_docs)).join(marked, F.col("doc_id") == F.col("labelled_id"), "left_anti").withColumn("y", F.lit(None).cast("double"))
     rows = known.unionByName(others).select("y", *[c.alias(k) for k, c in (numbers | named).items()]).toPandas()
     lab, more = rows[rows["y"].notna()], rows[rows["y"].isna()]
