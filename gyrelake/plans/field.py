@@ -33,7 +33,7 @@ on_grid("stencil5", lambda g: rounded(grids.stencil(g, "h", "d", "j", 2).select(
 on_grid("geostrophic_currents", lambda g: rounded(grids.with_currents(g.drop("u", "v"), "h", 0.25, 1).select("t", "i", "j", "u", "v"), "u", "v", digits=5), f"SELECT t, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(-9.807 / (4 * pi() / 86164.1 * sin(radians(lat))) * dy / {METRE * 0.25}, 5) AS u, round(9.807 / (4 * pi() / 86164.1 * sin(radians(lat))) * dx / ({METRE * 0.25} * cos(radians(lat))), 5) AS v FROM (SELECT *, CASE WHEN h IS NOT NULL THEN coalesce((lead(h) OVER x - lag(h) OVER x) / 2, lead(h) OVER x - h, h - lag(h) OVER x) END AS dx, CASE WHEN h IS NOT NULL THEN coalesce((lead(h) OVER y - lag(h) OVER y) / 2, lead(h) OVER y - h, h - lag(h) OVER y) END AS dy FROM g {LINES})")
 SLOPE = "coalesce((lead({0}) OVER {1} - lag({0}) OVER {1}) / 2, lead({0}) OVER {1} - {0}, {0} - lag({0}) OVER {1})"
 on_grid("okubo_weiss", lambda g: grids.okubo_weiss(g, 0.25).select("t", "i", "j", F.round(F.col("ow") * 1e12, 4).alias("ow"), F.round(F.col("vorticity") * 1e6, 4).alias("vorticity")), f"SELECT t, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round((pow(ux - vy, 2) + pow(vx + uy, 2) - pow(vx - uy, 2)) * 1e12, 4) AS ow, round((vx - uy) * 1e6, 4) AS vorticity FROM (SELECT *, {SLOPE.format('u', 'x')} / ({METRE * 0.25} * cos(radians(lat))) AS ux, {SLOPE.format('v', 'x')} / ({METRE * 0.25} * cos(radians(lat))) AS vx, {SLOPE.format('u', 'y')} / {METRE * 0.25} AS uy, {SLOPE.format('v', 'y')} / {METRE * 0.25} AS vy FROM g {LINES})")
-on_grid("ow_threshold", lambda g: grids.okubo_weiss(g, 0.25).withColumn("cut", F.lit(-0.2) * F.stddev_pop("ow").over(Window.partitionBy("t"))).groupBy("t").agg(F.count_if(F.col("ow") < F.col("cut")).alias("n")), None)
+on_grid("ow_threshold", lambda g: grids.okubo_weiss(g, 0.25).withColumn("cut", F.lit(-0.2) * F.stddev_pop("ow").over(Window.partitionBy("t"))).groupBy("t").agg(F.count_if(F.col("ow") < F.col("cut")).alias("n")), f"SELECT t, count(*) FILTER (WHERE ow < -0.2 * s) AS n FROM (SELECT *, stddev_pop(ow) OVER (PARTITION BY t) AS s FROM (SELECT *, pow(ux - vy, 2) + pow(vx + uy, 2) - pow(vx - uy, 2) AS ow FROM (SELECT *, {SLOPE.format('u', 'x')} / ({METRE * 0.25} * cos(radians(lat))) AS ux, {SLOPE.format('v', 'x')} / ({METRE * 0.25} * cos(radians(lat))) AS vx, {SLOPE.format('u', 'y')} / {METRE * 0.25} AS uy, {SLOPE.format('v', 'y')} / {METRE * 0.25} AS vy FROM g {LINES}))) GROUP BY 1")
 POINTS = "pts AS (SELECT obs_id AS pid, CAST(time % 2 AS BIGINT) AS t, lon * 0.4 AS x, 22 + lat * 0.3 AS y FROM obs)"
 
 
@@ -54,9 +54,13 @@ def nearest_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.at_points(_points(spark, sf_dir), grid(spark), "h", 0.0, 20.0, 0.25, "nearest").select("pid", "value")
 
 
-@query("time_interp")
+CORNERS = "LEFT JOIN g a{0} ON a{0}.t = {0} AND a{0}.i = i0 AND a{0}.j = j0 LEFT JOIN g b{0} ON b{0}.t = {0} AND b{0}.i = i0 AND b{0}.j = j0 + 1 LEFT JOIN g c{0} ON c{0}.t = {0} AND c{0}.i = i0 + 1 AND c{0}.j = j0 LEFT JOIN g d{0} ON d{0}.t = {0} AND d{0}.i = i0 + 1 AND d{0}.j = j0 + 1"
+BETWEEN = "((1 - p) * (1 - r) * a{0}.u + (1 - p) * r * b{0}.u + p * (1 - r) * c{0}.u + p * r * d{0}.u)"
+
+
+@query("time_interp", VIEW.rstrip() + f", {POINTS}, {GRID_CTE}, q AS (SELECT *, x / 0.25 AS fi, (y - 20) / 0.25 AS fj FROM pts), w AS (SELECT *, floor(fi) AS i0, floor(fj) AS j0, fi - floor(fi) AS p, fj - floor(fj) AS r FROM q) SELECT pid, round(0.75 * {BETWEEN.format(0)} + 0.25 * {BETWEEN.format(1)}, 6) AS value FROM w {CORNERS.format(0)} {CORNERS.format(1)}", view=False)
 def time_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.between_times(_points(spark, sf_dir).withColumn("t", F.lit(0.25)), grid(spark).withColumn("t", F.col("t").cast("double")), "u", 0.0, 20.0, 0.25).select("pid", "value")
+    return grids.between_times(_points(spark, sf_dir).withColumn("t", F.lit(0.25)), grid(spark).withColumn("t", F.col("t").cast("double")), "u", 0.0, 20.0, 0.25).select("pid", F.round("value", 6).alias("value"))
 
 
 @query("grid_in_rings", VIEW.rstrip() + f", {GRID_CTE} SELECT obs_id, count(h) AS n, round(avg(h), 6) AS mean, min(h) AS least, max(h) AS most FROM (SELECT obs_id, lon * 0.4 AS x, 22 + lat * 0.3 AS y FROM obs WHERE n = 0) o JOIN g ON g.t = 0 AND g.lon >= x - 0.51 AND g.lon < x + 0.51 AND g.lat >= y - 0.51 AND g.lat < y + 0.51 GROUP BY 1", view=False)
@@ -67,8 +71,9 @@ def grid_in_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 on_grid("bessel_filter", lambda g: rounded(grids.low_pass(g, "h", 0.25, 120.0, 48).select("t", "i", "j", "low"), "low"), None)
 on_grid("lanczos_high_filter", lambda g: rounded(grids.high_pass(g, "h", 0.25, 120.0, 48, kind="lanczos").select("t", "i", "j", "high"), "high"), None)
-on_grid("spectrum_lon", lambda g: rounded(grids.spectrum(g, "u"), "power"), None)
-on_grid("regrid", lambda g: rounded(grids.at_points(g.where("i < 40 and j < 24").select("t", (F.col("lon") + 0.1).alias("x"), (F.col("lat") + 0.05).alias("y")), g, "u", 0.0, 20.0, 0.25), "value"), None)
+TAPER = "(0.5 - 0.5 * cos(2 * pi() * i / 48))"
+on_grid("spectrum_lon", lambda g: rounded(grids.spectrum(g, "u"), "power"), f", m AS (SELECT t, i, j, (u - avg(u) OVER (PARTITION BY t, j)) * {TAPER} AS x FROM g), p AS (SELECT t, j, k, pow(sum(x * cos(2 * pi() * i * k / 48)), 2) + pow(sum(x * sin(2 * pi() * i * k / 48)), 2) AS e FROM m, range(25) r(k) GROUP BY 1, 2, 3) SELECT k AS wave, round(avg(e) / (SELECT sum(pow({TAPER}, 2)) FROM range(48) q(i)) * CASE WHEN k BETWEEN 1 AND 23 THEN 2 ELSE 1 END, 6) AS power FROM p GROUP BY k")
+on_grid("regrid", lambda g: rounded(grids.at_points(g.where("i < 40 and j < 24").select("t", (F.col("lon") + 0.1).alias("x"), (F.col("lat") + 0.05).alias("y")), g, "u", 0.0, 20.0, 0.25), "value"), "SELECT a.t, a.lon + 0.1e0 AS x, a.lat + 0.05e0 AS y, round(0.6 * 0.8 * a.u + 0.6 * 0.2 * b.u + 0.4 * 0.8 * c.u + 0.4 * 0.2 * d.u, 6) AS value FROM g a JOIN g b ON b.t = a.t AND b.i = a.i AND b.j = a.j + 1 JOIN g c ON c.t = a.t AND c.i = a.i + 1 AND c.j = a.j JOIN g d ON d.t = a.t AND d.i = a.i + 1 AND d.j = a.j + 1 WHERE a.i < 40 AND a.j < 24")
 
 
 IJ = "CAST(a.i AS INTEGER) AS i, CAST(a.j AS INTEGER) AS j"

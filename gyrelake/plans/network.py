@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gyrelake.operators import networks, pairs, tracks
@@ -62,9 +62,19 @@ simple("mean_by_segment", lambda o: rounded(networks.per_segment(linked(o), F.co
 simple("close_events_rows", lambda o: networks.near_events(linked(o), 3).select("obs_id"), f"{NET}, ev AS (SELECT r.time, unnest([l.next_id, r.prev_id, l.obs_id]) AS id FROM lasts l JOIN net r ON r.obs_id = l.next_id WHERE r.segment <> l.segment UNION SELECT r.time, unnest([l.prev_id, r.next_id, l.obs_id]) FROM firsts l JOIN net r ON r.obs_id = l.prev_id WHERE r.segment <> l.segment), w AS (SELECT DISTINCT n.track, n.segment, ev.time AS t FROM ev JOIN net n ON n.obs_id = ev.id) SELECT DISTINCT n.obs_id FROM net n JOIN w ON n.track = w.track AND n.segment = w.segment AND abs(n.time - w.t) <= 3")
 simple("relinked_subset", lambda o: networks.relinked(linked(o).where("time % 2 = 0 or lat > 0")).select("obs_id", "next_id", "prev_id"), f"{NET}, k AS (SELECT * FROM net WHERE time % 2 = 0 OR lat > 0) SELECT k.obs_id, a.obs_id AS next_id, b.obs_id AS prev_id FROM k LEFT JOIN k a ON a.obs_id = k.next_id LEFT JOIN k b ON b.obs_id = k.prev_id")
 simple("numbering_segment", lambda o: tracks.renumbered(linked(o).select("obs_id", (F.col("track") * 100 + F.col("segment")).alias("segment")), "segment"), f"{NET} SELECT obs_id, dense_rank() OVER (ORDER BY track * 100 + segment) - 1 AS segment FROM net")
-simple("find_link_forward", lambda o: networks.reached(linked(o), linked(o).where("time = 27028 and track = 1")), None)
-simple("dissociated", lambda o: networks.dissociated(linked(o)).select("obs_id", "track"), None)
-simple("corrected_close_events", lambda o: networks.corrected_close_events(linked(o)).select("obs_id", "segment"), None)
+
+
+def _recursive(name: str) -> None:
+    """DuckDB wants RECURSIVE at the front of the whole statement."""
+    ORACLE[name] = ORACLE[name].replace("WITH", "WITH RECURSIVE", 1)
+
+
+simple("find_link_forward", lambda o: networks.reached(linked(o), linked(o).where("time = 27028 and track = 1")), f"{NET}, r(obs_id) AS (SELECT obs_id FROM net WHERE time = 27028 AND track = 1 UNION SELECT x.obs_id FROM r JOIN net n ON n.obs_id = r.obs_id JOIN net x ON (x.track = n.track AND x.segment = n.segment AND x.time >= n.time) OR x.obs_id = n.next_id) SELECT obs_id FROM r")
+_recursive("find_link_forward")
+# the new numbers follow hashes, so a network is told by its smallest row
+simple("dissociated", lambda o: networks.dissociated(linked(o)).select("obs_id", F.min("obs_id").over(Window.partitionBy("track")).alias("first_id")), f"{NET}, q(track, s, o) AS (SELECT DISTINCT track, segment, segment FROM net UNION SELECT q.track, q.s, a.o FROM q JOIN adj a ON a.track = q.track AND a.s = q.o), f AS (SELECT q.track, q.s, min(n.obs_id) AS first_id FROM q JOIN net n ON n.track = q.track AND n.segment = q.o GROUP BY 1, 2) SELECT net.obs_id, f.first_id FROM net JOIN f ON f.track = net.track AND f.s = net.segment")
+_recursive("dissociated")
+simple("corrected_close_events", lambda o: networks.corrected_close_events(linked(o)).select("obs_id", "segment"), f"{NET}, sp AS (SELECT l.track AS bt, l.segment AS bs, r.track AS pt, r.segment AS ps, r.time AS t0 FROM firsts l JOIN net r ON r.obs_id = l.prev_id WHERE r.segment <> l.segment), mg AS (SELECT l.track AS ct, l.segment AS cs, r.track AS qt, r.segment AS qs, r.time AS t1 FROM lasts l JOIN net r ON r.obs_id = l.next_id WHERE r.segment <> l.segment), lp AS (SELECT bt, bs, min(ps) AS new FROM sp JOIN mg ON bt = ct AND bs = cs AND ps = qs AND pt = qt WHERE t1 - t0 < 20 GROUP BY 1, 2) SELECT obs_id, coalesce(new, segment) AS segment FROM net LEFT JOIN lp ON bt = track AND bs = segment")
 simple("time_edges", lambda o: networks.time_edges(o, 2, 0.5).select("a", "b", F.col("lag").cast("int").alias("lag")), "SELECT a.obs_id AS a, b.obs_id AS b, CAST(b.time - a.time AS INTEGER) AS lag FROM obs a JOIN obs b ON b.time - a.time BETWEEN 1 AND 2 AND abs(a.lon - b.lon) <= 0.5 AND abs(a.lat - b.lat) <= 0.5")
 
 

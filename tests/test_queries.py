@@ -1,4 +1,4 @@
-"""Every query with SQL equals it at the smallest scale; the others run and give rows of a stable schema."""
+"""Every query with SQL equals it at the smallest scale; the others give rows, and most are held against known results elsewhere."""
 
 import os
 
@@ -8,8 +8,8 @@ import pytest
 from gyrelake.plans.queries import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-#: Loops over days or graphs: run apart at the smallest size below.
-SLOW = {"split_segments", "tracks_from_links", "tracker_fold", "dissociated", "find_link_forward", "coherence", "greedy_assign"}
+#: Loops over days: held against known results on a small table below.
+SLOW = {"split_segments", "tracks_from_links", "tracker_fold", "greedy_assign"}
 
 
 @pytest.fixture(scope="module")
@@ -51,4 +51,5 @@ def test_whole_view(spark, tmp_path):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - SLOW))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, DATA).columns
+    df = QUERIES[name](spark, DATA)
+    assert df.columns and len(df.collect()) > 0

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gyrelake.operators import grids, networks, pairs, tracking
+from gyrelake.operators import advection, grids, networks, pairs, tracking
 from gyrelake.plans import jobs
 from gyrelake.plans.dynamic import basin
 from gyrelake.plans.network import linked
@@ -98,3 +98,19 @@ def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
     for master in ("yarn", "local-cluster[2,1,1024]"):
         with pytest.raises(RuntimeError):
             tables.shared_folder(Session(spark_master=master))
+
+
+def test_particles_in_a_uniform_current(spark, monkeypatch):
+    """Half a metre a second north: so many degrees a day; the same in windows of one day, and back again."""
+    g = basin(spark).withColumns({"u": F.lit(0.0), "v": F.lit(0.5)})
+    seeds = spark.createDataFrame([(1, 14.0, 33.0), (2, 15.5, 34.25)], "pid long, x double, y double")
+    day = 0.5 * 86400 / (3.141592653589793 / 180 * 6370997.0)
+    rows = lambda: {(r["pid"], r["step"]): (r["x"], r["y"]) for r in advection.paths(seeds, g, 0, 2).collect()}
+    found = rows()
+    assert len(found) == 6
+    for (pid, step), (x, y) in found.items():
+        assert (x, y) == pytest.approx(({1: 14.0, 2: 15.5}[pid], {1: 33.0, 2: 34.25}[pid] + step * day), abs=1e-6)
+    monkeypatch.setattr(advection, "MOST_CELLS", 2 * 60 * 40)
+    assert rows() == {k: pytest.approx(v, abs=1e-9) for k, v in found.items()}
+    back = advection.paths(seeds, g, 2, 2, backward=True).collect()
+    assert {(r["pid"], r["step"]): r["y"] for r in back}[1, 2] == pytest.approx(33.0 - 2 * day, abs=1e-6)
