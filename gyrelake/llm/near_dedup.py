@@ -42,6 +42,8 @@ BANDS, ROWS = 40, 6
 #: Pairs by one shown shingle for each place of a node in a bucket, above which a centre is compared first: their sizes
 #: and places are looked at within the join, in far less time than signing a text takes. Ratio of sizes within a class.
 SPARSE, CLASS = 200, 1.02
+#: Bits of the filter in front of a shuffle, in longs of 64: at most 262,144 rows of two longs are sent to each executor.
+FILTER = 1 << 24
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -157,6 +159,18 @@ def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return written(every.join(new, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component")))
 
 
+def thinned(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """`rows` without most of those whose `key` is not in `wanted`, for a join that drops the others after a shuffle.
+
+    The filter's size is fixed. Once `wanted` has more keys than it has bits, nearly all rows pass and the shuffle is as
+    large as without it; no wanted row is ever dropped. Rows with a null key may pass or not.
+    """
+    cell = F.pmod(F.xxhash64(key), F.lit(FILTER))
+    word, bit = F.shiftright(cell, 6), F.pmod(cell, F.lit(64)).cast("int")
+    bits = wanted.groupBy(word.alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), 64) as int))")).alias("_bits"))
+    return rows.join(F.broadcast(bits), word == F.col("_word")).where(F.getbit("_bits", bit) == 1).drop("_word", "_bits")
+
+
 def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
@@ -200,13 +214,14 @@ def near_links(docs: DataFrame, least: int = 85, words: int = WORDS) -> tuple[Da
     nodes = written(signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node")))
     members = signed.select("doc_id", "n_shingles", "digest").join(nodes, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node"))
     owners = signed.select("digest", F.col("doc_id").alias("node"), "bands", "n_shingles").join(nodes, ["digest", "node"], "left_semi")
-    keyed = owners.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    keyed = written(owners.select("node", "bands", "n_shingles")).select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = written(keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket", "size"))
-    meets = written(keyed.join(shared, "bucket"))
+    meets = written(thinned(keyed, "bucket", shared).join(shared, "bucket"))
     # how many others a node meets over all its buckets: the text that the others were made from meets most
     central = meets.groupBy("node").agg(F.sum("size").alias("weight"))
     active = written(meets.join(central, "node").select("bucket", "node", "n", "weight"))
-    own = texts.withColumnRenamed("doc_id", "node").join(active.select("node").distinct(), "node", "left_semi")
+    few = active.select("node").distinct()
+    own = thinned(texts.withColumnRenamed("doc_id", "node"), "node", few).join(few, "node", "left_semi")
     sets = written(own.mapInArrow(partial(_sets, words), "node long, shingles array<long>"))
 
     labels = written(components(confirmed(centred(active, ["bucket"], least), sets, least)))

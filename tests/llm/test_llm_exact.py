@@ -91,6 +91,19 @@ def test_near_groups_odd_ids(make):
     assert near_dedup.near_groups(make([])).count() == 0
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_a_filter_drops_no_wanted_row(spark, monkeypatch, bits):
+    """Keys of both signs; a filter with one word of bits passes more, never less."""
+    monkeypatch.setattr(near_dedup, "FILTER", bits)
+    rows = spark.range(-500, 500).selectExpr("id as node")
+    for wanted in ([], [-500, -1, 0, 7, 499], list(range(-500, 500))):
+        few = spark.createDataFrame([(x,) for x in wanted], "node long")
+        got = {r.node for r in near_dedup.thinned(rows, "node", few).collect()}
+        assert got >= set(wanted)
+        if bits > 64:
+            assert got == set(wanted)
+
+
 def test_signature_is_unbiased():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
