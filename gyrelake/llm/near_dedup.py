@@ -221,7 +221,8 @@ def near_links(docs: DataFrame, least: int = 85, words: int = WORDS) -> tuple[Da
     central = meets.groupBy("node").agg(F.sum("size").alias("weight"))
     active = written(meets.join(central, "node").select("bucket", "node", "n", "weight"))
     few = active.select("node").distinct()
-    own = thinned(texts.withColumnRenamed("doc_id", "node"), "node", few).join(few, "node", "left_semi")
+    # an inner join: the optimizer would move a semi join in front of the filter
+    own = thinned(texts.withColumnRenamed("doc_id", "node"), "node", few).join(few, "node")
     sets = written(own.mapInArrow(partial(_sets, words), "node long, shingles array<long>"))
 
     labels = written(components(confirmed(centred(active, ["bucket"], least), sets, least)))
