@@ -5,7 +5,8 @@ of the whole corpus cannot be sorted in one place, so they are sorted where they
 bytes holds an anchor, the smallest hash among its `ANCHOR`-byte strings, and two equal windows hold the same anchor at
 the same offset. Occurrences of an anchor that occurs once are done. For the others the bytes around the anchor decide:
 
-1. Occurrences with equal bytes on both sides: all but the first repeat it as a whole.
+1. Occurrences with equal bytes on both sides: all but the first repeat it as a whole. Within a block of documents this is
+   told before the shuffle, so that copies of a passage send one record a block, however many there are.
 2. The first ones of each different context start as one interval per anchor. The interval is extended backward, one byte
    at a time and all intervals at once, as on a Burrows-Wheeler transform: an interval and the byte before it give the
    next intervals. The same forward, for the bytes after the anchor. Lengths grow until anchor and extensions reach
@@ -14,7 +15,8 @@ the same offset. Occurrences of an anchor that occurs once are done. For the oth
 3. An anchor with more than `LARGEST` different contexts does not go to one task: its windows are dealt by their own
    digests, and the first of each is found by a grouped minimum.
 
-Anchors travel packed, one row per block of documents and bucket, so a shuffle moves 28 bytes an anchor.
+Anchors travel packed, one row per block of documents and bucket, so a shuffle moves 28 bytes an anchor, and 12 for one
+that repeats another of its block; those are dealt by document, not by anchor.
 
 Defined results: a null text equals an empty one; nothing is removed from texts shorter than `LEAST` bytes; rows with the
 same doc_id and equal texts come in any order, one of them first; a null doc_id sorts before all others; an empty table
@@ -41,6 +43,7 @@ _B = 0x9E3779B97F4A7C15
 _BI = pow(_B, -1, 1 << 64)
 _BYTES = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 RECORD = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("row", "<i8"), ("at", "<i4")])
+PLACE = np.dtype([("row", "<i8"), ("at", "<i4")])
 CHUNK = 1 << 20
 
 
@@ -104,17 +107,28 @@ def reach(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocked(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (bucket, records): the anchors of a block of documents."""
+    """Rows of (bucket, records, again): the anchors of a block of documents; again are the places of those that have the
+    same context as an earlier one of the block."""
     powers = Powers()
-    schema = pa.schema([("bucket", pa.int32()), ("records", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("records", pa.binary()), ("again", pa.binary())])
 
-    def dealt(parts: list[np.ndarray]) -> pa.RecordBatch:
-        every = np.concatenate(parts)
-        bucket = (every["anchor"] >> np.uint64(20)) % np.uint64(buckets)
+    def packed(x: np.ndarray, bucket: np.ndarray, column: str) -> pa.RecordBatch:
         order = np.argsort(bucket, kind="stable")
-        every, bucket = every[order], bucket[order]
+        x, bucket = x[order], bucket[order]
         cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        return pa.RecordBatch.from_pydict({"bucket": bucket[cut].astype(np.int32), "records": [x.tobytes() for x in np.split(every, cut[1:])]}, schema)
+        rows = {"records": [b""] * len(cut), "again": [b""] * len(cut), column: [y.tobytes() for y in np.split(x, cut[1:])]}
+        return pa.RecordBatch.from_pydict({"bucket": bucket[cut].astype(np.int32), **rows}, schema)
+
+    def dealt(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        every = np.concatenate(parts)
+        every = every[np.lexsort((every["at"], every["row"], every["context"], every["anchor"]))]
+        same = np.append(False, (every["anchor"][1:] == every["anchor"][:-1]) & (every["context"][1:] == every["context"][:-1]))
+        first = every[~same]
+        yield packed(first, (first["anchor"] >> np.uint64(20)) % np.uint64(buckets), "records")
+        if same.any():
+            again = np.empty(int(same.sum()), PLACE)
+            again["row"], again["at"] = every["row"][same], every["at"][same]
+            yield packed(again, again["row"] % buckets, "again")
 
     waiting, n = [], 0
     for batch in batches:
@@ -133,22 +147,26 @@ def _blocked(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
             waiting.append(found)
             n += len(found)
             if n >= CHUNK:
-                yield dealt(waiting)
+                yield from dealt(waiting)
                 waiting, n = [], 0
     if n:
-        yield dealt(waiting)
+        yield from dealt(waiting)
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """All records of one bucket at a time; rows come sorted by bucket."""
+    """All records of one bucket at a time, and places as they come; rows come sorted by bucket."""
     bucket, parts = None, []
     for batch in batches:
+        again = b"".join(batch["again"].to_pylist())
+        if again:
+            yield np.frombuffer(again, PLACE)
         for b, raw in zip(batch["bucket"].to_pylist(), batch["records"], strict=True):
             if b != bucket and parts:
                 yield np.concatenate(parts)
                 parts = []
             bucket = b
-            parts.append(np.frombuffer(raw.as_buffer(), RECORD))
+            if len(raw.as_buffer()):
+                parts.append(np.frombuffer(raw.as_buffer(), RECORD))
     if parts:
         yield np.concatenate(parts)
 
@@ -158,14 +176,17 @@ def _judged(largest: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     an anchor with very many contexts (2). One row per document and bucket and kind."""
     schema = pa.schema([("row", pa.int64()), ("kind", pa.int8()), ("places", pa.binary())])
     for x in _by_bucket(batches):
-        x = np.sort(x, order=["anchor", "context", "row", "at"])
-        same_anchor = np.append(False, x["anchor"][1:] == x["anchor"][:-1])
-        same = same_anchor & np.append(False, x["context"][1:] == x["context"][:-1])
-        group = np.cumsum(~same_anchor) - 1
-        contexts = np.bincount(group[~same], minlength=group[-1] + 1)[group]
-        kind = np.where(same, 0, np.where(contexts > largest, 2, 1)).astype(np.int8)
-        keep = same | (contexts > 1)
-        x, kind = x[keep], kind[keep]
+        if x.dtype == PLACE:
+            kind = np.zeros(len(x), np.int8)
+        else:
+            x = x[np.lexsort((x["at"], x["row"], x["context"], x["anchor"]))]
+            same_anchor = np.append(False, x["anchor"][1:] == x["anchor"][:-1])
+            same = same_anchor & np.append(False, x["context"][1:] == x["context"][:-1])
+            group = np.cumsum(~same_anchor) - 1
+            contexts = np.bincount(group[~same], minlength=group[-1] + 1)[group]
+            kind = np.where(same, 0, np.where(contexts > largest, 2, 1)).astype(np.int8)
+            keep = same | (contexts > 1)
+            x, kind = x[keep], kind[keep]
         order = np.lexsort((x["at"], kind, x["row"]))
         x, kind = x[order], kind[order]
         if len(x):
@@ -338,7 +359,7 @@ def _found(docs: DataFrame, largest: int) -> tuple[DataFrame, DataFrame]:
     texts = _numbered(docs)
     size = texts.agg(F.sum(F.octet_length("text")), F.max("row")).first()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((size[0] or 0) * 0.034 * RECORD.itemsize / BUCKET_BYTES) + 1)
-    dealt = texts.where(F.octet_length("text") >= LEAST).mapInArrow(partial(_blocked, buckets), "bucket int, records binary")
+    dealt = texts.where(F.octet_length("text") >= LEAST).mapInArrow(partial(_blocked, buckets), "bucket int, records binary, again binary")
     judged = written(dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(partial(_judged, largest), "row long, kind byte, places binary"))
     asked = judged.where("kind > 0").groupBy("row", "kind").agg(F.collect_list("places").alias("places"))
     contexts = asked.join(texts, "row").select("row", "text", "kind", "places").mapInArrow(_contexts, "anchor long, row long, at int, start int, bytes binary, window boolean")

@@ -173,6 +173,15 @@ def test_repeats(make, prose, largest):
     assert {r["doc_id"]: tuple(r)[1:] for r in repeats.repeated(make(rows), largest=largest).collect()} == plain_repeats(rows)
 
 
+def test_repeats_told_within_and_between_blocks(make, prose, monkeypatch):
+    """A block of one document, of some, and of all: what the blocks tell beforehand changes nothing."""
+    rows = [(i * 7 % 61, t) for i, t in enumerate(([*prose, "z" * 350] * 4)[:61])]
+    want = plain_repeats(rows)
+    for chunk in (1, 40, 1 << 20):
+        monkeypatch.setattr(repeats, "CHUNK", chunk)
+        assert {r["doc_id"]: tuple(r)[1:] for r in repeats.repeated(make(rows)).collect()} == want
+
+
 def test_repeats_on_the_test_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert {r["doc_id"]: tuple(r)[1:] for r in repeats.repeated(docs).collect()} == plain_repeats([(r["doc_id"], r["text"]) for r in docs.collect()])
