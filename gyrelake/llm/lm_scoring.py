@@ -9,8 +9,8 @@ shorter n-gram without its first word. Logs are summed per document.
 
 A document's own counts are taken away before it is scored, so a text that nothing else resembles scores low.
 
-Defined results: a null or empty text, and one of white space, has no words, n_words 0 and a null score, as has the score
-of a text of fewer words than `order`; a word that no other document holds counts as one in all words; every row is a
+Defined results: a null or empty text, and one of white space, has no words, n_words 0 and a null score; a document's
+first words are scored by the shorter n-grams that begin it; a word that no other document holds counts as one in all words; every row is a
 document of its own, so repeated rows tell of each other, and a null doc_id is kept; an empty table gives an empty result.
 """
 
@@ -140,7 +140,7 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.bincount(which, np.concatenate([_large(r[3]) for r in rows])).astype(np.int64)[which]
         at = 0
         for r, g in zip(rows, grams, strict=True):
-            yield pa.RecordBatch.from_pydict({"block": [r[1]], "part": [r[0]], "totals": [_small(np.minimum(total[at : at + len(g)], 2**32 - 1))]}, schema)
+            yield pa.RecordBatch.from_pydict({"block": [r[1]], "part": [r[0]], "totals": [_small(total[at : at + len(g)], 8)]}, schema)
             at += len(g)
 
     waiting: list[tuple] = []
@@ -162,12 +162,13 @@ def _scored(order: int, parts: int, words: int, batches: Iterator[pa.RecordBatch
             score = np.full(n_docs, np.nan)
             if r["found"]:
                 _, _, _, which = block.counted(parts)
-                total = np.concatenate([_large(x["totals"]) for x in sorted(r["found"], key=lambda x: x["part"])]).astype(np.int64)
+                total = np.concatenate([_large(x["totals"], 8) for x in sorted(r["found"], key=lambda x: x["part"])]).astype(np.int64)
                 document = np.concatenate([block.document[at] for at in block.places.values()])
                 _, same, own = np.unique(document * len(total) + which, return_inverse=True, return_counts=True)
                 elsewhere = total[which] - own[same]
                 sizes = np.cumsum([0, *(len(at) for at in block.places.values())])
-                logs = None
+                begin = np.cumsum(block.lengths) - block.lengths
+                sums, logs = np.zeros(n_docs), None
                 for k, at in block.places.items():
                     here = elsewhere[sizes[k - 1] : sizes[k]]
                     full = np.zeros(len(block.document) + 1)  # by the place of the n-gram's first word
@@ -178,10 +179,12 @@ def _scored(order: int, parts: int, words: int, batches: Iterator[pa.RecordBatch
                         head[block.places[k - 1]] = before
                         full[at] = np.where(here > 0, np.log(np.maximum(here, 1) / np.maximum(head[at], 1)), logs[at + 1] + np.log(BACKOFF))
                     logs, before = full, here
-                at = block.places[order]
-                n = np.bincount(block.document[at], minlength=n_docs)
-                sums = np.bincount(block.document[at], logs[at], n_docs)
-                score[n > 0] = sums[n > 0] / n[n > 0]
+                    if k < order:  # the k-th word of a document has no more words before it
+                        sums[block.lengths >= k] += full[begin[block.lengths >= k]]
+                    else:
+                        sums += np.bincount(block.document[at], full[at], n_docs)
+                some = block.lengths > 0
+                score[some] = sums[some] / block.lengths[some]
             yield pa.RecordBatch.from_arrays([pa.array(r["ids"], pa.int64()), pa.array(block.lengths), pa.array(score, from_pandas=True)], schema=SCORES)
 
 

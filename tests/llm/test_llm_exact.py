@@ -362,25 +362,28 @@ def test_top_k(spark, sf):
 # --- language-model scores
 
 
-def plain_scores(rows):
+def plain_scores(rows, order):
     docs = {i: [w for w in re.split(r"\s+", (t or "").lower(), flags=re.A) if w] for i, t in rows}
-    uni, bi = Counter(w for d in docs.values() for w in d), Counter(p for d in docs.values() for p in zip(d, d[1:], strict=False))
-    total, out = sum(uni.values()), {}
-    for i, d in docs.items():
-        own, pairs = Counter(d), Counter(zip(d, d[1:], strict=False))
-        logs = []
-        for (a, b), n in pairs.items():
-            here = bi[a, b] - n
-            s = here / max(uni[a] - own[a], here) if here else 0.4 * max(uni[b] - own[b], 1) / total
-            logs += [np.log(s)] * n
-        out[i] = (len(d), np.mean(logs) if logs else None)
-    return out
+    grams = {i: Counter(tuple(d[a : a + k]) for k in range(1, order + 1) for a in range(len(d) - k + 1)) for i, d in docs.items()}
+    every, total = sum(grams.values(), Counter()), sum(map(len, docs.values()))
+
+    def scored(gram, own):
+        here = every[gram] - own[gram]
+        if len(gram) == 1:
+            return max(here, 1) / total
+        return here / (every[gram[:-1]] - own[gram[:-1]]) if here else 0.4 * scored(gram[1:], own)
+
+    return {i: (len(d), np.mean([np.log(scored(tuple(d[max(k - order + 1, 0) : k + 1]), grams[i])) for k in range(len(d))]) if d else None) for i, d in docs.items()}
 
 
-def test_language_model(make, prose):
-    found = {r["doc_id"]: (r["n_words"], r["score"]) for r in lm_scoring.scores(make(prose)).collect()}
-    want = plain_scores(list(enumerate(prose)))
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_language_model(make, prose, order):
+    rows = [*prose, "one", "one two", "long " * 30_000 + "end"]
+    found = {r["doc_id"]: (r["n_words"], r["score"]) for r in lm_scoring.scores(make(rows), order).collect()}
+    want = plain_scores(list(enumerate(rows)), order)
     assert found.keys() == want.keys()
     for i, (n, s) in want.items():
         assert found[i] == (n, pytest.approx(s, rel=1e-9)) if s is not None else found[i] == (n, None)
-    assert lm_scoring.scores(make([])).count() == 0
+    odd = lm_scoring.scores(make([(None, "a b"), (1, "a b"), (1, "a b"), (2, None)]), order).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"]) for r in odd) == [("1", 2), ("1", 2), ("2", 0), ("None", 2)]
+    assert lm_scoring.scores(make([]), order).count() == 0
