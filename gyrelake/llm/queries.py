@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyrelake.llm import decontamination, exact_dedup, lm_scoring, near_dedup, packing, pii, quality, repeats, sentencepieces, topk, toxicity
+from gyrelake.llm import decontamination, exact_dedup, hard_negatives, lm_scoring, near_dedup, packing, pii, quality, repeats, sentencepieces, spelling, topk, toxicity
 from gyrelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,67 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op11_hard_negatives",
+    """
+    WITH v AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+      SELECT q.vec_id AS anchor_id, q.label = c.label AS same, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+    ), p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same),
+    n AS (
+      SELECT anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+        row_number() OVER (PARTITION BY anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s USING (anchor_id) WHERE place <= 5 AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+    )
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), topk.whole_numbers("embedding").alias("vector"))
+    return hard_negatives.hard_negatives(v, v.where("id % 100 = 0"))
+
+
+@query(
+    "op12_spelling_variants",
+    """
+    WITH RECURSIVE crc_table AS (
+      SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+    ), runs AS (
+      SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+      FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 7
+    ), bytes AS (
+      SELECT doc_id, run, list_transform(range(CAST(len(x) / 2 AS BIGINT)), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)) AS b
+      FROM (SELECT DISTINCT doc_id, run, hex(encode(concat(doc_id, ':', run))) AS x FROM runs WHERE doc_id IS NOT NULL)
+    ), hashed AS (
+      SELECT doc_id, run, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS h FROM bytes, crc_table
+    ), words AS (
+      SELECT CASE WHEN h % 31 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word
+      FROM runs LEFT JOIN hashed USING (doc_id, run)
+    ), vocabulary AS (SELECT word, count(*) AS n FROM words WHERE length(word) >= 7 GROUP BY 1 HAVING count(*) >= 2),
+    cut AS (SELECT word, length(word) AS size, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)),
+    near AS (
+      SELECT DISTINCT a.word AS word, b.word AS near FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.size = b.size AND a.word <> b.word
+      UNION SELECT cut.word, v.word FROM cut JOIN vocabulary v ON v.word = rest
+      UNION SELECT v.word, cut.word FROM cut JOIN vocabulary v ON v.word = rest
+    ), best AS (
+      SELECT near.word, v.word AS near, v.n AS near_n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY v.n DESC, v.word) AS place
+      FROM near JOIN vocabulary v ON v.word = near.near
+    ), told AS (
+      SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * v.n THEN near END AS form, CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n
+      FROM vocabulary v LEFT JOIN best ON best.word = v.word AND place = 1
+    ), walk AS (
+      SELECT word, word AS root, form FROM told
+      UNION ALL SELECT walk.word, told.word, told.form FROM walk JOIN told ON told.word = walk.form
+    )
+    SELECT word, told.form AS form, root, n, n_near, form_n FROM told JOIN walk USING (word) WHERE walk.form IS NULL
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"), delete_one_in=31)
