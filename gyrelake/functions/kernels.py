@@ -14,50 +14,76 @@ def area(x: np.ndarray, y: np.ndarray) -> float:
     return abs(float(np.sum(x[:-1] * y[1:] - x[1:] * y[:-1]))) / 2
 
 
-def _spans(x0, y0, x1, y1, level: float) -> list[tuple[float, float]]:
-    """Where a horizontal line lies inside a ring (even-odd)."""
-    hit = (np.minimum(y0, y1) <= level) & (level < np.maximum(y0, y1))
-    at = np.sort(x0[hit] + (level - y0[hit]) * (x1[hit] - x0[hit]) / (y1[hit] - y0[hit]))
-    return list(zip(at[::2].tolist(), at[1::2].tolist(), strict=False))
+#: Stands for no crossing: it sorts behind all places.
+NOWHERE = 1e300
 
 
-def shared_area(ax, ay, bx, by) -> float:
-    """Area that two closed rings share: between the heights where edges begin, end or cross, widths are linear, so the
-    middle of each slab gives its area exactly."""
-    ax, ay, bx, by = (np.asarray(v, float) for v in (ax, ay, bx, by))
-    low, high = max(ay.min(), by.min()), min(ay.max(), by.max())
-    if low >= high or max(ax.min(), bx.min()) >= min(ax.max(), bx.max()):
-        return 0.0
-    a, b = (ax[:-1], ay[:-1], ax[1:], ay[1:]), (bx[:-1], by[:-1], bx[1:], by[1:])
-    dax, day = (a[2] - a[0])[:, None], (a[3] - a[1])[:, None]
-    dbx, dby = (b[2] - b[0])[None], (b[3] - b[1])[None]
+def _crossings(x: np.ndarray, y: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Where horizontal lines cross rings: for each ring (row) and level the sorted places, two by two the inside (even-odd)."""
+    x0, y0, x1, y1 = (v[:, None] for v in (x[:, :-1], y[:, :-1], x[:, 1:], y[:, 1:]))
+    at = level[:, :, None]
+    hit = (np.minimum(y0, y1) <= at) & (at < np.maximum(y0, y1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        place = np.where(hit, x0 + (at - y0) * (x1 - x0) / (y1 - y0), NOWHERE)
+    most = int(hit.sum(2).max(initial=0))
+    return np.sort(place, axis=2)[:, :, : most + most % 2]
+
+
+def shared_areas(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Area that closed rings share pairwise, one pair a row: between the heights where edges begin, end or cross, widths
+    are linear, so the middle of each slab gives its area exactly."""
+    low, high = np.maximum(ay.min(1), by.min(1)), np.minimum(ay.max(1), by.max(1))
+    dax, day = np.diff(ax)[:, :, None], np.diff(ay)[:, :, None]
+    dbx, dby = np.diff(bx)[:, None], np.diff(by)[:, None]
     cross = dax * dby - day * dbx
+    ox, oy = bx[:, None, :-1] - ax[:, :-1, None], by[:, None, :-1] - ay[:, :-1, None]
     with np.errstate(divide="ignore", invalid="ignore"):
-        ox, oy = b[0][None] - a[0][:, None], b[1][None] - a[1][:, None]
         t, u = (ox * dby - oy * dbx) / cross, (ox * day - oy * dax) / cross
         met = (cross != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-        heights = (a[1][:, None] + t * day)[met]
-    levels = np.unique(np.concatenate([ay, by, heights]))
-    levels = levels[(levels >= low) & (levels <= high)]
-    total = 0.0
-    for y0, y1 in zip(levels[:-1].tolist(), levels[1:].tolist(), strict=True):
-        if y1 - y0 < 1e-15:
+        heights = np.where(met, ay[:, :-1, None] + t * day, np.nan)
+    levels = np.concatenate([ay, by, heights.reshape(len(ax), -1)], 1)
+    levels[~((levels >= low[:, None]) & (levels <= high[:, None]))] = np.nan
+    levels = np.sort(levels, axis=1)
+    levels = levels[:, : max(int((~np.isnan(levels)).sum(1).max(initial=0)), 1)]
+    thick = np.diff(levels)
+    middle = (levels[:, :-1] + levels[:, 1:]) / 2
+    a, b = _crossings(ax, ay, middle), _crossings(bx, by, middle)
+    wide = np.minimum(a[:, :, 1::2, None], b[:, :, None, 1::2]) - np.maximum(a[:, :, ::2, None], b[:, :, None, ::2])
+    return np.where(thick > 1e-15, np.maximum(wide, 0).sum((2, 3)) * thick, 0.0).sum(1)
+
+
+def areas(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.abs((x[:, :-1] * y[:, 1:] - x[:, 1:] * y[:, :-1]).sum(1)) / 2
+
+
+def overlaps(ax, ay, bx, by, kind: str = "union", cells: int = 2_000_000) -> np.ndarray:
+    """Shared area over the union's, the smaller ring's or the first ring's, pair by pair; the second is brought next to the
+    first. Sequences of arrays; pairs of the same numbers of points are taken together, so many that `cells` numbers are
+    held a time."""
+    sizes = [(len(p), len(q)) for p, q in zip(ax, bx, strict=True)]
+    out, of = np.zeros(len(sizes)), {}
+    for k, s in enumerate(sizes):
+        of.setdefault(s, []).append(k)
+    for (n, m), rows in of.items():
+        if min(n, m) < 4:
             continue
-        middle = (y0 + y1) / 2
-        q = _spans(*b, middle)
-        for p0, p1 in _spans(*a, middle):
-            total += sum(max(0.0, min(p1, q1) - max(p0, q0)) for q0, q1 in q) * (y1 - y0)
-    return total
+        chunk = max(1, cells // ((n + m + n * m) * 4 + (n + m) ** 2))
+        for c in range(0, len(rows), chunk):
+            at = rows[c : c + chunk]
+            px, py, qx, qy = (np.array([v[k] for k in at], float) for v in (ax, ay, bx, by))
+            qx = qx + 360 * np.round((px.min(1) - qx.min(1)) / 360)[:, None]
+            both, a, b = shared_areas(px, py, qx, qy), areas(px, py), areas(qx, qy)
+            under = {"union": a + b - both, "smaller": np.minimum(a, b), "first": a}[kind]
+            out[at] = np.where(under > 0, both / np.where(under > 0, under, 1), 0.0)
+    return out
+
+
+def shared_area(ax, ay, bx, by) -> float:
+    return float(shared_areas(*(np.asarray(v, float)[None] for v in (ax, ay, bx, by)))[0])
 
 
 def overlap(ax, ay, bx, by, kind: str = "union") -> float:
-    """Shared area over the union's, the smaller ring's or the first ring's; the second is brought next to the first."""
-    ax, ay, bx, by = (np.asarray(v, float) for v in (ax, ay, bx, by))
-    bx = bx + 360 * np.round((ax.min() - bx.min()) / 360)
-    both = shared_area(ax, ay, bx, by)
-    a, b = area(ax, ay), area(bx, by)
-    under = {"union": a + b - both, "smaller": min(a, b), "first": a}[kind]
-    return both / under if under > 0 else 0.0
+    return float(overlaps([ax], [ay], [bx], [by], kind)[0])
 
 
 def winding(x: float, y: float, rx: np.ndarray, ry: np.ndarray) -> int:
@@ -94,6 +120,33 @@ def fit_circle(x, y) -> tuple[float, float, float]:
     return float(mx + a * scale), float(my + b * scale), float(scale * np.sqrt(c + a * a + b * b))
 
 
+def fit_rings(lon: np.ndarray, lat: np.ndarray, ring: np.ndarray) -> dict[str, np.ndarray]:
+    """lon, lat, radius (m), error (percent) and area (m2) of many closed rings, laid one after the other and numbered from 0
+    in `ring`: circles by least squares in metres around each ring's middle. Rings that span no circle have no radius (nan)."""
+    n = int(ring[-1]) + 1 if len(ring) else 0
+    first = np.append(True, np.diff(ring) != 0) if n else np.zeros(0, bool)
+    total = lambda v: np.bincount(ring, np.where(first, 0, v), n)  # noqa: E731  the point that is there twice counts once
+    count = np.maximum(total(np.ones(len(ring))), 1)
+    lon0, lat0 = total(lon) / count, total(lat) / count
+    k = math.pi / 180 * RADIUS
+    x, y = (lon - lon0[ring]) * k * np.cos(np.radians(lat0))[ring], (lat - lat0[ring]) * k
+    q = x * x + y * y
+    xx, yy, xy, xq, yq = total(x * x), total(y * y), total(x * y), total(x * q), total(y * q)
+    det = xx * yy - xy * xy
+    with np.errstate(divide="ignore", invalid="ignore"):
+        flat = ~(det > 1e-12 * (xx + yy) ** 2)
+        a, b = (xq * yy - yq * xy) / (2 * det), (yq * xx - xq * xy) / (2 * det)
+        r = np.where(flat, np.nan, np.sqrt(total(q) / count + a * a + b * b))
+        d = np.hypot(x - a[ring], y - b[ring])
+        near = np.where(d > r[ring], r[ring] / np.maximum(d, 1e-300), 1.0)
+        cx, cy = a[ring] + (x - a[ring]) * near, b[ring] + (y - b[ring]) * near
+    whole = lambda px, py: np.abs(np.bincount(ring[:-1], np.where(first[1:], 0, px[:-1] * py[1:] - px[1:] * py[:-1]), n)) / 2 if n else np.zeros(0)
+    own = whole(x, y)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        error = 100 + (own - 2 * whole(cx, cy)) / (math.pi * r * r) * 100
+    return {"lon": lon0 + a / (k * np.cos(np.radians(lat0))), "lat": lat0 + b / k, "radius": r, "error": error, "area": own}
+
+
 def shape_error(x, y, x0: float, y0: float, r: float) -> float:
     """How far a ring's area lies outside the circle and the circle's outside the ring, percent of the circle."""
     x, y = np.asarray(x, float), np.asarray(y, float)

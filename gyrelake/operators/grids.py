@@ -91,17 +91,29 @@ def at_points(points: DataFrame, grid: DataFrame, field: str, x0: float, y0: flo
     return at.join(four, ["t", "i", "j"], "left").withColumn("value", value).drop("i", "j", "_p", "_q", *[f"_v{k}" for k in range(4)])
 
 
-def between_times(points: DataFrame, grid: DataFrame, field: str, x0: float, y0: float, step: float) -> DataFrame:
-    """As `at_points` for times between grids: linear between the two nearest grid times around each point."""
-    times = grid.select(F.col("t").alias("_t")).distinct()
-    order = Window.orderBy("_t")  # one row per grid
-    spans = times.withColumn("_t1", F.lead("_t").over(order))
+def between_times(points: DataFrame, grid: DataFrame, field: str, x0: float, y0: float, step: float, every: float = 1.0) -> DataFrame:
+    """As `at_points` for times between grids: linear between the two nearest grid times around each point; null before the
+    first and after the last. Spans between grid times are dealt to cells of `every`, so that points meet theirs by an equal
+    key, and the corners of both ends stand in one row, so that the grid is joined once."""
+    spans = grid.select(F.col("t").alias("_t")).distinct()
+    spans = spans.withColumn("_t1", F.lead("_t").over(Window.orderBy("_t")))  # one row per grid time
+    spans = spans.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_t") / every), F.floor(F.coalesce("_t1", "_t") / every))))
     inside = (F.col("t") >= F.col("_t")) & ((F.col("t") < F.col("_t1")) | F.col("_t1").isNull() & (F.col("t") == F.col("_t")))
-    at = points.join(F.broadcast(spans), inside)  # grid times are few: one a day
-    low = at_points(at.withColumns({"_when": F.col("t"), "t": F.col("_t")}), grid, field, x0, y0, step).withColumnRenamed("value", "_a")
-    both = at_points(low.withColumn("t", F.coalesce("_t1", "_t")), grid, field, x0, y0, step)
-    share = F.when(F.col("_t1").isNull(), 0.0).otherwise((F.col("_when") - F.col("_t")) / (F.col("_t1") - F.col("_t")))
-    return both.withColumns({"value": F.col("_a") * (1 - share) + F.col("value") * share, "t": F.col("_when")}).drop("_a", "_t", "_t1", "_when")
+    at = points.join(spans, (F.floor(F.col("t") / every) == F.col("_cell")) & inside, "left").drop("_cell")
+    # each cell's value belongs to the span that begins at its time, and to the one that ends there
+    ends = spans.select("_t", "_t1").distinct()
+    role = ends.select(F.col("_t").alias("t"), F.col("_t").alias("_span"), F.lit(0).alias("_late")).unionByName(ends.where("_t1 is not null").select(F.col("_t1").alias("t"), F.col("_t").alias("_span"), F.lit(1).alias("_late")))
+    cells = grid.select("t", "i", "j", F.col(field).alias("_v")).join(role, "t")
+    corner = cells.withColumn("_c", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])))
+    corner = corner.select(F.col("_span").alias("_t"), (F.col("i") - F.col("_c.a")).alias("i"), (F.col("j") - F.col("_c.b")).alias("j"), (F.col("_late") * 4 + F.col("_c.a") * 2 + F.col("_c.b")).alias("_k"), "_v")
+    eight = corner.groupBy("_t", "i", "j").agg(*[F.max(F.when(F.col("_k") == k, F.col("_v"))).alias(f"_v{k}") for k in range(8)])
+    fi, fj = (F.col("x") - x0) / step, (F.col("y") - y0) / step
+    at = at.withColumns({"i": F.floor(fi).cast("int"), "j": F.floor(fj).cast("int"), "_p": fi - F.floor(fi), "_q": fj - F.floor(fj)})
+    p, q = F.col("_p"), F.col("_q")
+    value = lambda k: (1 - p) * (1 - q) * F.col(f"_v{k}") + (1 - p) * q * F.col(f"_v{k + 1}") + p * (1 - q) * F.col(f"_v{k + 2}") + p * q * F.col(f"_v{k + 3}")
+    share = (F.col("t") - F.col("_t")) / (F.col("_t1") - F.col("_t"))
+    mixed = F.when(F.col("_t1").isNull(), value(0)).otherwise(value(0) * (1 - share) + value(4) * share)
+    return at.join(eight, ["_t", "i", "j"], "left").withColumn("value", mixed).select(*points.columns, "value")
 
 
 def _filtered(step: float, wavelength: float, order: int, kind: str, size: int, circular: bool, field: str, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -6,11 +6,10 @@ Loops over the graph write each round out, so a lost executor costs one round.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gyrelake.operators.pairs import match, near_centres
+from gyrelake.operators.pairs import box_pairs, box_score, match, near_centres, with_box
 from gyrelake.operators.tracks import numbered, renumbered
 from gyrelake.sources.observations import union_all
 from gyrelake.sources.tables import written
@@ -19,12 +18,16 @@ def by_segment():
     return Window.partitionBy("track", "segment")
 
 
-def time_edges(obs: DataFrame, window: int, delta: float | None = None, least: float = 0.2) -> DataFrame:
-    """a, b, score: rows up to `window` days apart that overlap (rings), or whose centres are within delta degrees."""
+def time_edges(obs: DataFrame, window: int, delta: float | None = None, least: float = 0.2, half: float | None = None) -> DataFrame:
+    """a, b, lag, score: rows up to `window` days apart that overlap (rings; half: boxes of that half width around the
+    centres), or whose centres are within delta degrees."""
     late = obs.select(*[c for c in obs.columns if c != "time"], F.col("time").alias("at"), F.explode(F.sequence(F.lit(1), F.lit(window))).alias("lag"))
     late = late.withColumn("time", F.col("at") - F.col("lag"))
     early = obs.withColumns({"at": F.col("time"), "lag": F.lit(0)})
-    pairs = near_centres(early, late, delta, ["time"]).withColumn("score", F.lit(1.0)) if delta else match(early, late, "union", least, ["time"])
+    if half:
+        pairs = box_pairs(with_box(early, half), with_box(late, half), max(1.0, 2 * half), ["time"]).withColumn("score", box_score()).where((F.col("score") >= least) & (F.col("score") > 0))
+    else:
+        pairs = near_centres(early, late, delta, ["time"]).withColumn("score", F.lit(1.0)) if delta else match(early, late, "union", least, ["time"])
     return pairs.select(F.col("a_obs_id").alias("a"), F.col("b_obs_id").alias("b"), F.col("b_lag").alias("lag"), "score")
 
 
@@ -56,50 +59,51 @@ def grouped(obs: DataFrame, edges: DataFrame) -> DataFrame:
     return obs.drop("track").join(dense, "obs_id", "left").withColumn("track", F.coalesce("track", F.lit(0)))
 
 
-def _follow(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Segments of one network from its edges: rows in order of time; each goes on to its best overlap in the first later
-    step that has any; a target already taken is taken over, with what follows it, if its best is this row."""
-    rows = pdf.drop_duplicates("obs_id").sort_values(["time", "obs_id"])
-    ids = rows["obs_id"].tolist()
-    goes: dict = {}
-    for a, g in pdf.dropna(subset=["b"]).groupby("obs_id"):
-        g = g[g["lag"] == g["lag"].min()].sort_values(["score", "b"], ascending=[False, True])
-        goes[a] = (int(g["b"].iloc[0]), float(g["score"].iloc[0]))
-    best: dict = {}
-    for a, (b, s) in goes.items():
-        if b not in best or s > best[b][0]:
-            best[b] = (s, a)
-    segment, nxt, prev, cost, count = {}, {}, {}, {}, 0
-    for a in ids:
-        if a not in segment:
-            segment[a] = count
-            count += 1
-        if a in goes:
-            b, s = goes[a]
-            nxt[a], cost[a] = b, s
-            if b not in prev:
-                prev[b] = a
-                segment.setdefault(b, segment[a])
-            elif best[b][1] == a:
-                old, at = segment[b], b
-                while at is not None and segment.get(at) == old:
-                    segment[at], at = segment[a], (nxt.get(at) if at in nxt else None)
-                prev[b] = a
-    out = rows[["track", "obs_id", "time"]].copy()
-    out["segment"] = [segment[i] for i in ids]
-    for name, d in (("next_id", nxt), ("prev_id", prev)):
-        out[name] = pd.array([d.get(i) for i in ids], dtype="Int64")
-    out["next_cost"] = [cost.get(i) for i in ids]
-    return out
+def best_links(edges: DataFrame, forward: bool = True) -> DataFrame:
+    """obs_id, other, score: each row's best overlap in the first later (earlier) step that has any; ties to the smaller id.
+
+    An aggregate that is combined before the shuffle, so a row with very many overlaps is no burden.
+    """
+    own, other = ("a", "b") if forward else ("b", "a")
+    best = F.min(F.struct("lag", (-F.col("score")).alias("less"), F.col(other).alias("other")))
+    return edges.groupBy(F.col(own).alias("obs_id")).agg(best.alias("_x")).select("obs_id", "_x.other", (-F.col("_x.less")).alias("score"))
+
+
+def heads(links: DataFrame) -> DataFrame:
+    """obs_id, head: for links (obs_id, prev_id) that form lines, the first row of each row's line. The first rows themselves
+    are not in it. Every round doubles the way back, so a line of n rows takes about log2(n) rounds, each written out."""
+    at = written(links.select("obs_id", F.col("prev_id").alias("head")))
+    while True:
+        back = at.select(F.col("obs_id").alias("head"), F.col("head").alias("_before"))
+        moved = written(at.join(back, "head", "left").select("obs_id", F.coalesce("_before", "head").alias("head"), F.col("_before").isNotNull().alias("_moved")))
+        at = moved.select("obs_id", "head")
+        if moved.where("_moved").isEmpty():
+            return at
 
 
-def segmented(obs: DataFrame, edges: DataFrame, follow=_follow) -> DataFrame:
-    """track, obs_id, time, segment, next_id, prev_id, next_cost per row of a network; another `follow` gives another rule.
+def segmented(obs: DataFrame, edges: DataFrame, chosen=best_links) -> DataFrame:
+    """track, obs_id, time, segment, next_id, prev_id, next_cost, prev_cost per row of a network.
 
-    The rule is sequential within a network, so one network is one group; edges are joined beforehand.
+    Every row goes on to its best overlap (`chosen`; another function of (edges, forward) is another rule). Of the rows that
+    go on to one target the best is followed by it in its own segment, the others end there (merging); ties to the larger
+    id. A row that none goes on to begins a segment, and comes from its own best overlap backward, if it has any (splitting).
+    Segments are numbered from 0 in a network, in order of their first rows (time, obs_id). All of it is joins and
+    aggregates by row, so one network of any size spreads over tasks.
     """
-    rows = obs.where("track > 0").select("track", "obs_id", "time").join(edges.withColumnRenamed("a", "obs_id"), "obs_id", "left").select("track", "obs_id", "time", "b", "lag", "score")
-    return rows.groupBy("track").applyInPandas(follow, "track long, obs_id long, time int, segment long, next_id long, prev_id long, next_cost double")
+    rows = obs.where("track > 0").select("track", "obs_id", "time")
+    go = written(chosen(edges, True))
+    taken = go.groupBy(F.col("other").alias("obs_id")).agg(F.max(F.struct("score", F.col("obs_id").alias("prev_id"))).alias("_p"))
+    taken = written(taken.select("obs_id", "_p.prev_id", "_p.score"))
+    back = chosen(edges, False).join(taken, "obs_id", "left_anti").select("obs_id", F.col("other").alias("_from"), F.col("score").alias("_fs"))
+    line = heads(taken)
+    links = rows.join(go.select("obs_id", F.col("other").alias("next_id"), F.col("score").alias("next_cost")), "obs_id", "left")
+    links = links.join(taken.select("obs_id", "prev_id", F.col("score").alias("prev_cost")), "obs_id", "left").join(back, "obs_id", "left").join(line, "obs_id", "left")
+    links = links.withColumns({"prev_id": F.coalesce("prev_id", "_from"), "prev_cost": F.coalesce("prev_cost", "_fs"), "head": F.coalesce("head", "obs_id")}).drop("_from", "_fs")
+    links = written(links)
+    first = numbered(links.where("head = obs_id").select("track", "time", "obs_id"), ["track", "time", "obs_id"], "_no")
+    base = first.groupBy("track").agg(F.min("_no").alias("_base"))
+    number = first.join(base, "track").select(F.col("obs_id").alias("head"), (F.col("_no") - F.col("_base")).alias("segment"))
+    return links.join(number, "head").select("track", "obs_id", "time", "segment", "next_id", "prev_id", "next_cost", "prev_cost")
 
 
 def relinked(net: DataFrame) -> DataFrame:

@@ -24,7 +24,8 @@ def with_box(df: DataFrame, half: Column | float | None = None) -> DataFrame:
 
 
 def box_pairs(a: DataFrame, b: DataFrame, size: float = 1.0, on: list[str] | None = None, around: bool = True) -> DataFrame:
-    """Pairs whose closed boxes meet, as columns a_*, b_*. on: further equal keys. around: longitudes meet across 360."""
+    """Pairs whose closed boxes meet, as columns a_*, b_*, and turn: the degrees that bring b next to a, whole turns. on:
+    further equal keys. around: longitudes meet across 360."""
     on = on or []
     if around:  # cells must divide the circle, so that a turn is a whole number of them
         size = 360 / max(1, int(360 / size))
@@ -43,7 +44,7 @@ def box_pairs(a: DataFrame, b: DataFrame, size: float = 1.0, on: list[str] | Non
     ax0, ax1, bx0, bx1 = F.col("a_x0"), F.col("a_x1"), F.col("b_x0") + shift, F.col("b_x1") + shift
     meet = (ax0 <= bx1) & (bx0 <= ax1) & (F.col("a_y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("a_y1"))
     first = (F.col("_ai") == F.floor(F.greatest(ax0, bx0) / size)) & (x["_j"] == F.floor(F.greatest("a_y0", "b_y0") / size))
-    return pairs.where(meet & first).select(*[c for c in pairs.columns if not c.startswith("_")])
+    return pairs.where(meet & first).select(*[c for c in pairs.columns if not c.startswith("_")], shift.cast("double").alias("turn"))
 
 
 def _equal(on: list[str]) -> Column:
@@ -60,8 +61,8 @@ def near_centres(a: DataFrame, b: DataFrame, delta: float = 0.1, on: list[str] |
 
 
 def box_score(kind: str = "union") -> Column:
-    """Overlap of the boxes of a pair: shared area over the union, the smaller one, or the first one."""
-    w = F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0")
+    """Overlap of the boxes of a pair of `box_pairs`: shared area over the union, the smaller one, or the first one."""
+    w = F.least(F.col("a_x1"), F.col("b_x1") + F.col("turn")) - F.greatest(F.col("a_x0"), F.col("b_x0") + F.col("turn"))
     h = F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0")
     both = F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))
     area = lambda n: (F.col(f"{n}_x1") - F.col(f"{n}_x0")) * (F.col(f"{n}_y1") - F.col(f"{n}_y0"))
@@ -71,8 +72,8 @@ def box_score(kind: str = "union") -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def ring_overlap(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series, kind: pd.Series) -> pd.Series:
-    """Overlap of two rings given as arrays of coordinates; kind: union, smaller or first."""
-    return pd.Series([kernels.overlap(*p) for p in zip(ax, ay, bx, by, kind, strict=True)])
+    """Overlap of two rings given as arrays of coordinates; kind (one for all): union, smaller or first."""
+    return pd.Series(kernels.overlaps(ax.to_list(), ay.to_list(), bx.to_list(), by.to_list(), kind.iloc[0]) if len(kind) else [], dtype=float)
 
 
 def match(a: DataFrame, b: DataFrame, kind: str = "union", least: float = 0.0, on: list[str] | None = None) -> DataFrame:
@@ -85,23 +86,43 @@ def match(a: DataFrame, b: DataFrame, kind: str = "union", least: float = 0.0, o
     return scored.where((F.col("score") >= least) & (F.col("score") > 0))
 
 
-def holder(points: DataFrame, rings: DataFrame, size: float = 1.0, on: list[str] | None = None) -> DataFrame:
-    """Each point (pid, x, y) with the smallest obs_id of the rings that hold it; null if none does or a coordinate is missing. on: equal keys."""
+def holder(points: DataFrame, rings: DataFrame, size: float = 1.0, on: list[str] | None = None, around: bool = True) -> DataFrame:
+    """Each point (pid, x, y) with the smallest obs_id of the rings that hold it; null if none does or a coordinate is
+    missing. on: equal keys. around: a point is turned next to each ring, across 0 or 360 as elsewhere."""
     on = on or []
-    edge = lambda pick, k: F.floor(pick(F.transform("ring", lambda p: p[k])) / size).cast("int")
-    dealt = rings.select("obs_id", "ring", *on, F.explode(F.sequence(edge(F.array_min, "x"), edge(F.array_max, "x"))).alias("_i"))
-    dealt = dealt.withColumn("_j", F.explode(F.sequence(edge(F.array_min, "y"), edge(F.array_max, "y"))))
-    at = points.where("not (isnan(x) or isnan(y))").withColumns({"_i": F.floor(F.col("x") / size).cast("int"), "_j": F.floor(F.col("y") / size).cast("int")})
-    inside = at.join(dealt, ["_i", "_j", *on]).where(winding(F.col("ring"), F.col("x"), F.col("y")) != 0).groupBy("pid").agg(F.min("obs_id").alias("obs_id"))
+    if around:  # cells must divide the circle
+        size = 360 / max(1, int(360 / size))
+    turn = F.lit(round(360 / size)).cast("long")
+    cell = (lambda c: F.pmod(c, turn)) if around else (lambda c: c)
+    edge = lambda pick, k: F.floor(pick(F.transform("ring", lambda p: p[k])) / size)
+    dealt = rings.select("obs_id", "ring", *on, F.explode(F.sequence(edge(F.array_min, "x"), edge(F.array_max, "x"))).alias("_ri"))
+    dealt = dealt.withColumn("_j", F.explode(F.sequence(edge(F.array_min, "y"), edge(F.array_max, "y")))).withColumn("_i", cell(F.col("_ri")))
+    at = points.where("not (isnan(x) or isnan(y))").withColumns({"_pi": F.floor(F.col("x") / size), "_j": F.floor(F.col("y") / size)}).withColumn("_i", cell(F.col("_pi")))
+    both = at.join(dealt, ["_i", "_j", *on]).withColumn("_x", F.col("x") + (F.col("_ri") - F.col("_pi")) * size)
+    inside = both.where(winding(F.col("ring"), F.col("_x"), F.col("y")) != 0).groupBy("pid").agg(F.min("obs_id").alias("obs_id"))
     return points.join(inside, "pid", "left")
 
 
 def aligned(a: DataFrame, b: DataFrame, key: str, width: float, all_left: bool = False) -> DataFrame:
-    """Rows of both sets with the same bin of a column, as a_*, b_*."""
+    """Pairs of rows of both sets with the same bin of a column, as a_*, b_*: all pairs of a bin. `aligned_rows` has the rows
+    without pairing them."""
     named = lambda df, n: df.select(*[F.col(c).alias(f"{n}_{c}") for c in df.columns], F.floor(F.col(key) / width).alias("bin"))
     return named(a, "a").join(named(b, "b"), "bin", "left" if all_left else "inner")
 
 
+def aligned_rows(a: DataFrame, b: DataFrame, key: str, width: float, all_left: bool = False) -> DataFrame:
+    """Rows of both sets in bins of a column that both have (all_left: every row of a), side by side: bin, side ('a' or 'b')
+    and the columns of a. A row once, whatever its bin holds, so a bin of any size costs its rows and no more; sorted by
+    bin and side within partitions, so that a consumer reads each bin's two groups one after the other."""
+    binned = lambda df: df.withColumn("bin", F.floor(F.col(key) / width))
+    x, y = binned(a), binned(b)
+    bins = lambda df: df.select("bin").distinct()
+    left = x if all_left else x.join(bins(y), "bin", "left_semi")
+    right = y.join(bins(x), "bin", "left_semi")
+    rows = left.select("bin", F.lit("a").alias("side"), *a.columns).unionByName(right.select("bin", F.lit("b").alias("side"), *a.columns))
+    return rows.repartitionByRange("bin", "side", key).sortWithinPartitions("bin", "side", key)
+
+
 def step_candidates(obs: DataFrame, reach: float = 1.0, furthest: float = 125_000.0) -> DataFrame:
     """Pairs of the next step within `reach` degrees and `furthest` metres: step, a (earlier id), b, cost.
 

@@ -6,48 +6,101 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gyrelake.operators import advection, detection, grids, tracking
-from gyrelake.plans.observation import box_ring, simple
-from gyrelake.plans.registry import query
+from gyrelake.plans.observation import box_ring, rounded, simple, view
+from gyrelake.plans.registry import VIEW, query
+from gyrelake.sources.tables import written
 
 
-def basin(spark: SparkSession) -> DataFrame:
-    """Three days of a height field with two highs and a low that drift west, and its currents."""
-    cells = spark.range(3 * 60 * 40).select(F.floor(F.col("id") / 2400).alias("t"), F.floor(F.col("id") % 2400 / 40).cast("int").alias("i"), (F.col("id") % 40).cast("int").alias("j"))
-    g = cells.withColumns({"lon": 10 + F.col("i") * 0.25, "lat": 30 + F.col("j") * 0.25})
-    hump = lambda x, y, w, h: h * F.exp(-(F.pow(F.col("lon") - x + F.col("t") * 0.1, 2) + F.pow(F.col("lat") - y, 2)) / w)
-    g = g.withColumn("height", hump(14.0, 34.0, 0.5, 0.2) + hump(20.0, 36.0, 0.5, -0.15) + hump(19.0, 32.0, 0.4, 0.1))
-    return grids.with_currents(g, "height", 0.25, 1)
+#: Cells of half a degree from (-1, 31); tracks of a basin.
+BASIN, TRACKS = detection.Frame(-1.0, 31.0, 0.5, 0.5), 48
+
+
+def basin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights and currents made from the observation view: TRACKS tracks make a basin, each of their rows a hump (every third
+    track's a hollow) around its place, on its day; t is 100 * basin + day. More tracks make more basins."""
+    o = view(spark, sf_dir).withColumns({"t": (F.floor(F.col("track") / TRACKS) * 100 + F.col("time") - 27028).cast("long"), "y": F.col("lat") + 40})
+    reach = F.sequence(F.lit(-6), F.lit(6))
+    near = o.select("t", "lon", "y", ((0.1 + F.col("nb") % 5 * 0.03) * F.when(F.col("track") % 3 == 0, -1.0).otherwise(1.0)).alias("a"), F.explode(reach).alias("_i")).withColumn("_j", F.explode(reach))
+    near = near.withColumns({"i": (F.round((F.col("lon") + 1) * 2) + F.col("_i")).cast("int"), "j": (F.round((F.col("y") - 31) * 2) + F.col("_j")).cast("int")}).where("i between 0 and 59 and j between 0 and 37")
+    hump = F.col("a") * F.exp(-(F.pow(F.col("i") * 0.5 - 1 - F.col("lon"), 2) + F.pow(F.col("j") * 0.5 + 31 - F.col("y"), 2)))
+    humps = near.groupBy("t", "i", "j").agg(F.sum(hump).alias("height"))
+    days = o.select(F.floor(F.col("track") / TRACKS).alias("g")).distinct().crossJoin(o.select((F.col("time") - 27028).alias("d")).distinct())  # basins by days
+    cells = days.select((F.col("g") * 100 + F.col("d")).cast("long").alias("t")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(59)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(37))))
+    g = cells.join(humps, ["t", "i", "j"], "left").fillna(0.0, ["height"]).withColumns({"lon": F.col("i") * 0.5 - 1, "lat": F.col("j") * 0.5 + 31})
+    return grids.with_currents(g, "height", 0.5, 1)
 
 
 @query("detect")
 def detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detection.detect(basin(spark), "height", detection.Limits(step=0.01)).select("t", "sign", F.round("lon", 4).alias("lon"), F.round("lat", 4).alias("lat"), F.round("amplitude", 4).alias("amplitude"))
+    found = detection.detect(written(basin(spark, sf_dir)), "height", detection.Limits(step=0.01, pixels=(4, 200)), BASIN)
+    return found.select("t", "sign", F.round("lon", 4).alias("lon"), F.round("lat", 4).alias("lat"), F.round("amplitude", 4).alias("amplitude"), F.round("radius_s", 0).alias("radius_s"), "nb_contour_selected")
+
+
+def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A particle for each row of the view, at its place, on its day, in its basin."""
+    start = (F.floor(F.col("track") / TRACKS) * 100 + F.col("time") - 27028).cast("long")
+    return view(spark, sf_dir).select(F.col("obs_id").alias("pid"), start.alias("start"), F.col("lon").alias("x"), (F.col("lat") + 40).alias("y"))
 
 
 @query("advect_rk4")
 def advect_rk4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = spark.range(100).select(F.col("id").alias("pid"), (13 + F.col("id") % 10 * 0.2).alias("x"), (33 + F.floor(F.col("id") / 10) * 0.2).alias("y"))
-    return advection.paths(seeds, basin(spark), 0, 2)
+    return advection.paths(_seeds(spark, sf_dir), written(basin(spark, sf_dir)), days=2, frame=BASIN)
+
+
+#: A current that shears: x gains 0.03 * (y - 40) and y 0.2 degrees a day, whose paths are parabolas.
+SHEAR = "SELECT obs_id AS pid, CAST(k AS INTEGER) AS step, CASE WHEN time + k <= (SELECT max(time) FROM obs) THEN round(lon + 0.03e0 * (lat * k + 0.1e0 * k * k), 6) END AS x, CASE WHEN time + k <= (SELECT max(time) FROM obs) THEN round(lat + 40 + 0.2e0 * k, 6) END AS y FROM obs, range(3) r(k)"
+BACK = SHEAR.replace("time + k <= (SELECT max", "time - k >= (SELECT min").replace("lat * k + 0.1e0 * k * k", "-lat * k + 0.1e0 * k * k").replace("+ 0.2e0 * k", "- 0.2e0 * k")
+
+
+@query("filaments")
+def filaments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return advection.filaments(advect_rk4(spark, sf_dir), 2).select("pid", "step", F.size("line").alias("points"), F.round(F.get("line", 0)["x"], 4).alias("x"), F.round(F.get("line", 0)["y"], 4).alias("y"))
 
 
 @query("coherence")
 def coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = basin(spark)
-    found = detection.detect(g, "height", detection.Limits(step=0.01)).withColumn("obs_id", F.xxhash64("t", "sign", "lon_max", "lat_max"))
+    g = written(basin(spark, sf_dir))
+    found = written(detection.detect(g, "height", detection.Limits(step=0.01, pixels=(4, 200)), BASIN)).withColumn("obs_id", F.xxhash64("t", "sign", "lon", "lat"))
     ring = found.withColumn("ring", F.zip_with("ring_x_e", "ring_y_e", lambda x, y: F.struct(x.alias("x"), y.alias("y")))).select("t", "obs_id", "ring")
-    return advection.coherence(ring.where("t = 0"), ring.where("t = 2"), g, 0, 2, 0.1)
+    return advection.coherence(ring, ring, g, 2, 0.25, frame=BASIN)
 
 
 @query("lavd")
 def lavd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = grids.okubo_weiss(basin(spark), 0.25)
-    return advection.path_mean(advect_rk4(spark, sf_dir), g, "vorticity", 10.0, 30.0, 0.25, 0)
+    g = written(basin(spark, sf_dir))
+    seeds = _seeds(spark, sf_dir)
+    path = advection.paths(seeds, g, days=2, frame=BASIN).join(seeds.select("pid", "start"), "pid")
+    return advection.path_mean(path, grids.okubo_weiss(g, 0.5), "vorticity", -1.0, 31.0, 0.5)
 
 
 @query("fsle")
 def fsle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = spark.range(100).select(F.col("id").alias("pid"), (13 + F.col("id") % 10 * 0.2).alias("x"), (33 + F.floor(F.col("id") / 10) * 0.2).alias("y"))
-    return advection.separation(seeds, basin(spark), 0, 2, 0.02, 0.03)
+    return advection.separation(_seeds(spark, sf_dir), written(basin(spark, sf_dir)), None, 2, 0.02, 0.0205, frame=BASIN)
+
+
+def _shear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per_day = 86400 * 180 / 3.141592653589793 / 6370997.0
+    return written(basin(spark, sf_dir).withColumns({"u": 0.03 * (F.col("lat") - 40) * F.cos(F.radians("lat")) / per_day, "v": F.lit(0.2 / per_day), "slope": F.col("lon") + 2 * F.col("lat")}))
+
+
+def _sheared(spark: SparkSession, sf_dir: str, **run) -> DataFrame:
+    return rounded(advection.paths(_seeds(spark, sf_dir), _shear(spark, sf_dir), days=2, frame=BASIN, **run), "x", "y")
+
+
+query("advect_shear", VIEW + SHEAR, view=False)(_sheared)
+query("advect_shear_backward", VIEW + BACK, view=False)(lambda spark, sf_dir: _sheared(spark, sf_dir, backward=True))
+
+
+@query("lavd_shear", VIEW + "SELECT pid, round(avg(abs(lon + 0.03e0 * (lat * k + 0.1e0 * k * k) + 2 * (lat + 40 + 0.2e0 * k))), 6) AS mean FROM (SELECT obs_id AS pid, *, unnest(range(3)) AS k FROM obs) WHERE time + k <= (SELECT max(time) FROM obs) GROUP BY 1", view=False)
+def lavd_shear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, seeds = _shear(spark, sf_dir), _seeds(spark, sf_dir)
+    path = advection.paths(seeds, g, days=2, frame=BASIN).join(seeds.select("pid", "start"), "pid")
+    return rounded(advection.path_mean(path, g, "slope", -1.0, 31.0, 0.5), "mean")
+
+
+@query("fsle_shear", VIEW + ", d AS (SELECT obs_id AS pid, k AS day, sqrt(1 + pow(0.03e0 * k * cos(radians(lat + 40 + 0.2e0 * k)), 2)) AS ratio FROM obs, range(1, 3) r(k) WHERE time + k <= (SELECT max(time) FROM obs)) SELECT pid, CAST(day AS INTEGER) AS day, round(ln(ratio) / day, 7) AS rate FROM d WHERE ratio >= 1.00025e0 QUALIFY row_number() OVER (PARTITION BY pid ORDER BY day) = 1", view=False)
+def fsle_shear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(advection.separation(_seeds(spark, sf_dir), _shear(spark, sf_dir), None, 2, 0.02, 0.02 * 1.00025, frame=BASIN), "rate", digits=7)
 
 
 simple("tracks_from_links", lambda o: tracking.as_tracks(o, tracking.day_links(o)).select("obs_id", "track", "n"), None)

@@ -79,11 +79,35 @@ simple("time_edges", lambda o: networks.time_edges(o, 2, 0.5).select("a", "b", F
 
 
 def _segments(o: DataFrame) -> DataFrame:
-    edges = networks.time_edges(o, 2, 0.3)
-    return networks.segmented(networks.grouped(o, edges), edges).select("obs_id", "track", "segment", "next_id", "prev_id")
-
-
-simple("split_segments", _segments, None)
+    """Networks and segments of the view's boxes by what they share with those of the next two days."""
+    edges = networks.time_edges(o, 2, half=0.4)
+    return networks.segmented(networks.grouped(o, edges), edges)
+
+
+def _headed(o: DataFrame) -> DataFrame:
+    line = Window.partitionBy("track", "segment").orderBy("time")
+    return _segments(o).select("obs_id", F.first("obs_id").over(line).alias("head"), "next_id", "prev_id")
+
+
+BOX_SHARE = "greatest(least(a.lon, b.lon) + 0.4 - (greatest(a.lon, b.lon) - 0.4), 0.0) * greatest(least(a.lat, b.lat) + 0.4 - (greatest(a.lat, b.lat) - 0.4), 0.0)"
+SEGMENTS = f"""sh AS (SELECT a.obs_id AS a, b.obs_id AS b, b.time - a.time AS lag, {BOX_SHARE} AS s, (a.lon + 0.4 - (a.lon - 0.4)) * (a.lat + 0.4 - (a.lat - 0.4)) AS sa, (b.lon + 0.4 - (b.lon - 0.4)) * (b.lat + 0.4 - (b.lat - 0.4)) AS sb
+  FROM obs a JOIN obs b ON b.time - a.time BETWEEN 1 AND 2 AND abs(a.lon - b.lon) <= 1 AND abs(a.lat - b.lat) <= 1),
+ed AS (SELECT a, b, lag, s / (sa + sb - s) AS score FROM sh WHERE s > 0 AND s / (sa + sb - s) >= 0.2),
+go AS (SELECT * FROM ed QUALIFY row_number() OVER (PARTITION BY a ORDER BY lag, score DESC, b) = 1),
+tk AS (SELECT * FROM go QUALIFY row_number() OVER (PARTITION BY b ORDER BY score DESC, a DESC) = 1),
+bk AS (SELECT * FROM ed WHERE b NOT IN (SELECT b FROM tk) QUALIFY row_number() OVER (PARTITION BY b ORDER BY lag, score DESC, a) = 1),
+ids AS (SELECT a AS id FROM ed UNION SELECT b FROM ed),
+hd(id, head) AS (SELECT id, id FROM ids WHERE id NOT IN (SELECT b FROM tk) UNION ALL SELECT tk.b, hd.head FROM hd JOIN tk ON tk.a = hd.id),
+sg AS (SELECT hd.id AS obs_id, head, go.b AS next_id, coalesce(tk.a, bk.a) AS prev_id, o.time FROM hd JOIN obs o ON o.obs_id = hd.id LEFT JOIN go ON go.a = hd.id LEFT JOIN tk ON tk.b = hd.id LEFT JOIN bk ON bk.b = hd.id),
+fs AS (SELECT * FROM sg QUALIFY row_number() OVER (PARTITION BY head ORDER BY time) = 1), ls AS (SELECT * FROM sg QUALIFY row_number() OVER (PARTITION BY head ORDER BY time DESC) = 1)"""
+
+simple("split_segments", lambda o: _segments(o).select("obs_id", "track", "segment", "next_id", "prev_id"), None)
+simple("segment_heads", _headed, f"{SEGMENTS} SELECT obs_id, head, next_id, prev_id FROM sg")
+simple("segment_births", lambda o: networks.births(_segments(o)).select("obs_id"), f"{SEGMENTS} SELECT obs_id FROM fs WHERE prev_id IS NULL")
+simple("segment_splits", lambda o: networks.splits(_segments(o)), f"{SEGMENTS} SELECT l.prev_id AS before, r.next_id AS after, l.obs_id AS started, r.time FROM fs l JOIN sg r ON r.obs_id = l.prev_id WHERE r.head <> l.head")
+simple("segment_merges", lambda o: networks.merges(_segments(o)), f"{SEGMENTS} SELECT l.next_id AS after, r.prev_id AS before, l.obs_id AS stopped, r.time FROM ls l JOIN sg r ON r.obs_id = l.next_id WHERE r.head <> l.head")
+for _name in ("segment_heads", "segment_births", "segment_splits", "segment_merges"):
+    _recursive(_name)
 
 
 simple("network_lifetime", lambda o: networks.with_lifetime(linked(o)).select("obs_id", "lifetime"), f"{NET} SELECT obs_id, max(time) OVER (PARTITION BY track) - min(time) OVER (PARTITION BY track) AS lifetime FROM net")

@@ -119,7 +119,7 @@ def _circles(o: DataFrame) -> DataFrame:
     return ring.select("obs_id", F.size("ring").alias("points"), F.round(geo.haversine(F.col("lon"), F.col("lat"), F.get("ring", 7).x, F.get("ring", 7).y), 3).alias("r"))
 
 
-simple("ring_circle", lambda o: _circles(o.where("n < 3")), "SELECT obs_id, 20 AS points, round(radius_s, 3) AS r FROM obs WHERE n < 3")
+simple("ring_circle", _circles, "SELECT obs_id, 20 AS points, round(radius_s, 3) AS r FROM obs")
 simple("ring_circle_whole", _circles, "SELECT obs_id, 20 AS points, round(radius_s, 3) AS r FROM obs")
 
 
@@ -138,7 +138,7 @@ def _pixels(o: DataFrame) -> DataFrame:
     return cells.covered_cells(o.withColumn("ring", box_ring(1.0)), 0.5, "ring")
 
 
-simple("pixel_frequency", lambda o: _pixels(o.where("time = 27030")), "c AS (SELECT i, j FROM range(-100, 200) a(i), range(-100, 100) b(j)) SELECT i, j, count(*) AS n FROM obs JOIN c ON (i + 0.5) * 0.5 >= lon - 1 AND (i + 0.5) * 0.5 < lon + 1 AND (j + 0.5) * 0.5 >= lat - 1 AND (j + 0.5) * 0.5 < lat + 1 WHERE time = 27030 GROUP BY 1, 2")
+simple("pixel_frequency", _pixels, "c AS (SELECT i, j FROM range(-100, 200) a(i), range(-100, 100) b(j)) SELECT i, j, count(*) AS n FROM obs JOIN c ON (i + 0.5) * 0.5 >= lon - 1 AND (i + 0.5) * 0.5 < lon + 1 AND (j + 0.5) * 0.5 >= lat - 1 AND (j + 0.5) * 0.5 < lat + 1 GROUP BY 1, 2")
 simple("pixel_frequency_whole", _pixels, "c AS (SELECT i, j FROM range(-100, 200) a(i), range(-100, 100) b(j)) SELECT i, j, count(*) AS n FROM obs JOIN c ON (i + 0.5) * 0.5 >= lon - 1 AND (i + 0.5) * 0.5 < lon + 1 AND (j + 0.5) * 0.5 >= lat - 1 AND (j + 0.5) * 0.5 < lat + 1 GROUP BY 1, 2")
 
 

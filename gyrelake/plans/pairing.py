@@ -38,15 +38,6 @@ for _kind, _under in (("union", "(2.0 - s)"), ("smaller", "1.0"), ("first", "1.0
     simple(f"box_score_{_kind}", lambda o, k=_kind: rounded(_boxes(o).select(*IDS, pairs.box_score(k).alias("score")), "score"), f"p AS (SELECT a.obs_id AS a_obs_id, b.obs_id AS b_obs_id, {SHARED} AS s {SAME_DAY} WHERE {META.format(1.0)}) SELECT a_obs_id, b_obs_id, round(s / {_under}, 6) AS score FROM p")
 
 
-def _rings(o: DataFrame) -> DataFrame:
-    r = o.where("time < 27034").withColumn("ring", box_ring(0.5)).select("obs_id", "time", "ring")
-    found = pairs.match(r, r, "union", 0.2, ["time"]).where("a_obs_id < b_obs_id")
-    return rounded(found.select(*IDS, "score"), "score")
-
-
-simple("match_rings", _rings, f"p AS (SELECT a.obs_id AS a_obs_id, b.obs_id AS b_obs_id, {SHARED} AS s {SAME_DAY} WHERE a.time < 27034 AND {META.format(1.0)}) SELECT a_obs_id, b_obs_id, round(s / (2.0 - s), 6) AS score FROM p WHERE s / (2.0 - s) >= 0.2")
-simple("align_on_inner", lambda o: pairs.aligned(o.where("track < 20"), o.where("track >= 140"), "time", 3).groupBy("bin").agg(F.count("*").alias("n")), "SELECT CAST(floor(a.time / 3) AS BIGINT) AS bin, count(*) AS n FROM obs a JOIN obs b ON floor(a.time / 3) = floor(b.time / 3) WHERE a.track < 20 AND b.track >= 140 GROUP BY 1")
-simple("align_on_left", lambda o: pairs.aligned(o.where("track < 20"), o.where("track >= 140 and time > 27040"), "time", 3, True).groupBy("bin").agg(F.count("b_obs_id").alias("n")), "SELECT CAST(floor(a.time / 3) AS BIGINT) AS bin, count(b.obs_id) AS n FROM obs a LEFT JOIN (SELECT * FROM obs WHERE track >= 140 AND time > 27040) b ON floor(a.time / 3) = floor(b.time / 3) WHERE a.track < 20 GROUP BY 1")
 D = METRES.format(a="a.", b="b.")
 CAND = f"c AS (SELECT a.time AS step, a.obs_id AS a, b.obs_id AS b, sqrt(pow((a.amplitude - b.amplitude) / a.amplitude, 2) + pow((a.radius_s - b.radius_s) / a.radius_s, 2) + pow(({D}) / 125000.0, 2)) AS cost, {D} AS d FROM obs a JOIN obs b ON b.time = a.time + 1 AND abs(a.lon - b.lon) <= 1 AND abs(a.lat - b.lat) <= 1)"
 simple("step_link_candidates", lambda o: rounded(pairs.step_candidates(o), "cost"), f"{CAND} SELECT step, a, b, round(cost, 6) AS cost FROM c WHERE d < 125000")
@@ -68,20 +59,10 @@ simple("match_groups", _kinds, "p AS (SELECT a.obs_id AS a, b.obs_id AS b, great
 simple("identify_in", lambda o: pairs.same_tracks(o.where("track < 50"), o.where("track between 25 and 80").withColumn("track", F.col("track") + 1000)), "SELECT track AS a_track, CASE WHEN track >= 25 THEN track + 1000 END AS b_track FROM (SELECT DISTINCT track FROM obs WHERE track < 50)")
 
 
-def _holders(o: DataFrame) -> DataFrame:
-    rings = o.where("time = 27035").withColumn("ring", box_ring(0.5)).select("obs_id", "ring")
-    points = o.where("time = 27036").select(F.col("obs_id").alias("pid"), F.col("lon").alias("x"), F.col("lat").alias("y"))
-    return pairs.holder(points, rings).select("pid", "obs_id")
-
-
-simple("contains", _holders, "SELECT p.obs_id AS pid, min(r.obs_id) AS obs_id FROM obs p LEFT JOIN obs r ON r.time = 27035 AND p.lon >= r.lon - 0.5 AND p.lon < r.lon + 0.5 AND p.lat >= r.lat - 0.5 AND p.lat < r.lat + 0.5 WHERE p.time = 27036 GROUP BY 1")
-simple("mask_from_polygons", lambda o: pairs.inside_any(o, o.where("time = 27035 and track % 10 = 0").withColumn("ring", box_ring(2.0)).select("obs_id", "ring")).select("obs_id"), "SELECT DISTINCT p.obs_id FROM obs p JOIN obs r ON r.time = 27035 AND r.track % 10 = 0 AND p.lon >= r.lon - 2 AND p.lon < r.lon + 2 AND p.lat >= r.lat - 2 AND p.lat < r.lat + 2")
-simple("seed_mesh", lambda o: pairs.seeds(o.where("n = 0").withColumn("ring", box_ring(0.5)), 0.25).groupBy("obs_id").agg(F.count("*").alias("n")), "SELECT obs_id, CAST((ceil((lon + 0.5) / 0.25) - ceil((lon - 0.5) / 0.25)) * (ceil((lat + 0.5) / 0.25) - ceil((lat - 0.5) / 0.25)) AS BIGINT) AS n FROM obs WHERE n = 0")
-simple("track_outline", lambda o: pairs.merged_outline(o.where("track < 20").withColumn("ring", box_ring(0.5)), 0.5).groupBy("track").agg(F.count("*").alias("cells")), "c AS (SELECT DISTINCT track, i, j FROM obs, range(-100, 200) a(i), range(-100, 100) b(j) WHERE track < 20 AND (i + 0.5) * 0.5 >= lon - 0.5 AND (i + 0.5) * 0.5 < lon + 0.5 AND (j + 0.5) * 0.5 >= lat - 0.5 AND (j + 0.5) * 0.5 < lat + 0.5) SELECT track, count(*) AS cells FROM c GROUP BY 1")
+simple("seed_mesh", lambda o: pairs.seeds(o.withColumn("ring", box_ring(0.5)), 0.25).groupBy("obs_id").agg(F.count("*").alias("n")), "SELECT obs_id, CAST((ceil((lon + 0.5) / 0.25) - ceil((lon - 0.5) / 0.25)) * (ceil((lat + 0.5) / 0.25) - ceil((lat - 0.5) / 0.25)) AS BIGINT) AS n FROM obs")
 simple("greedy_assign", lambda o: rounded(pairs.assigned(pairs.step_candidates(o)), "cost"), None)
 
 
-# The queries above that read some days or tracks only, over the whole view.
 
 
 def _all_rings(o: DataFrame) -> DataFrame:
@@ -100,11 +81,17 @@ def _all_holders(o: DataFrame) -> DataFrame:
 
 BEFORE = "r.time = p.time - 1 AND p.lon >= r.lon - {0} AND p.lon < r.lon + {0} AND p.lat >= r.lat - {0} AND p.lat < r.lat + {0}"
 simple("match_rings_whole", _all_rings, f"p AS (SELECT a.obs_id AS a_obs_id, b.obs_id AS b_obs_id, {SHARED} AS s {SAME_DAY} WHERE {META.format(1.0)}) SELECT a_obs_id, b_obs_id, round(s / (2.0 - s), 6) AS score FROM p WHERE s / (2.0 - s) >= 0.2")
+simple("match_rings", _all_rings, f"p AS (SELECT a.obs_id AS a_obs_id, b.obs_id AS b_obs_id, {SHARED} AS s {SAME_DAY} WHERE {META.format(1.0)}) SELECT a_obs_id, b_obs_id, round(s / (2.0 - s), 6) AS score FROM p WHERE s / (2.0 - s) >= 0.2")
 simple("align_on_inner_whole", lambda o: pairs.aligned(o.where("track % 2 = 0"), o.where("track % 2 = 1"), "time", 3).groupBy("bin").agg(F.count("*").alias("n")), "SELECT CAST(floor(a.time / 3) AS BIGINT) AS bin, count(*) AS n FROM obs a JOIN obs b ON floor(a.time / 3) = floor(b.time / 3) WHERE a.track % 2 = 0 AND b.track % 2 = 1 GROUP BY 1")
+simple("align_on_inner", lambda o: pairs.aligned(o.where("track % 2 = 0"), o.where("track % 2 = 1"), "time", 3).groupBy("bin").agg(F.count("*").alias("n")), "SELECT CAST(floor(a.time / 3) AS BIGINT) AS bin, count(*) AS n FROM obs a JOIN obs b ON floor(a.time / 3) = floor(b.time / 3) WHERE a.track % 2 = 0 AND b.track % 2 = 1 GROUP BY 1")
 simple("align_on_left_whole", lambda o: pairs.aligned(o.where("track % 2 = 0"), o.where("track % 2 = 1"), "time", 3, True).groupBy("bin").agg(F.count("b_obs_id").alias("n")), "SELECT CAST(floor(a.time / 3) AS BIGINT) AS bin, count(b.obs_id) AS n FROM obs a LEFT JOIN (SELECT * FROM obs WHERE track % 2 = 1) b ON floor(a.time / 3) = floor(b.time / 3) WHERE a.track % 2 = 0 GROUP BY 1")
+simple("align_on_left", lambda o: pairs.aligned(o.where("track % 2 = 0"), o.where("track % 2 = 1"), "time", 3, True).groupBy("bin").agg(F.count("b_obs_id").alias("n")), "SELECT CAST(floor(a.time / 3) AS BIGINT) AS bin, count(b.obs_id) AS n FROM obs a LEFT JOIN (SELECT * FROM obs WHERE track % 2 = 1) b ON floor(a.time / 3) = floor(b.time / 3) WHERE a.track % 2 = 0 GROUP BY 1")
 simple("contains_whole", _all_holders, f"SELECT p.obs_id AS pid, min(r.obs_id) AS obs_id FROM obs p LEFT JOIN obs r ON {BEFORE.format('0.5')} GROUP BY 1")
+simple("contains", _all_holders, f"SELECT p.obs_id AS pid, min(r.obs_id) AS obs_id FROM obs p LEFT JOIN obs r ON {BEFORE.format('0.5')} GROUP BY 1")
 simple("mask_from_polygons_whole", lambda o: pairs.inside_any(o, _day_before(o, 2.0), ["time"]).select("obs_id"), f"SELECT DISTINCT p.obs_id FROM obs p JOIN obs r ON {BEFORE.format('2')}")
+simple("mask_from_polygons", lambda o: pairs.inside_any(o, _day_before(o, 2.0), ["time"]).select("obs_id"), f"SELECT DISTINCT p.obs_id FROM obs p JOIN obs r ON {BEFORE.format('2')}")
 simple("track_outline_whole", lambda o: pairs.merged_outline(o.withColumn("ring", box_ring(0.5)), 0.5).groupBy("track").agg(F.count("*").alias("cells")), "c AS (SELECT DISTINCT track, i, j FROM obs, range(-100, 200) a(i), range(-100, 100) b(j) WHERE (i + 0.5) * 0.5 >= lon - 0.5 AND (i + 0.5) * 0.5 < lon + 0.5 AND (j + 0.5) * 0.5 >= lat - 0.5 AND (j + 0.5) * 0.5 < lat + 0.5) SELECT track, count(*) AS cells FROM c GROUP BY 1")
+simple("track_outline", lambda o: pairs.merged_outline(o.withColumn("ring", box_ring(0.5)), 0.5).groupBy("track").agg(F.count("*").alias("cells")), "c AS (SELECT DISTINCT track, i, j FROM obs, range(-100, 200) a(i), range(-100, 100) b(j) WHERE (i + 0.5) * 0.5 >= lon - 0.5 AND (i + 0.5) * 0.5 < lon + 0.5 AND (j + 0.5) * 0.5 >= lat - 0.5 AND (j + 0.5) * 0.5 < lat + 0.5) SELECT track, count(*) AS cells FROM c GROUP BY 1")
 
 
 def _seam_wide(o: DataFrame) -> DataFrame:
@@ -140,3 +127,24 @@ def _over_water(o: DataFrame) -> DataFrame:
 
 CELLS = "CAST(round((a.lon) / 0.25) AS INTEGER) AS i0, CAST(round((a.lat + 8) / 0.25) AS INTEGER) AS j0, CAST(round((b.lon) / 0.25) AS INTEGER) AS i1, CAST(round((b.lat + 8) / 0.25) AS INTEGER) AS j1"
 simple("over_water_pairs", _over_water, f"p AS (SELECT a.obs_id AS a_obs_id, b.obs_id AS b_obs_id, {CELLS} FROM obs a JOIN obs b ON b.time = a.time + 1 AND {META.format(0.75)}), w AS (SELECT *, greatest(abs(i1 - i0), abs(j1 - j0)) AS n FROM p), k AS (SELECT w.*, unnest(range(n + 1)) AS s FROM w), c AS (SELECT a_obs_id, b_obs_id, CASE WHEN n = 0 THEN i0 ELSE CAST(trunc(i0 + (i1 - i0) * s / n) AS INTEGER) END AS i, CASE WHEN n = 0 THEN j0 ELSE CAST(trunc(j0 + (j1 - j0) * s / n) AS INTEGER) END AS j FROM k) SELECT a_obs_id, b_obs_id FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.a_obs_id = p.a_obs_id AND c.b_obs_id = p.b_obs_id AND i % 5 = 0 AND i BETWEEN 0 AND 95 AND j % 8 = 0 AND j BETWEEN 0 AND 72)")
+
+
+def _turned(o: DataFrame) -> DataFrame:
+    """The view 14 degrees further west, so that the seam at 0 runs through its middle."""
+    return o.withColumn("lon", F.pmod(F.col("lon") - 14.0, F.lit(360.0)))
+
+
+def _seam_scores(o: DataFrame) -> DataFrame:
+    return rounded(_boxes(_turned(o)).select(*IDS, pairs.box_score().alias("score")), "score")
+
+
+simple("box_score_across_seam", _seam_scores, f"p AS (SELECT a.obs_id AS a_obs_id, b.obs_id AS b_obs_id, {SHARED} AS s {SAME_DAY} WHERE {META.format(1.0)}) SELECT a_obs_id, b_obs_id, round(s / (2.0 - s), 6) AS score FROM p")
+simple("contains_across_seam", lambda o: _all_holders(_turned(o)), f"SELECT p.obs_id AS pid, min(r.obs_id) AS obs_id FROM obs p LEFT JOIN obs r ON {BEFORE.format('0.5')} GROUP BY 1")
+simple("mask_from_polygons_across_seam", lambda o: pairs.inside_any(_turned(o), _day_before(_turned(o), 2.0), ["time"]).select("obs_id"), f"SELECT DISTINCT p.obs_id FROM obs p JOIN obs r ON {BEFORE.format('2')}")
+
+
+def _side_by_side(o: DataFrame) -> DataFrame:
+    return pairs.aligned_rows(o.where("track % 2 = 0"), o.where("track % 2 = 1 and time % 9 < 3"), "time", 3).select("bin", "side", "obs_id")
+
+
+simple("aligned_rows", _side_by_side, "x AS (SELECT *, CAST(floor(time / 3) AS BIGINT) AS bin FROM obs), p AS (SELECT * FROM x WHERE track % 2 = 0), q AS (SELECT * FROM x WHERE track % 2 = 1 AND time % 9 < 3) SELECT bin, 'a' AS side, obs_id FROM p WHERE bin IN (SELECT bin FROM q) UNION ALL SELECT bin, 'b', obs_id FROM q WHERE bin IN (SELECT bin FROM p)")
