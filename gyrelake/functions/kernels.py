@@ -297,13 +297,16 @@ def bessel_j1(x) -> np.ndarray:
 
 
 def low_pass_weights(lat: float, dx: float, dy: float, wavelength: float, order: int = 1, kind: str = "bessel") -> np.ndarray:
-    """Weights of a low-pass filter at a latitude for a grid step in degrees, by distance in wavelengths (km)."""
+    """Weights of a low-pass filter at a latitude for a grid step in degrees, by distance on the sphere in
+    wavelengths (km)."""
     kx, ky = dx * math.pi / 180 * RADIUS / 1000 * math.cos(math.radians(lat)), dy * math.pi / 180 * RADIUS / 1000
     if wavelength < 2 * max(kx, ky):
         raise ValueError("the wavelength is below two cells")
     reach = wavelength * (order if kind != "loess" else 1)
     nx, ny = int(math.ceil(reach / kx)), int(math.ceil(reach / ky))
-    d = np.hypot(*np.meshgrid(np.arange(-nx, nx + 1) * kx, np.arange(-ny, ny + 1) * ky, indexing="ij")) / wavelength
+    east, north = np.meshgrid(np.radians(np.arange(-nx, nx + 1) * dx), np.radians(np.arange(-ny, ny + 1) * dy), indexing="ij")
+    own = math.radians(lat)
+    d = 2 * RADIUS / 1000 * np.arcsin(np.sqrt(np.minimum(np.sin(north / 2) ** 2 + math.cos(own) * np.cos(own + north) * np.sin(east / 2) ** 2, 1))) / wavelength
     with np.errstate(divide="ignore", invalid="ignore"):
         if kind == "bessel":
             w = np.sinc(d / order) * bessel_j1(2 * math.pi * d) / d
@@ -318,37 +321,6 @@ def low_pass_weights(lat: float, dx: float, dy: float, wavelength: float, order:
     return w[keep_x[0] : keep_x[-1] + 1, keep_y[0] : keep_y[-1] + 1]
 
 
-def normalised_filter(band: np.ndarray, row: int, weights: np.ndarray, circular: bool, extend: float | None = None) -> np.ndarray:
-    """One filtered row (all i at one j) of a band of rows (i, j): weighted sums over valid cells by the valid weights."""
-    half_x, half_y = weights.shape[0] // 2, weights.shape[1] // 2
-    n = band.shape[0]
-    total, valid = np.zeros(n), np.zeros(n)
-    for dj in range(-half_y, half_y + 1):
-        j = row + dj
-        if not 0 <= j < band.shape[1]:
-            continue
-        v = band[:, j]
-        ok = ~np.isnan(v)
-        v = np.where(ok, v, 0.0)
-        for di in range(-half_x, half_x + 1):
-            w = weights[half_x + di, half_y + dj]
-            if w == 0:
-                continue
-            if circular:
-                total += w * np.roll(v, -di)
-                valid += w * np.roll(ok, -di)
-            else:
-                a, b = max(0, -di), min(n, n - di)
-                if a < b:
-                    total[a:b] += w * v[a + di : b + di]
-                    valid[a:b] += w * ok[a + di : b + di]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        out = total / valid
-    here = np.isnan(band[:, row])
-    out[here if extend is None else here & (valid < extend * weights.sum())] = np.nan
-    return out
-
-
 def rk4(f, x: np.ndarray, y: np.ndarray, t0: float, t1: float) -> tuple[np.ndarray, np.ndarray]:
     """One step of fourth order of f(x, y, share of the step) -> (dx, dy) per step."""
     k1 = f(x, y, t0)

@@ -116,37 +116,55 @@ def between_times(points: DataFrame, grid: DataFrame, field: str, x0: float, y0:
     return at.join(eight, ["_t", "i", "j"], "left").withColumn("value", mixed).select(*points.columns, "value")
 
 
-def _filtered(step: float, wavelength: float, order: int, kind: str, size: int, circular: bool, field: str, pdf: pd.DataFrame) -> pd.DataFrame:
-    band_rows = np.sort(pdf["j"].unique())
-    place = {j: k for k, j in enumerate(band_rows.tolist())}
-    band = np.full((size, len(band_rows)), np.nan)
-    band[pdf["i"].to_numpy(), pdf["j"].map(place).to_numpy()] = pdf[field].to_numpy(float)
+def _filtered(step: float, wavelength: float, order: int, kind: str, size: int, circular: bool, extend: float | None, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The smoothed rows of one band. Rows are transformed once; each own row is the sum of its neighbours' transforms times
+    those of its kernel's rows, padded so that nothing wraps (a circular grid is laid out beyond its ends first)."""
     own = pdf[pdf["own"]]
-    j = int(own["j"].iloc[0]) if len(own) else None
-    if j is None:
+    if not len(own):
         return pd.DataFrame({"t": [], "i": [], "j": [], "low": []})
-    w = kernels.low_pass_weights(float(own["lat"].iloc[0]), step, step, wavelength, order, kind)
-    full = np.full((size, 2 * (w.shape[1] // 2) + 1), np.nan)
-    for k in range(full.shape[1]):
-        jj = j - w.shape[1] // 2 + k
-        if jj in place:
-            full[:, k] = band[:, place[jj]]
-    low = kernels.normalised_filter(full, w.shape[1] // 2, w, circular)
-    at = own["i"].to_numpy()
-    return pd.DataFrame({"t": own["t"].to_numpy(), "i": at, "j": j, "low": low[at]})
-
-
-def low_pass(grid: DataFrame, field: str, step: float, wavelength: float, size: int, order: int = 1, kind: str = "bessel", circular: bool = False, lat_max: float = 85.0) -> DataFrame:
+    first, last = int(pdf["j"].min()), int(pdf["j"].max())
+    z = np.full((last - first + 1, size), np.nan)
+    z[pdf["j"].to_numpy() - first, pdf["i"].to_numpy()] = pdf["v"].to_numpy(float)
+    rows = own.groupby("j")["lat"].first()
+    weights = {int(j): kernels.low_pass_weights(float(lat), step, step, wavelength, order, kind) for j, lat in rows.items()}
+    half = max(w.shape[0] // 2 for w in weights.values())
+    wide = z[:, np.arange(-half, size + half) % size] if circular else np.pad(z, ((0, 0), (half, half)), constant_values=np.nan)
+    n = 1 << (wide.shape[1] + 2 * half - 1).bit_length()
+    known = ~np.isnan(wide)
+    values, counts = np.fft.rfft(np.where(known, wide, 0.0), n), np.fft.rfft(known.astype(float), n)
+    out = []
+    for j, w in weights.items():
+        hx, hy = w.shape[0] // 2, w.shape[1] // 2
+        at = [k for k in range(-hy, hy + 1) if 0 <= j + k - first < len(z)]
+        kernel = np.zeros((len(at), n))
+        kernel[:, np.arange(-hx, hx + 1)] = w[:, [k + hy for k in at]].T
+        turned = np.conj(np.fft.rfft(kernel, n))
+        near = [j + k - first for k in at]
+        total, valid = (np.fft.irfft((turned * f[near]).sum(0), n)[half : half + size] for f in (values, counts))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            low = np.where(np.abs(valid) > 1e-10 * np.abs(w).sum(), total / valid, np.nan)
+        low[np.isnan(z[j - first]) if extend is None else valid < extend * w.sum()] = np.nan
+        out.append(pd.DataFrame({"t": own["t"].iloc[0], "i": np.arange(size), "j": j, "low": low}))
+    return pd.concat(out, ignore_index=True)
+
+
+#: Rows of a band of latitudes at least.
+BAND = 32
+
+
+def low_pass(grid: DataFrame, field: str, step: float, wavelength: float, size: int, order: int = 1, kind: str = "bessel", circular: bool = False, lat_max: float = 85.0, extend: float | None = None) -> DataFrame:
     """grid with `low`: the field smoothed by a kernel of each latitude (bessel, lanczos or loess), weighted by valid cells.
 
-    Each row of a time gets its band of neighbour rows; rows beyond lat_max are null.
+    Rows are dealt to bands of latitudes, each with a halo as high as the kernel. Rows beyond lat_max are null. extend:
+    masked cells get a value too where valid cells have that share of the kernel's weight.
     """
     reach = int(np.ceil(wavelength * (order if kind != "loess" else 1) / (step * np.pi / 180 * RADIUS)))
-    used = grid.where(F.abs("lat") <= lat_max)
-    band = used.select("t", "i", "j", "lat", field, F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("_d"))
-    band = band.select("t", "i", "j", "lat", field, (F.col("j") + F.col("_d")).alias("row"), (F.col("_d") == 0).alias("own"))
-    run = partial(_filtered, step, wavelength, order, kind, size, circular, field)
-    low = band.groupBy("t", "row").applyInPandas(lambda pdf: run(pdf), grid.select("t", "i", "j").schema.simpleString()[7:-1].replace(":", " ") + ", low double")
+    height = max(BAND, reach)
+    used = grid.where(F.abs("lat") <= lat_max).select("t", "i", "j", "lat", F.col(field).cast("double").alias("v"))
+    band = used.withColumn("band", F.explode(F.sequence(F.floor((F.col("j") - reach) / height), F.floor((F.col("j") + reach) / height))))
+    band = band.withColumn("own", F.col("band") == F.floor(F.col("j") / height))
+    run = partial(_filtered, step, wavelength, order, kind, size, circular, extend)
+    low = band.groupBy("t", "band").applyInPandas(lambda pdf: run(pdf), grid.select("t", "i", "j").schema.simpleString()[7:-1].replace(":", " ") + ", low double")
     return grid.join(low.withColumn("low", F.nanvl("low", F.lit(None))), ["t", "i", "j"], "left")
 
 
@@ -154,6 +172,12 @@ def high_pass(grid: DataFrame, field: str, *args, **kw) -> DataFrame:
     return low_pass(grid, field, *args, **kw).withColumn("high", F.col(field) - F.col("low")).drop("low")
 
 
+def band_pass(grid: DataFrame, field: str, step: float, shorter: float, longer: float, size: int, **kw) -> DataFrame:
+    """grid with `band`: the field smoothed at the shorter wavelength, less that smoothed again at the longer one."""
+    smooth = low_pass(grid, field, step, shorter, size, **kw).withColumnRenamed("low", "_s")
+    return low_pass(smooth, "_s", step, longer, size, **kw).withColumn("band", F.col("_s") - F.col("low")).drop("_s", "low")
+
+
 def _power(field: str, pdf: pd.DataFrame) -> pd.DataFrame:
     v = pdf.sort_values("i")[field].to_numpy(float)
     if np.isnan(v).any() or len(v) < 4:

@@ -52,6 +52,22 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = written(other.unionByName(root.withColumnRenamed("root", "lo")).distinct())
 
 
+def grown(known: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(all, moved): components (node, component) kept as a table, after new edges (a, b), and the components that have got
+    another number (old, new). Only the new edges, with their ends replaced by the components known of them, go through
+    the rounds of `components`; what is known is joined once with the numbers that have moved. The numbers are the smallest nodes, as from all
+    edges at once, so old results are brought up to date by `moved`."""
+    of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    ends = edges.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("_a", "a").alias("_a"), F.coalesce("_b", "b").alias("_b"))
+    ends = written(ends)
+    joined = written(components(ends.select(F.col("_a").alias("a"), F.col("_b").alias("b"))))
+    moved = joined.where("node <> component").select(F.col("node").alias("old"), F.col("component").alias("new"))
+    own = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known, "node", "left_anti")
+    every = known.unionByName(own.select("node", F.col("node").alias("component")))
+    out = every.join(moved, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    return written(out), moved.join(known.select(F.col("component").alias("old")).distinct(), "old", "left_semi")
+
+
 def grouped(obs: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows with their network's number from 1 in `track`; rows without a link are in 0."""
     label = components(edges).withColumnRenamed("node", "obs_id")

@@ -6,13 +6,17 @@ that no distinct step follows. Exact predicates come after.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gyrelake.functions import kernels
-from gyrelake.functions.geo import haversine, winding
+from gyrelake.functions.geo import RADIUS, haversine, winding
+from gyrelake.sources.observations import union_all
+from gyrelake.sources.tables import written
 
 BOX = ("x0", "x1", "y0", "y1")
 
@@ -142,8 +146,6 @@ def assigned(candidates: DataFrame) -> DataFrame:
     Runs as rounds of joins: a pair that is the cheapest of both its rows is taken, and the rows' other pairs go. A
     chain of dearer and dearer pairs takes a round each, at most; every round is written out.
     """
-    from gyrelake.sources.tables import written
-
     left, taken = written(candidates), None
     key = F.struct("cost", "a", "b")
     while True:
@@ -155,11 +157,12 @@ def assigned(candidates: DataFrame) -> DataFrame:
         left = written(left.join(now.select("step", "a"), ["step", "a"], "left_anti").join(now.select("step", "b"), ["step", "b"], "left_anti"))
 
 
-def in_search_ellipse(minor: float, major: float) -> Column:
+def in_search_ellipse(minor: float, major: Column | float) -> Column:
     """Whether the later centre lies in an ellipse (degrees) that begins `minor` east of the earlier one and reaches `major` west."""
     dx, dy = F.col("b_lon") - F.col("a_lon"), F.col("b_lat") - F.col("a_lat")
     half = (major + minor) / 2
-    return F.pow((dx + (major - minor) / 2) / half, 2) + F.pow(dy / minor, 2) < 1
+    off = F.pmod(dx + (major - minor) / 2 + 180, F.lit(360.0)) - 180
+    return F.pow(off / half, 2) + F.pow(dy / minor, 2) < 1
 
 
 def ratios_within(fields: list[str], low: float = 0.4, high: float = 2.5) -> Column:
@@ -255,3 +258,38 @@ def crossing_land(pairs: DataFrame, land: DataFrame, x0: float, y0: float, step:
     at = pairs.select("a_obs_id", "b_obs_id", F.explode(way).alias("_c")).select("a_obs_id", "b_obs_id", "_c.i", "_c.j")
     bad = at.join(land.where("mask = 1").select("i", "j"), ["i", "j"], "left_semi").select("a_obs_id", "b_obs_id").distinct()
     return pairs.join(bad, ["a_obs_id", "b_obs_id"], "left_anti")
+
+
+def _on_sphere(df: DataFrame, id: str) -> DataFrame:
+    lon, lat = F.radians("lon"), F.radians("lat")
+    return df.select(id, (F.cos(lat) * F.cos(lon)).alias("_x"), (F.cos(lat) * F.sin(lon)).alias("_y"), F.sin(lat).alias("_z"))
+
+
+def nearest(points: DataFrame, cells: DataFrame, spacing: float | None = None) -> DataFrame:
+    """pid, cid, metres: for each point (pid, lon, lat) the nearest of `cells` (cid, lon, lat; any order, no grid needed) on the
+    sphere; ties to the smaller cid; points without a place, and all where there is no cell, are left out.
+
+    Both are dealt to cubes of space around the sphere, which has no seam and no poles there. A cell found among a point's
+    own and the 26 cubes around is the nearest if it is no further away than a cube is wide; for points without one the
+    cubes are doubled, round by round. spacing: the first cubes' width in degrees; by default about two cells wide.
+    """
+    here = written(_on_sphere(points, "pid").dropna())
+    there = written(_on_sphere(cells, "cid").dropna())
+    n = there.count()
+    wide = 2 * math.sin(math.radians(spacing) / 2) if spacing else 2 * math.sqrt(4 * math.pi / max(n, 1))
+    around = F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))
+    out, left = [], here if n else here.limit(0)
+    while True:
+        cube = lambda c: F.floor(F.col(c) / wide)  # noqa: B023, E731
+        asked = left
+        for c in "xyz":
+            asked = asked.withColumn(f"_d{c}", around).withColumn(f"_k{c}", cube(f"_{c}") + F.col(f"_d{c}")).drop(f"_d{c}")
+        at = there.select("cid", *[F.col(f"_{c}").alias(f"_c{c}") for c in "xyz"], *[cube(f"_{c}").alias(f"_k{c}") for c in "xyz"])
+        far = sum(((F.col(f"_{c}") - F.col(f"_c{c}")) * (F.col(f"_{c}") - F.col(f"_c{c}")) for c in "yz"), (F.col("_x") - F.col("_cx")) * (F.col("_x") - F.col("_cx")))
+        best = asked.join(at, [f"_k{c}" for c in "xyz"]).groupBy("pid").agg(F.min(F.struct(far.alias("far"), "cid")).alias("best"))
+        told = written(left.join(best, "pid", "left").withColumn("sure", F.coalesce(F.col("best.far") <= wide * wide, F.lit(False)) | F.lit(wide > 2)))
+        out.append(told.where("sure").select("pid", "best.cid", (2 * RADIUS * 1000 * F.asin(F.least(F.sqrt("best.far") / 2, F.lit(1.0)))).alias("metres")))
+        left = told.where("not sure").select("pid", "_x", "_y", "_z")
+        if wide > 2 or left.isEmpty():
+            return union_all(out)
+        wide *= 2

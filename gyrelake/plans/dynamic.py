@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gyrelake.operators import advection, detection, grids, tracking
+from gyrelake.operators.pairs import step_candidates
 from gyrelake.plans.observation import box_ring, rounded, simple, view
-from gyrelake.plans.registry import VIEW, query
+from gyrelake.plans.registry import METRES, ORACLE, VIEW, query
 from gyrelake.sources.tables import written
 
 
@@ -106,3 +107,19 @@ def fsle_shear(spark: SparkSession, sf_dir: str) -> DataFrame:
 simple("tracks_from_links", lambda o: tracking.as_tracks(o, tracking.day_links(o)).select("obs_id", "track", "n"), None)
 simple("tracker_fold", lambda o: tracking.fold(o)[0], None)
 simple("seeded_rings", lambda o: o.where("n = 0").withColumn("ring", box_ring(0.3)).select("obs_id", F.size("ring").alias("points")), "SELECT obs_id, 5 AS points FROM obs WHERE n = 0")
+
+METRES_AB = METRES.format(a="a.", b="b.")
+WIDE = "(CASE WHEN abs(a.lat) < 5 THEN 1.5e0 WHEN abs(a.lat) > 23 THEN 1.05e0 ELSE (1.05e0 - 1.5e0) / (23 - 5) * (abs(a.lat) - 23) + 1.05e0 END)"
+NEAREST = f"""ca AS (SELECT a.time AS step, a.obs_id AS a, b.obs_id AS b, a.amplitude, {METRES_AB} AS cost FROM obs a JOIN obs b ON b.time = a.time + 1 AND abs(a.lon - b.lon) <= 3 AND abs(a.lat - b.lat) <= 3
+  WHERE pow((b.lon - a.lon + ({WIDE} - 1.05e0) / 2) / (({WIDE} + 1.05e0) / 2), 2) + pow((b.lat - a.lat) / 1.05e0, 2) < 1 AND b.amplitude / a.amplitude > 0.4e0 AND b.amplitude / a.amplitude < 2.5e0 AND b.radius_s / a.radius_s > 0.4e0 AND b.radius_s / a.radius_s < 2.5e0),
+na AS (SELECT * FROM ca QUALIFY row_number() OVER (PARTITION BY step, a ORDER BY cost, b) = 1),
+li AS (SELECT * FROM na QUALIFY row_number() OVER (PARTITION BY step, b ORDER BY amplitude DESC, a) = 1)"""
+# a place to the micrometre: both engines' distances of equal moves are then equal, and so are their ties
+simple("distance_links", lambda o: rounded(tracking.distance_links(o), "cost", digits=3), f"{NEAREST} SELECT step, a, b, round(cost, 3) AS cost FROM li")
+simple("distance_tracks", lambda o: tracking.as_tracks(o, tracking.distance_links(o)).select("obs_id", "track", "n"), f"{NEAREST}, w(id, head, n) AS (SELECT a, a, 0 FROM li WHERE a NOT IN (SELECT b FROM li) UNION ALL SELECT li.b, w.head, w.n + 1 FROM w JOIN li ON li.a = w.id) SELECT id AS obs_id, dense_rank() OVER (ORDER BY head) - 1 AS track, n FROM w")
+ORACLE["distance_tracks"] = ORACLE["distance_tracks"].replace("WITH", "WITH RECURSIVE", 1)
+simple("link_lengths", lambda o: tracking.lengths(tracking.distance_links(o)), f"{NEAREST}, w(id, head) AS (SELECT a, a FROM li WHERE a NOT IN (SELECT b FROM li) UNION ALL SELECT li.b, w.head FROM w JOIN li ON li.a = w.id) SELECT head AS track, count(*) AS n_obs FROM w GROUP BY 1")
+ORACLE["link_lengths"] = ORACLE["link_lengths"].replace("WITH", "WITH RECURSIVE", 1)
+simple("dead_tracks", lambda o: tracking.dead(tracking.distance_links(o), 27040), f"{NEAREST} SELECT b AS obs_id FROM li WHERE step = 27039 AND b NOT IN (SELECT a FROM li WHERE step = 27040)")
+simple("stitched_links", lambda o: tracking.stitched(tracking.distance_links(o.where("time <= 27044")), tracking.distance_links(o.where("time >= 27040")), 27042).select("step", "a", "b"), f"{NEAREST} SELECT step, a, b FROM li")
+simple("assign_in_order", lambda o: tracking.assigned_in_order(step_candidates(o)).select("step", "a", "b"), None)

@@ -89,6 +89,7 @@ def grid_in_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 on_grid("bessel_filter", lambda g: rounded(grids.low_pass(g, "h", 0.25, 120.0, 48).select("t", "i", "j", "low"), "low"), None)
 on_grid("lanczos_high_filter", lambda g: rounded(grids.high_pass(g, "h", 0.25, 120.0, 48, kind="lanczos").select("t", "i", "j", "high"), "high"), None)
+on_grid("bessel_band_filter", lambda g: rounded(grids.band_pass(g, "h", 0.25, 100.0, 220.0, 48).select("t", "i", "j", "band"), "band"), None)
 TAPER = "(0.5 - 0.5 * cos(2 * pi() * i / 48))"
 on_grid("spectrum_lon", lambda g: rounded(grids.spectrum(g, "u"), "power"), f", m AS (SELECT t, i, j, (u - avg(u) OVER (PARTITION BY t, j)) * {TAPER} AS x FROM g), p AS (SELECT t, j, k, pow(sum(x * cos(2 * pi() * i * k / 48)), 2) + pow(sum(x * sin(2 * pi() * i * k / 48)), 2) AS e FROM m, range(25) r(k) GROUP BY 1, 2, 3) SELECT k AS wave, round(avg(e) / (SELECT sum(pow({TAPER}, 2)) FROM range(48) q(i)) * CASE WHEN k BETWEEN 1 AND 23 THEN 2 ELSE 1 END, 6) AS power FROM p GROUP BY k")
 on_grid("regrid", lambda g: rounded(grids.at_points(g.where("i < 40 and j < 24").select("t", (F.col("lon") + 0.1).alias("x"), (F.col("lat") + 0.05).alias("y")), g, "u", 0.0, 20.0, 0.25), "value"), "SELECT a.t, a.lon + 0.1e0 AS x, a.lat + 0.05e0 AS y, round(0.6 * 0.8 * a.u + 0.6 * 0.2 * b.u + 0.4 * 0.8 * c.u + 0.4 * 0.2 * d.u, 6) AS value FROM g a JOIN g b ON b.t = a.t AND b.i = a.i AND b.j = a.j + 1 JOIN g c ON c.t = a.t AND c.i = a.i + 1 AND c.j = a.j JOIN g d ON d.t = a.t AND d.i = a.i + 1 AND d.j = a.j + 1 WHERE a.i < 40 AND a.j < 24")

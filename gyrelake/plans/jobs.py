@@ -19,9 +19,10 @@ def identify(spark: SparkSession, grid_path: str, height: str, out_path: str, li
     found.write.mode("overwrite").partitionBy("t").parquet(out_path)
 
 
-def track(spark: SparkSession, obs_path: str, out_path: str, state_path: str | None = None, most_gap: int = 3) -> None:
-    """Tracks (obs_id, time, track) of a table of observations. state_path: open ends are read there if there are any, and
-    left there for the next run; the rows to track must lie after them."""
+def track(spark: SparkSession, obs_path: str, out_path: str, state_path: str | None = None, most_gap: int = 3, least: int = 10) -> None:
+    """Tracks (obs_id, time, track) of a table of observations, in folders by class: untracked (a single row), short (fewer
+    than `least` rows) and long. state_path: open ends are read there if there are any, and left there for the next run; the
+    rows to track must lie after them, and classes count the rows of this run."""
     tracker = {"kind": "fold", "most_gap": most_gap}
     obs = src.with_field_names(spark.read.parquet(obs_path))
     try:
@@ -31,11 +32,26 @@ def track(spark: SparkSession, obs_path: str, out_path: str, state_path: str | N
             raise
         state = None
     rows, ends = tracking.fold(obs, most_gap, state=state)
-    rows.write.mode("overwrite").parquet(out_path)
+    n = rows.groupBy("track").agg(F.count("*").alias("_n"))
+    kind = F.when(F.col("_n") == 1, "untracked").when(F.col("_n") < least, "short").otherwise("long")
+    rows.join(n, "track").select("obs_id", "time", "track", kind.alias("class")).write.mode("overwrite").partitionBy("class").parquet(out_path)
     if state_path and ends is not None:
         tracking.save_state(ends, state_path, tracker)
 
 
+def link(spark: SparkSession, obs_path: str, out_path: str, linker=tracking.day_links) -> None:
+    """Links (step, a, b, cost) of neighbour days of a table of observations, as a table."""
+    linker(src.with_field_names(spark.read.parquet(obs_path))).write.mode("overwrite").parquet(out_path)
+
+
+def rebuild(spark: SparkSession, obs_path: str, links_path: str, out_path: str, least: int = 28) -> None:
+    """Tracks of `least` rows at least from a table of observations and saved links: the rows with track, n and cost."""
+    obs = src.with_field_names(spark.read.parquet(obs_path))
+    whole = tracking.as_tracks(obs, spark.read.parquet(links_path))
+    renumbered = tracks.renumbered(tracking.by_length(whole, least), "track")
+    renumbered.write.mode("overwrite").parquet(out_path)
+
+
 def group(spark: SparkSession, obs_path: str, out_path: str, window: int = 5, delta: float | None = None, least: float = 0.2) -> None:
     """Networks of a table of observations, cut into segments: track, segment, links, by overlap (ring) or centres (delta)."""
     obs = src.with_field_names(spark.read.parquet(obs_path))

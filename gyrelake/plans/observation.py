@@ -59,7 +59,7 @@ simple("full_path", lambda o: tracks.masked(o, F.col("nb") > 5, whole=True), f"S
 simple("remove_incomplete", lambda o: tracks.masked(o, F.col("lat") < 4, drop_partial=True), f"SELECT {KEYS} FROM obs WHERE track NOT IN (SELECT track FROM obs WHERE NOT lat < 4)")
 simple("compress_ids", lambda o: tracks.masked(o, F.col("track") % 3 == 0, dense=True).select("obs_id", "track"), "SELECT obs_id, dense_rank() OVER (ORDER BY track) AS track FROM obs WHERE track % 3 = 0")
 simple("direction_east", lambda o: tracks.toward(o, west=False, least=3.0), f"SELECT {KEYS} FROM obs WHERE track IN (SELECT track FROM obs GROUP BY 1 HAVING arg_max(lon, time) - arg_min(lon, time) > 3)")
-simple("direction_west", lambda o: tracks.toward(o, west=True), f"SELECT {KEYS} FROM obs WHERE track IN (SELECT track FROM obs GROUP BY 1 HAVING arg_min(lon, time) - arg_max(lon, time) > 0)")
+simple("direction_west", lambda o: tracks.toward(o.withColumn("lon", F.when(F.col("track") % 3 == 0, -F.col("lon")).otherwise(F.col("lon"))), west=True).select("obs_id"), "m AS (SELECT obs_id, track, time, CASE WHEN track % 3 = 0 THEN -lon ELSE lon END AS lon FROM obs) SELECT obs_id FROM m WHERE track IN (SELECT track FROM m GROUP BY 1 HAVING arg_min(lon, time) - arg_max(lon, time) > 0)")
 simple("first_in_box", lambda o: tracks.first_in_cells(o, 1.0), f"SELECT {KEYS} FROM (SELECT *, row_number() OVER (PARTITION BY track, floor(lon), floor(lat) ORDER BY time) AS r FROM obs) WHERE r = 1")
 simple("first_last", tracks.first_and_last, f"SELECT {KEYS} FROM (SELECT *, lead(n) OVER (PARTITION BY track ORDER BY time) AS z FROM obs) WHERE n = 0 OR z IS NULL")
 simple("keep_tracks_by_date", lambda o: tracks.present_on(o, 27030, 10), f"SELECT {KEYS} FROM obs WHERE track IN (SELECT track FROM obs WHERE time = 27030) AND track IN (SELECT track FROM obs WHERE time = 27040)")
@@ -101,16 +101,16 @@ def _concat(o: DataFrame) -> DataFrame:
 
 simple("concat_offset", _concat, "SELECT track, time FROM obs WHERE time < 27040 UNION ALL SELECT track + (SELECT max(track) + 1 FROM obs WHERE time < 27040), time FROM obs WHERE time >= 27040")
 simple("set_equality", lambda o: o.exceptAll(o.where("nb > 1")).unionByName(o.where("nb > 1").exceptAll(o)).agg(F.count("*").alias("differing")), "SELECT count(*) AS differing FROM obs WHERE nb <= 1")
-#: A ring with a notch.
-NOTCHED = ((2, -10), (2, -9), (2.5, -9.5), (3, -9), (3, -10), (2, -10))
 
 
-@query("poly_area", "SELECT k, CAST(0.75 * k * k AS DOUBLE) AS area, k >= 0 AND false AS convex FROM (SELECT unnest(range(1, 6)) AS k)", view=False)
-def poly_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ring = F.transform(ring_of(*NOTCHED), lambda p: F.struct((p.x * F.col("k")).alias("x"), (p.y * F.col("k")).alias("y")))
-    return spark.range(1, 6).withColumnRenamed("id", "k").select("k", geo.ring_area(ring).cast("decimal(20,6)").cast("double").alias("area"), geo.is_convex(ring).alias("convex"))
+def _poly_area(o: DataFrame) -> DataFrame:
+    """A ring with a notch around each row, nb times as large."""
+    x, y, k = F.col("lon"), F.col("lat"), F.col("nb")
+    ring = ring_of((x + 2 * k, y - 10 * k), (x + 2 * k, y - 9 * k), (x + 2.5 * k, y - 9.5 * k), (x + 3 * k, y - 9 * k), (x + 3 * k, y - 10 * k), (x + 2 * k, y - 10 * k))
+    return o.select("obs_id", F.round(geo.ring_area(ring), 6).alias("area"), geo.is_convex(ring).alias("convex"))
 
 
+simple("poly_area", _poly_area, "SELECT obs_id, CAST(0.75 * nb * nb AS DOUBLE) AS area, false AS convex FROM obs")
 simple("point_in_polygon", lambda o: o.where(geo.winding(ring_of((2.01, -6.03), (2.01, 6.03), (9.01, 0.03), (16.01, 6.03), (16.01, -6.03), (2.01, -6.03)), F.col("lon"), F.col("lat")) != 0).agg(F.count("*").alias("inside")), "SELECT count(*) AS inside FROM obs WHERE lon > 2.01 AND lon < 16.01 AND lat > -6.03 AND (CASE WHEN lon <= 9.01 THEN lat < 6.03 - (lon - 2.01) * 6.0 / 7 ELSE lat < 0.03 + (lon - 9.01) * 6.0 / 7 END)")
 
 
@@ -142,9 +142,8 @@ simple("pixel_frequency", _pixels, "c AS (SELECT i, j FROM range(-100, 200) a(i)
 simple("pixel_frequency_whole", _pixels, "c AS (SELECT i, j FROM range(-100, 200) a(i), range(-100, 100) b(j)) SELECT i, j, count(*) AS n FROM obs JOIN c ON (i + 0.5) * 0.5 >= lon - 1 AND (i + 0.5) * 0.5 < lon + 1 AND (j + 0.5) * 0.5 >= lat - 1 AND (j + 0.5) * 0.5 < lat + 1 GROUP BY 1, 2")
 
 
-@query("field_table")
-def field_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.field_table(spark)
+simple("field_table", src.described_fields, "SELECT 'time' AS field, 'time' AS file_name, 'days' AS unit, count(time) AS n, CAST(min(time) AS DOUBLE) AS least, CAST(max(time) AS DOUBLE) AS most FROM obs UNION ALL SELECT 'amplitude' AS field, 'amplitude' AS file_name, 'm' AS unit, count(amplitude) AS n, CAST(min(amplitude) AS DOUBLE) AS least, CAST(max(amplitude) AS DOUBLE) AS most FROM obs UNION ALL SELECT 'n' AS field, 'observation_number' AS file_name, '' AS unit, count(n) AS n, CAST(min(n) AS DOUBLE) AS least, CAST(max(n) AS DOUBLE) AS most FROM obs UNION ALL SELECT 'lon' AS field, 'longitude' AS file_name, 'degrees_east' AS unit, count(lon) AS n, CAST(min(lon) AS DOUBLE) AS least, CAST(max(lon) AS DOUBLE) AS most FROM obs UNION ALL SELECT 'lat' AS field, 'latitude' AS file_name, 'degrees_north' AS unit, count(lat) AS n, CAST(min(lat) AS DOUBLE) AS least, CAST(max(lat) AS DOUBLE) AS most FROM obs UNION ALL SELECT 'track' AS field, 'track' AS file_name, '' AS unit, count(track) AS n, CAST(min(track) AS DOUBLE) AS least, CAST(max(track) AS DOUBLE) AS most FROM obs UNION ALL SELECT 'radius_s' AS field, 'speed_radius' AS file_name, 'm' AS unit, count(radius_s) AS n, CAST(min(radius_s) AS DOUBLE) AS least, CAST(max(radius_s) AS DOUBLE) AS most FROM obs")
+simple("unit_conversion", lambda o: rounded(src.converted(o.select("obs_id", "radius_s", "amplitude"), {"radius_s": "km", "amplitude": "cm"}), "radius_s", "amplitude", digits=4), "SELECT obs_id, round(radius_s * 0.001e0, 4) AS radius_s, round(amplitude * 100e0, 4) AS amplitude FROM obs")
 
 
 simple("age_classes", lambda o: rounded(tracks.with_lifetime(o).withColumn("class", F.ntile(4).over(Window.partitionBy("track").orderBy("time"))).groupBy("class").agg(F.avg("radius_s").alias("mean")), "mean"), "SELECT class, round(avg(radius_s), 6) AS mean FROM (SELECT *, CAST(ntile(4) OVER (PARTITION BY track ORDER BY time) AS INTEGER) AS class FROM obs) GROUP BY 1")

@@ -52,6 +52,19 @@ def field_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f[0], f[1], f[3], f[4], f[5]) for f in sorted(FIELDS)], "field string, file_name string, type string, scale double, unit string")
 
 
+def described_fields(df: DataFrame) -> DataFrame:
+    """The registry's fields that a table has: field, file_name, unit, and its values' number, least and largest."""
+    have = [c for c in df.columns if c in NAMES and not NAMES[c][3].startswith("array")]
+    told = df.agg(*[f(c).alias(f"{n}_{c}") for c in have for n, f in (("n", F.count), ("least", F.min), ("most", F.max))])
+    rows = [F.struct(F.lit(c).alias("field"), F.lit(NAMES[c][1]).alias("file_name"), F.lit(NAMES[c][5]).alias("unit"), F.col(f"n_{c}").alias("n"), *[F.col(f"{n}_{c}").cast("double").alias(n) for n in ("least", "most")]) for c in have]
+    return told.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def converted(df: DataFrame, units: dict[str, str]) -> DataFrame:
+    """Fields in other units than the registry's: multiplied by the factor between both, with the unit as a note on the column."""
+    return df.withColumns({c: (F.col(c) * factor(NAMES[c][5], unit)).alias(c, metadata={"unit": unit}) for c, unit in units.items()})
+
+
 def with_field_names(df: DataFrame) -> DataFrame:
     """Columns under their field names, whichever file name or older name they have."""
     return df.withColumnsRenamed({c: ALIASES[c] for c in df.columns if c in ALIASES and ALIASES[c] not in df.columns})

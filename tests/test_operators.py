@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +54,69 @@ def test_fold_goes_through_days_without_rows(spark):
     assert {r["track"] for r in tracking.fold(obs.where("time between 3 and 5"), 2, state=state)[0].collect()} == {0}
 
 
+def plain_fold(rows, most_gap, reach=1.0, furthest=125_000.0):
+    """Tracks by the rule told day by day: (cost, end, row) in order, each once; ends without a row move on."""
+    metres = lambda p, q: 2 * 6370997.0 * math.asin(min(1, math.sqrt(math.sin(math.radians(q[1] - p[1]) / 2) ** 2 + math.cos(math.radians(p[1])) * math.cos(math.radians(q[1])) * math.sin(math.radians(q[0] - p[0]) / 2) ** 2)))
+    track, ends = {}, []
+    for day in range(min(r[1] for r in rows), max(r[1] for r in rows) + 1):
+        now = [r for r in rows if r[1] == day]
+        pairs = []
+        for e in ends:
+            for r in now:
+                if abs(e["x"] - r[2]) <= reach and abs(e["y"] - r[3]) <= reach and (d := metres((e["x"], e["y"]), r[2:4])) < furthest:
+                    pairs.append((math.sqrt(((e["amp"] - r[4]) / e["amp"]) ** 2 + ((e["r"] - r[5]) / e["r"]) ** 2 + (d / 125_000) ** 2), e["id"], r[0]))
+        by_end, by_row = {}, {}
+        for _, a, b in sorted(pairs):
+            if a not in by_end and b not in by_row:
+                by_end[a], by_row[b] = b, a
+        old = {e["id"]: e for e in ends}
+        ends = [dict(e, x=e["x"] + e["dx"], y=e["y"] + e["dy"], gap=e["gap"] + 1, id=-abs(e["id"])) for e in ends if e["id"] not in by_end and e["gap"] < most_gap]
+        for r in now:
+            e = old.get(by_row.get(r[0]))
+            track[r[0]] = e["track"] if e else r[0]
+            ends.append({"id": r[0], "x": r[2], "y": r[3], "amp": r[4], "r": r[5], "dx": r[2] - e["x"] if e else 0.0, "dy": r[3] - e["y"] if e else 0.0, "gap": 0, "track": track[r[0]]})
+    return track, {e["track"] for e in ends}
+
+
+@pytest.mark.parametrize("block", [2, 5])
+def test_fold_in_blocks(spark, block):
+    """Wandering features with absences, close to each other, over fourteen days in blocks of any length, and from a saved state."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(8):
+        x, y = rng.uniform(0, 4), rng.uniform(10, 13)
+        for day in range(14):
+            x, y = x + rng.uniform(-0.1, 0.3), y + rng.uniform(-0.2, 0.2)
+            if rng.random() > 0.45:
+                rows.append((100 * k + day + 1, day, x, y, rng.uniform(0.8, 1.2), rng.uniform(4e4, 6e4)))
+    schema = "obs_id long, time int, lon double, lat double, amplitude double, radius_s double"
+    want, live = plain_fold(rows, 2)
+    assert 8 < len(set(want.values())) < len(want) / 2
+    done, ends = tracking.fold(spark.createDataFrame(rows, schema), 2, block=block)
+    assert {r["obs_id"]: r["track"] for r in done.collect()} == want
+    assert {r["track"] for r in ends.collect()} == live
+    if block == 5:
+        early, state = tracking.fold(spark.createDataFrame([r for r in rows if r[1] < 6], schema), 2)
+        late, _ = tracking.fold(spark.createDataFrame([r for r in rows if r[1] > 6], schema), 2, state=state)
+        parts = {r["obs_id"]: r["track"] for df in (early, late) for r in df.collect()}
+        assert parts == plain_fold([r for r in rows if r[1] != 6], 2)[0]
+
+
+def test_assignment_in_order(spark):
+    rng = random.Random(2)
+    c = [(s, a, 100 + b, round(rng.random(), 2)) for s in (0, 1) for a in range(8) for b in range(8) if rng.random() < 0.5]
+    want = set()
+    for s in (0, 1):
+        used = set()
+        for a in range(8):
+            free = [(cost, b) for t, x, b, cost in c if (t, x) == (s, a) and b not in used]
+            if free:
+                used.add(min(free)[1])
+                want.add((s, a, min(free)[1]))
+    found = tracking.assigned_in_order(spark.createDataFrame(c, "step int, a long, b long, cost double")).collect()
+    assert {(r["step"], r["a"], r["b"]) for r in found} == want and len(found) == len(want)
+
+
 def test_streaming_tracker(spark, tmp_path):
     rows = [(0, 10 * t + k, t, 0.3 * t + 20.0 * k, 5.0) for t in (0, 1, 3, 4) for k in (0, 1)]
     spark.createDataFrame(rows, tracker.OUT.replace("track long", "lon double, lat double")).coalesce(1).write.parquet(str(tmp_path / "in"))

@@ -9,7 +9,7 @@ from gyrelake.plans.queries import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 #: Loops over days: held against known results on a small table below.
-SLOW = {"split_segments", "tracks_from_links", "tracker_fold", "greedy_assign"}
+SLOW = {"split_segments", "tracks_from_links", "tracker_fold", "greedy_assign", "assign_in_order"}
 
 
 @pytest.fixture(scope="module")

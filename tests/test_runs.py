@@ -31,6 +31,18 @@ def test_tracking_goes_on_from_a_saved_state(spark, tmp_path):
         tracking.load_state(spark, f"{tmp_path}/state", {"kind": "other"})
 
 
+def test_classes_and_rebuilt_tracks(spark, tmp_path):
+    """A track of five rows, one of two and a single row; then tracks of four rows at least from saved links."""
+    rows = [(d, d, 0.1 * d, 10.0, 0.1, 5e4) for d in range(5)] + [(100 + d, d, 20.0, 10.0, 0.1, 5e4) for d in range(2)] + [(200, 3, 40.0, 10.0, 0.1, 5e4)]
+    spark.createDataFrame(rows, OBS).write.parquet(f"{tmp_path}/obs")
+    jobs.track(spark, f"{tmp_path}/obs", f"{tmp_path}/tracks", least=4)
+    found = {(r["class"], r["track"]) for r in spark.read.parquet(f"{tmp_path}/tracks").collect()}
+    assert found == {("long", 0), ("short", 100), ("untracked", 200)}
+    jobs.link(spark, f"{tmp_path}/obs", f"{tmp_path}/links")
+    jobs.rebuild(spark, f"{tmp_path}/obs", f"{tmp_path}/links", f"{tmp_path}/rebuilt", least=4)
+    assert sorted((r["obs_id"], r["track"], r["n"]) for r in spark.read.parquet(f"{tmp_path}/rebuilt").collect()) == [(d, 0, d) for d in range(5)]
+
+
 def test_tracks_by_overlap(spark):
     """Squares that drift by a tenth of their width; each is linked with its own next day, not with its neighbour's."""
     obs = drifting(spark, range(4), (0.0, 0.6)).withColumn("lat", F.lit(10.0)).withColumn("ring", box_ring(0.5))
