@@ -83,12 +83,15 @@ def _padded(o: DataFrame) -> DataFrame:
 simple("reduced_rings", _padded, "SELECT obs_id, CAST(5 + nb AS INTEGER) AS before, 4 AS after FROM obs")
 simple("ring_centres", lambda o: o.withColumn("ring", box_ring(0.5)).select("obs_id", *[F.round(c, 6).alias(n) for c, n in zip(geo.vertex_mean(F.col("ring")), ("x", "y"), strict=True)]), "SELECT obs_id, round(lon, 6) AS x, round(lat, 6) AS y FROM obs")
 simple("notched_areas", lambda o: _notched(o).select("obs_id", F.round(geo.ring_area(F.col("ring")), 6).alias("area"), geo.is_convex(F.col("ring")).alias("convex")), "SELECT obs_id, round(1.5 * (nb + 1), 6) AS area, false AS convex FROM obs")
-#: Places all over the sphere, poles and the seam included, that lie on no grid.
-WORLD = {"lon": F.pmod(F.col("lon") * 37.123 + F.col("lat") * 11.7, F.lit(360.0)), "lat": F.degrees(F.asin(F.sin(F.col("lon") * 1.7 + F.col("lat") * 5.3)))}
+
+
+def _world(o: DataFrame) -> DataFrame:
+    """Places all over the sphere, poles and the seam included, that lie on no grid."""
+    return o.withColumns({"lon": F.pmod(F.col("lon") * 37.123 + F.col("lat") * 11.7, F.lit(360.0)), "lat": F.degrees(F.asin(F.sin(F.col("lon") * 1.7 + F.col("lat") * 5.3)))})
 
 
 def _nearest(o: DataFrame) -> DataFrame:
-    world = o.withColumns(WORLD)
+    world = _world(o)
     cells = world.where("track % 2 = 0").select(F.col("obs_id").alias("cid"), "lon", "lat")
     return rounded(pairs.nearest(world.where("track % 2 = 1").select(F.col("obs_id").alias("pid"), "lon", "lat"), cells), "metres", digits=2)
 
