@@ -81,7 +81,7 @@ def fsle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _shear(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_day = 86400 * 180 / 3.141592653589793 / 6370997.0
-    return written(basin(spark, sf_dir).withColumns({"u": 0.03 * (F.col("lat") - 40) * F.cos(F.radians("lat")) / per_day, "v": F.lit(0.2 / per_day), "slope": F.col("lon") * 0.7137 + 2.0391 * F.col("lat")}))
+    return written(basin(spark, sf_dir).withColumns({"u": 0.03 * (F.col("lat") - 40) * F.cos(F.radians("lat")) / per_day, "v": F.lit(0.2 / per_day), "slope": F.col("lon") * 0.713712345678 + 2.039123456789 * F.col("lat")}))
 
 
 def _sheared(spark: SparkSession, sf_dir: str, **run) -> DataFrame:
@@ -92,7 +92,7 @@ query("advect_shear", VIEW + SHEAR, view=False)(_sheared)
 query("advect_shear_backward", VIEW + BACK, view=False)(lambda spark, sf_dir: _sheared(spark, sf_dir, backward=True))
 
 
-@query("lavd_shear", VIEW + "SELECT pid, round(avg(abs((lon + 0.03e0 * (lat * k + 0.1e0 * k * k)) * 0.7137e0 + 2.0391e0 * (lat + 40 + 0.2e0 * k))), 6) AS mean FROM (SELECT obs_id AS pid, *, unnest(range(3)) AS k FROM obs) WHERE time + k <= (SELECT max(time) FROM obs) GROUP BY 1", view=False)
+@query("lavd_shear", VIEW + "SELECT pid, round(avg(abs((lon + 0.03e0 * (lat * k + 0.1e0 * k * k)) * 0.713712345678e0 + 2.039123456789e0 * (lat + 40 + 0.2e0 * k))), 6) AS mean FROM (SELECT obs_id AS pid, *, unnest(range(3)) AS k FROM obs) WHERE time + k <= (SELECT max(time) FROM obs) GROUP BY 1", view=False)
 def lavd_shear(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, seeds = _shear(spark, sf_dir), _seeds(spark, sf_dir)
     path = advection.paths(seeds, g, days=2, frame=BASIN).join(seeds.select("pid", "start"), "pid")
