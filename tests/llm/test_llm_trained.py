@@ -59,6 +59,96 @@ def test_quality_on_unseen_documents(spark):
     assert area(rows["score"], y) > 0.95 and (rows["score"] >= corpus_pipeline.LEAST_QUALITY)[y].mean() > 0.99
 
 
+def plain_co_train(mine, y, held, pool):
+    """Co-training with every row in memory: each view fitted anew on the labelled rows and those it is taught."""
+    fit, views = ~held, [quality.View(x[~held]) for x in mine]
+
+    def fitted(v, rows=(), label=(), weight=()):
+        x = np.vstack([mine[v][fit], pool[v][list(rows)]])
+        weight = np.append(np.ones(fit.sum()), weight)
+        views[v].w = quality.fit_logistic((x - views[v].mean) / views[v].scale, np.append(y[fit], label), weight * len(x) / weight.sum())
+
+    for v in (0, 1):
+        fitted(v)
+    for r in range(1, quality.ROUNDS):
+        taught = []
+        for v in (0, 1):
+            at = quality.bins(views[1 - v].odds(pool[1 - v]))
+            found = {}
+            for label, base, order in ((1, y[fit].mean(), sorted(set(at.tolist()), reverse=True)), (0, 1 - y[fit].mean(), sorted(set(at.tolist())))):
+                left = quality.SHARE * r * base * len(at)
+                for b in order:
+                    odds = (b if label else b + 1) / quality.BINS * 2 * quality.REACH - quality.REACH
+                    if (odds if label else -odds) < np.log(quality.SURE / (1 - quality.SURE)) or left <= 0:
+                        break
+                    rows = np.flatnonzero(at == b).tolist()
+                    found |= {i: (label, min(1, left / len(rows))) for i in rows}
+                    left -= len(rows)
+            taught.append(found)
+        for v in (0, 1):
+            weight = np.array([w for _, w in taught[v].values()])
+            fitted(v, taught[v], [label for label, _ in taught[v].values()], weight * quality.TRUST * fit.sum() / weight.sum() if len(weight) else [])
+    each = []
+    for v in (0, 1):
+        odds = views[v].odds(mine[v][held])
+        a = quality.fit_logistic(odds[:, None], y[held])
+        views[v].w = np.append(views[v].w[:-1] * a[0], views[v].w[-1] * a[0] + a[1])
+        each.append(views[v].odds(mine[v][held]))
+    return views, quality.fit_logistic(np.column_stack(each), y[held], ridge=1e-2)
+
+
+def test_co_training_equals_the_plain_one(spark):
+    rng = np.random.default_rng(4)
+    sizes = len(quality.TEXT_FEATURES), len(quality.META_FEATURES)
+
+    def drawn(n, turn=0.0):
+        y = (rng.random(n) < 0.6).astype(float)
+        return y, [(rng.normal(size=(n, k)) + (y[:, None] * 2 - 1 + turn) * np.linspace(0, 1.2, k)).astype(np.float32).astype(float) for k in sizes]
+
+    y, mine = drawn(200)
+    _, pool = drawn(3000, 0.3)
+    pool = [np.vstack([p, np.repeat(p[:1], 1000, 0)]) for p in pool]  # a hot group of copies
+    held = np.arange(200) % 5 == 0
+    others = spark.createDataFrame([(t.tolist(), m.tolist()) for t, m in zip(*pool, strict=True)], "t array<float>, m array<float>").repartition(5)
+    views, joint = quality.co_train(mine, y, held, others)
+    plain, plain_joint = plain_co_train(mine, y, held, pool)
+    alone = quality.fit_logistic((mine[1][~held] - views[1].mean) / views[1].scale, y[~held])
+    assert joint == pytest.approx(plain_joint, abs=2e-2)
+    for v in (0, 1):
+        assert views[v].w == pytest.approx(plain[v].w, abs=2e-2)
+    assert np.abs(views[1].w / np.linalg.norm(views[1].w) - alone / np.linalg.norm(alone)).max() > 0.01  # the exchange has an effect
+
+
+def test_score_expression_equals_the_views(spark):
+    rng = np.random.default_rng(6)
+    numbers = [rng.normal(size=(50, len(n))).astype(np.float32).astype(float) for n in (quality.TEXT_FEATURES, quality.META_FEATURES)]
+    views = [quality.View(x) for x in numbers]
+    for view in views:
+        view.w = rng.normal(size=len(view.w))
+    model = quality.Classifier([], {}, views, np.array([0.7, 0.4, -0.2]))
+    df = spark.createDataFrame([(t.tolist(), m.tolist()) for t, m in zip(*numbers, strict=True)], "t array<float>, m array<float>").coalesce(1)
+    z = 0.7 * views[0].odds(numbers[0]) + 0.4 * views[1].odds(numbers[1]) - 0.2
+    assert [r[0] for r in df.select(model.score(F.col("t"), F.col("m"))).collect()] == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_share_of_the_surest():
+    counts = np.zeros(quality.BINS)
+    counts[-1], counts[-5], counts[quality.BINS // 2], counts[0] = 30, 1000, 500, 10
+    taken = quality.surest(counts, 0.5, 0.2)
+    assert taken[-1] == 1 and taken[-5] == pytest.approx((154 - 30) / 1000) and taken[0] == 1 and taken[quality.BINS // 2] == 0
+
+
+def test_quality_odd_columns(spark):
+    """Declared lengths that are no numbers, unseen values, columns that clash with inner names, copies and no ids."""
+    rows = [(i if i % 7 else None, f"word {'x' * (i % 5)} text {i % 3}", f"s{i % 4}", ("nan", "12", None, "many")[i % 4], "v", 0.5) for i in range(60)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars string, source_value string, y double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(5, 0)], "doc_id long, quality int")
+    out = quality.quality_scores(docs, labels).toPandas()
+    assert len(out) == 120 and out["score"].between(0, 1).all() and out.groupby("doc_id")["score"].nunique().max() == 1
+    kept = quality.keep_good(docs, labels, 0.5)
+    assert kept.columns == docs.columns and kept.count() == out["kept"].sum()
+
+
 def test_quality_odd_inputs(spark, make, prose):
     labels = spark.createDataFrame([(i, i % 2) for i in range(len(prose))] + [(None, 1), (3, None), (10**6, 1)], "doc_id long, quality int")
     docs = make(prose)
