@@ -15,7 +15,8 @@ one weight per subsequence, and every distinct word of a text costs a few table
 A document's score is a logistic step, fitted on the labelled sample, over the highest margins of its distinct words.
 
 Defined results: a null or empty text scores as one without words; rows with equal texts score equally; without labels
-of both kinds every document scores 0.0; empty tables give empty results.
+of both kinds every document scores 0.0; a word of any length is read whole, in parts, a bounded number at a time; empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import re
 import string
 from collections.abc import Iterator
 from functools import partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,8 @@ LETTERS = 48
 LONGEST = 24
 #: Bounds of the fit: labelled documents, words of each kind, landmarks, hard-negative rounds.
 LABELLED, POSITIVE, NEGATIVE, LANDMARKS, ROUNDS = 12_000, 500, 3_000, 300, 4
-#: Scores of words that a task remembers.
-KNOWN = 300_000
+#: Scores of words that a task remembers, the longest such word, and rows of letters that are compared at a time.
+KNOWN, MEMO, ROWS = 300_000, 64, 2048
 #: Digits and signs read as letters (fixed values).
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -67,17 +69,24 @@ class _Codes(dict):
 _CODES = _Codes()
 
 
+def cut(word: str) -> Iterator[str]:
+    """The word, or overlapping parts of a long one that cover all of it."""
+    return (word[at : at + LONGEST] for at in (range(0, max(len(word) - SPAN, 1), LONGEST - SPAN) if len(word) > LONGEST else (0,)))
+
+
+def coded_blocks(words: list[str], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words as rows of letter numbers with begin and end, 0 beyond; and the row's word. Long words take several rows.
+    No block has more than `most` rows, however long a word is."""
+    parts = ((i, chr(BEGIN) + p + chr(END)) for i, w in enumerate(words) for p in cut(w.translate(_CODES)))
+    while block := list(islice(parts, most)):
+        width = max(len(p) for _, p in block)
+        raw = "".join(p.ljust(width, "\0") for _, p in block).encode("latin-1")
+        yield np.frombuffer(raw, np.uint8).reshape(len(block), width), np.array([i for i, _ in block], int)
+
+
 def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Words as rows of letter numbers with begin and end, 0 beyond; and the row's word. Long words take several rows."""
-    parts, owner = [], []
-    for i, w in enumerate(words):
-        w = w.translate(_CODES)
-        for at in range(0, max(len(w) - SPAN, 1), LONGEST - SPAN) if len(w) > LONGEST else (0,):
-            parts.append(chr(BEGIN) + w[at : at + LONGEST] + chr(END))
-            owner.append(i)
-    width = max(map(len, parts), default=2)
-    raw = "".join(p.ljust(width, "\0") for p in parts).encode("latin-1")
-    return np.frombuffer(raw, np.uint8).reshape(len(parts), width), np.array(owner, int)
+    """All words' rows at once, for few words."""
+    return next(coded_blocks(words, 1 << 62), (np.zeros((0, 2), np.uint8), np.zeros(0, int)))
 
 
 def _gaps() -> list[tuple[int, int, float]]:
@@ -124,10 +133,9 @@ def spread(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
 def margins(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
     """The machine's margin for each word: its best part's."""
     out = np.full(len(words), -2.0)
-    for at in range(0, len(words), 2048):
-        rows, owner = coded(words[at : at + 2048])
+    for rows, owner in coded_blocks(words, ROWS):
         row, number, weight = combined(rows)
-        np.maximum.at(out, at + owner, np.bincount(row, table[number] * weight, len(rows)) + bias)
+        np.maximum.at(out, owner, np.bincount(row, table[number] * weight, len(rows)) + bias)
     return out
 
 
@@ -171,6 +179,9 @@ class Machine:
                 best = heapq.nlargest(3, map(self.known.__getitem__, s))
                 out[i, : len(best)] = best
                 out[i, 3] = np.log1p(len(s))
+            for w in new:
+                if len(w) > MEMO:
+                    del self.known[w]
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -197,7 +208,7 @@ def words_of(text: str) -> set[str]:
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash of the word before, word, label) for the words of every sentence."""
+    """(hash of the word before, word, label) for the words of every sentence; a long word as all of its parts."""
     for batch in batches:
         out = [], [], []
         for text, y in zip(batch["text"].to_pylist(), batch["y"].to_pylist(), strict=True):
@@ -206,9 +217,10 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = [w for w in (w.strip(string.punctuation) for w in sentence.lower().split()) if w]
                 found.update(zip(["", *words], words))
                 found.update(("", "".join(m.group().split())) for m in SPELLED.finditer(sentence.lower()))
-            out[0].extend(hash_of(a) for a, _ in found)
-            out[1].extend(w for _, w in found)
-            out[2].extend([y] * len(found))
+            pairs = [(hash_of(a), part) for a, w in found for part in cut(w)]
+            out[0].extend(a for a, _ in pairs)
+            out[1].extend(part for _, part in pairs)
+            out[2].extend([y] * len(pairs))
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32())], names=["before", "word", "y"])
 
 
@@ -234,6 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 7) -> Machine | None:
     words = once.groupBy("word").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).persist()
     share = words.agg(F.sum("pos"), F.sum("neg")).first()
     if not share[0] or not share[1]:
+        words.unpersist(), sample.unpersist()
         return None
     base = share[0] / (share[0] + share[1])
     n_words = words.count()
@@ -247,6 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 7) -> Machine | None:
     positive = by_word.unionByName(by_stem).groupBy("word").agg(F.max("pos").alias("pos"), F.max("weight").alias("weight"))
     positive = positive.orderBy(F.desc("weight"), "word").limit(POSITIVE).toPandas()
     if not len(positive):
+        words.unpersist(), sample.unpersist()
         return None
     chosen = set(positive["word"])
     # clean words: the commonest half, and a hash's choice of the others
@@ -272,8 +286,7 @@ def _machine(positive: list[str], weight: np.ndarray, negative: list[str], pool:
     """Landmarks, Nystroem features, SVM, hard negatives; folded into weights per subsequence."""
     half = LANDMARKS // 2
     marks = [*positive[:half], *(rng.choice(negative, min(half, len(negative)), replace=False) if negative else [])]
-    first_parts = lambda coded_: coded_[0][np.unique(coded_[1], return_index=True)[1]]
-    rows = first_parts(coded(marks))
+    rows, _ = coded(marks)  # one each, as long words came in parts
     columns = np.unique(combined(rows)[1])  # what no landmark has adds nothing to a kernel value
     anchors = spread(rows, columns)
     k = anchors @ anchors.T
@@ -284,7 +297,7 @@ def _machine(positive: list[str], weight: np.ndarray, negative: list[str], pool:
     def features(words: list[str]) -> np.ndarray:
         parts = []
         for at in range(0, len(words), 256):
-            parts.append((spread(first_parts(coded(words[at : at + 256])), columns) @ anchors.T) @ white)
+            parts.append((spread(coded(words[at : at + 256])[0], columns) @ anchors.T) @ white)
         return np.concatenate(parts) if parts else np.zeros((0, white.shape[1]))
 
     xp, negative = features(positive), list(negative)

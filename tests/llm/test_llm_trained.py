@@ -1,5 +1,9 @@
 """Trained operators by held-out accuracy and odd inputs; the pipeline stage by stage."""
 
+import tracemalloc
+from collections import Counter
+from itertools import combinations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +42,58 @@ def test_folded_machine_equals_the_kernel():
     assert toxicity.margins(words, table, 0.5) == pytest.approx(toxicity.spread(rows, np.arange(len(table))) @ table + 0.5, abs=1e-3)
 
 
+def plain_kernel(a, b):
+    """The kernel by all triples of letters that lie within the span."""
+
+    def counts(word):
+        letters, found = [toxicity.BEGIN, *(ord(c) - 96 for c in word), toxicity.END], Counter()
+        for x in combinations(range(len(letters)), 3):
+            if x[2] - x[0] < toxicity.SPAN:
+                found[tuple(letters[i] for i in x)] += toxicity.DECAY ** (x[2] - x[0] - 2)
+        return found
+
+    p, q = counts(a), counts(b)
+    return sum(n * q[k] for k, n in p.items()) / np.sqrt(sum(n * n for n in p.values()) * sum(n * n for n in q.values()))
+
+
+def test_machine_equals_a_plain_kernel_machine():
+    """Landmark products, whitening and the SVM from kernel values alone."""
+    positive, negative, unseen = ["dreadful", "dreadfully", "awful"], ["mountain", "river", "full", "a"], ["dreaadful", "rivers", "xyz"]
+    weight = np.array([3.0, 1.0, 2.0])
+    table, bias = toxicity._machine(positive, weight, negative, [], np.random.default_rng(1))
+    marks = positive + negative
+    of = lambda words: np.array([[plain_kernel(w, m) for m in marks] for w in words])
+    value, vector = np.linalg.eigh(of(marks))
+    white = vector / np.sqrt(value)
+    cost = np.append(0.5 * weight / weight.sum(), np.full(len(negative), 0.5 / len(negative)))
+    w, b = toxicity.train_svm(of(marks) @ white, np.append(np.ones(len(positive)), -np.ones(len(negative))), cost, ridge=0.05 / len(positive))
+    assert bias == pytest.approx(b, abs=1e-3)
+    assert toxicity.margins(marks + unseen, table, bias) == pytest.approx(of(marks + unseen) @ white @ w + b, abs=1e-2)
+
+
+def test_long_words_in_bounded_memory():
+    """An insult anywhere in an unbroken word of a million letters counts, and memory does not grow with the word."""
+    rng = np.random.default_rng(3)
+    table, bias = toxicity._machine(["dreadful"], np.ones(1), ["mountain", "river", "stone"], [], rng)
+    machine = toxicity.Machine(table, bias, np.ones(7))
+    blob = "".join(rng.choice(list("bcghjkmnpqvwxz"), 1_000_000))
+    peaks = []
+    for n in (100_000, 1_000_000):
+        text = blob[: n // 2] + "dreadful" + blob[n // 2 : n]
+        tracemalloc.start()
+        best = machine.tops([text])[0, 0]
+        peaks.append(tracemalloc.get_traced_memory()[1] / 2**20)
+        tracemalloc.stop()
+        assert best > machine.tops([blob[:n]])[0, 0] + 0.2
+    assert peaks[1] < 150 and peaks[1] < peaks[0] + 30 and not machine.known
+
+
+def test_parts_cover_a_word():
+    for n in (1, 24, 25, 31, 32, 100, 999):
+        word = "".join(chr(200 + i) for i in range(n))
+        assert {c for p in toxicity.cut(word) for c in p} == set(word) and all(len(p) <= toxicity.LONGEST for p in toxicity.cut(word))
+
+
 def test_toxicity_odd_inputs(spark, make, prose):
     labels = spark.createDataFrame([(i, i % 2) for i in range(len(prose))], "doc_id long, toxic int")
     docs = make([*prose, *prose])
