@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from gyrelake.functions import geo
 from gyrelake.operators import networks, outlines, pairs, shapes
-from gyrelake.plans import network  # noqa: F401  its SQL for components
+from gyrelake.plans.network import place_edges
 from gyrelake.plans.observation import box_ring, ring_of, rounded, simple
 from gyrelake.plans.registry import ORACLE
+from gyrelake.sources.tables import written
 
 
 def _circled(o: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ simple("nearest_cells", _nearest, "w AS (SELECT obs_id, track, radians(lon * 37.
 
 def _by_batches(o: DataFrame) -> DataFrame:
     """Neighbours of every third day at a time, each batch joined with what is known from those before."""
-    p = pairs.near_centres(o, o, 0.6, ["time"]).where("a_track < b_track").select(F.col("a_track").alias("a"), F.col("b_track").alias("b"), (F.col("a_time") % 3).alias("batch")).distinct()
+    p = written(place_edges(o).select("a", "b", (F.col("time") % 3).alias("batch")).distinct())
     known = o.sparkSession.createDataFrame([], "node long, component long")
     for batch in range(3):
         known, _ = networks.grown(known, p.where(F.col("batch") == batch))

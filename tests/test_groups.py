@@ -43,3 +43,29 @@ def test_centres_of_copies(copies, monkeypatch, group):
     groups = pairs.near_groups(copies, copies, 0.5, ["time"])
     assert groups.count() == 2 * (4 + 1) * (-(-COPIES // group)) ** 2
     assert "Broadcast" not in groups._jdf.queryExecution().executedPlan().toString()
+
+
+def test_segments_by_places(spark):
+    """Edges between the smallest rows of places give the same segments as edges between all rows, and far fewer."""
+    from gyrelake.operators import networks
+
+    rows = [(k * 100 + d, d, (d * (1 + k % 2) % 4) * 0.125, 0.25 * (k % 3) * (d % 2)) for k in range(12) for d in range(6)]
+    obs = spark.createDataFrame(rows, "obs_id long, time long, lon double, lat double").withColumn("track", F.lit(0))
+    plain = networks.time_edges(obs, 2, half=0.4)
+    want = networks.segmented(networks.grouped(obs, plain), plain)
+    members = networks.places(obs)
+    edges = networks.time_edges(obs.join(members.where("rep = obs_id").select("obs_id"), "obs_id", "left_semi"), 2, half=0.4)
+    have = networks.segmented(networks.grouped(obs, edges, members), edges, members=members)
+    assert sorted(map(str, have.collect())) == sorted(map(str, want.collect()))
+    assert edges.count() * 4 < plain.count()
+
+
+def test_place_edges_follow_rows(spark):
+    """A place of many tracks gives a link a track, not one a pair; what is connected is the same."""
+    from gyrelake.operators import networks
+    from gyrelake.plans.network import place_edges
+
+    rows = [(t, 1, 0.0, 0.0) for t in range(40)] + [(100 + t, 1, 0.5, 0.5) for t in range(40)] + [(300, 1, 9.0, 0.0), (301, 1, 9.0, 0.0), (400, 1, 20.0, 0.0)]
+    edges = place_edges(spark.createDataFrame(rows, "track long, time long, lon double, lat double"))
+    assert edges.count() == 39 + 39 + 1 + 1
+    assert {r["node"]: r["component"] for r in networks.components(edges).collect()} == {t: 0 for t in [*range(40), *range(100, 140)]} | {300: 300, 301: 300}
