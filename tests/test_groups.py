@@ -69,3 +69,23 @@ def test_place_edges_follow_rows(spark):
     edges = place_edges(spark.createDataFrame(rows, "track long, time long, lon double, lat double"))
     assert edges.count() == 39 + 39 + 1 + 1
     assert {r["node"]: r["component"] for r in networks.components(edges).collect()} == {t: 0 for t in [*range(40), *range(100, 140)]} | {300: 300, 301: 300}
+
+
+def test_holders_without_broadcast(spark, copies):
+    """Equal points and rings are joined once; small-looking sides are not sent to the driver."""
+    points = copies.select(F.col("obs_id").alias("pid"), "time", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    held = pairs.holder(points, copies.withColumn("ring", box_ring(0.5)).select("obs_id", "time", "ring"), on=["time"])
+    assert held.columns == ["pid", "time", "x", "y", "obs_id"]
+    rings = copies.collect()
+    holds = lambda r, p: r["time"] == p["time"] and -0.5 <= p["x"] - r["lon"] < 0.5 and -0.5 <= p["y"] - r["lat"] < 0.5
+    found = held.collect()
+    assert {p["pid"]: p["obs_id"] for p in found} == {p["pid"]: min(r["obs_id"] for r in rings if holds(r, p)) for p in found} and len(found) == len(rings)
+    assert "Broadcast" not in held._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_of_copies(spark):
+    at = [(0, 10.0, 1.0), (1, 10.0, 1.0), (2, 50.0, -3.0), (3, 50.0, -3.0), (4, None, 0.0)]
+    points = spark.createDataFrame(at, "pid long, lon double, lat double")
+    cells = spark.createDataFrame([(9, 10.5, 1.0), (8, 10.5, 1.0), (7, 50.0, -3.5), (6, 200.0, 0.0)], "cid long, lon double, lat double")
+    assert sorted((r["pid"], r["cid"]) for r in pairs.nearest(points, cells).collect()) == [(0, 8), (1, 8), (2, 7), (3, 7)]
+    assert pairs.nearest(points, cells.limit(0)).count() == 0
