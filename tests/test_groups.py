@@ -89,3 +89,15 @@ def test_nearest_of_copies(spark):
     cells = spark.createDataFrame([(9, 10.5, 1.0), (8, 10.5, 1.0), (7, 50.0, -3.5), (6, 200.0, 0.0)], "cid long, lon double, lat double")
     assert sorted((r["pid"], r["cid"]) for r in pairs.nearest(points, cells).collect()) == [(0, 8), (1, 8), (2, 7), (3, 7)]
     assert pairs.nearest(points, cells.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("copied", [1, 2, 7])
+def test_kinds_by_place(spark, copied):
+    """Counts by kind equal those of all pairs, with single pairs, parents, twins and copies among them."""
+    rows = [(k * 1000 + p * 10 + d, d, 0.25 * (p * p % 7) + 3 * (p // 4), 0.125 * (p % 3)) for k in range(copied) for p in range(9) for d in range(3)]
+    rows += [(90000 + d, d, lon, 0.0) for d in range(3) for lon in (30.0, 50.0)][::2] + [(95000 + d, d, 30.25, 0.1) for d in range(3)]
+    obs = spark.createDataFrame(rows, "obs_id long, time long, lon double, lat double").dropDuplicates(["obs_id"])
+    b = pairs.with_box(obs, 0.3)
+    every = pairs.box_pairs(b, b, 1.0, ["time"]).where("a_obs_id < b_obs_id").select(F.col("a_obs_id").alias("a"), F.col("b_obs_id").alias("b"), pairs.box_score().alias("score"))
+    want = {r["kind"]: r["n"] for r in pairs.match_kinds(every).groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert {r["kind"]: r["n"] for r in pairs.kind_counts(obs, 0.3).collect()} == want and len(want) > 1
