@@ -101,3 +101,11 @@ def test_kinds_by_place(spark, copied):
     every = pairs.box_pairs(b, b, 1.0, ["time"]).where("a_obs_id < b_obs_id").select(F.col("a_obs_id").alias("a"), F.col("b_obs_id").alias("b"), pairs.box_score().alias("score"))
     want = {r["kind"]: r["n"] for r in pairs.match_kinds(every).groupBy("kind").agg(F.count("*").alias("n")).collect()}
     assert {r["kind"]: r["n"] for r in pairs.kind_counts(obs, 0.3).collect()} == want and len(want) > 1
+
+
+def test_nearest_targets_of_copies(spark, copies):
+    """The best target of each row is that among all pairs; of a place one candidate a row is left, not one a pair."""
+    every = pairs.near_centres(copies, copies, 0.5, ["time"]).where("a_obs_id < b_obs_id")
+    every = every.select(F.col("a_obs_id").alias("a"), F.col("b_obs_id").alias("b"), F.abs(F.col("a_lon") - F.col("b_lon")).alias("cost"), F.col("b_amplitude").alias("amplitude"))
+    found = sorted(pairs.nearest_targets(copies, 0.5).select("a", "b", "cost", "amplitude").collect())
+    assert found == sorted(pairs.best_target(every).collect()) and found
