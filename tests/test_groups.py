@@ -1,5 +1,7 @@
 """Pairs, links and networks by groups of rows of equal boxes: the same results as row by row, and work by group."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +111,18 @@ def test_nearest_targets_of_copies(spark, copies):
     every = every.select(F.col("a_obs_id").alias("a"), F.col("b_obs_id").alias("b"), F.abs(F.col("a_lon") - F.col("b_lon")).alias("cost"), F.col("b_amplitude").alias("amplitude"))
     found = sorted(pairs.nearest_targets(copies, 0.5).select("a", "b", "cost", "amplitude").collect())
     assert found == sorted(pairs.best_target(every).collect()) and found
+
+
+@pytest.mark.parametrize("how", [{"delta": 0.5}, {"half": 0.4}, {"least": 0.2}])
+def test_time_edges_leave_columns_behind(copies, how):
+    """What an edge is not told by is not dealt to cells; the edges are those of all rows."""
+    from gyrelake.operators import networks
+
+    obs = copies.withColumn("ring", box_ring(0.4))
+    edges = networks.time_edges(obs, 1, **how)
+    dealt = re.findall(r"collect_list\(struct\(([^)]*)", edges._jdf.queryExecution().optimizedPlan().toString())
+    assert dealt and not any(c in part for part in dealt for c in ("amplitude", "track"))
+    near = lambda a, b: a["time"] + 1 == b["time"] and abs(a["lon"] - b["lon"]) <= 0.5 and abs(a["lat"] - b["lat"]) <= 0.5
+    same = lambda a, b: a["time"] + 1 == b["time"] and a["lon"] == b["lon"]
+    rows = copies.collect()
+    assert sorted((r["a"], r["b"], r["lag"]) for r in edges.collect()) == sorted((a["obs_id"], b["obs_id"], 1) for a in rows for b in rows if (near if "delta" in how else same)(a, b))
