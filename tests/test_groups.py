@@ -126,3 +126,19 @@ def test_time_edges_leave_columns_behind(copies, how):
     same = lambda a, b: a["time"] + 1 == b["time"] and a["lon"] == b["lon"]
     rows = copies.collect()
     assert sorted((r["a"], r["b"], r["lag"]) for r in edges.collect()) == sorted((a["obs_id"], b["obs_id"], 1) for a in rows for b in rows if (near if "delta" in how else same)(a, b))
+
+
+def test_rings_are_worked_out_once(spark):
+    """Ring expressions are not copied into the functions that go over their points; the results are those of plain loops."""
+    from gyrelake.functions import geo
+
+    rings = [[(0, 0), (2, 0), (2, 2), (0, 2), (0, 0)], [(0, 0), (2, 0), (1, 0.5), (0, 2), (0, 0)], [(0, 0), (0, 2), (2, 2), (2, 0), (0, 0)], [(0, 0), (1, 0), (2, 0), (2, 1), (0, 0)]]
+    df = spark.createDataFrame([(k, [(float(x), float(y)) for x, y in r]) for k, r in enumerate(rings)], "id long, r array<struct<x:double,y:double>>")
+    drawn = F.transform("r", lambda p: F.struct(F.sqrt(p.x * p.x).alias("x"), p.y.alias("y")))
+    point = F.sqrt(F.lit(1.21) + F.col("id") * 0)
+    for found in (geo.is_convex(drawn), geo.ring_area(drawn), geo.winding(drawn, F.lit(0.5), F.lit(0.4)), geo.winding(F.col("r"), point, F.lit(0.25))):
+        plan = df.select(found.alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("SQRT") == 1
+    out = df.select("id", geo.is_convex(drawn).alias("c"), geo.ring_area(drawn).alias("a"), geo.winding(drawn, F.lit(0.5), F.lit(0.4)).alias("w"), geo.winding(F.col("r"), point, F.lit(0.25)).alias("p")).orderBy("id").collect()
+    assert [tuple(r)[1:] for r in out] == [(True, 4.0, 1, 1), (False, 1.5, 1, 1), (True, 4.0, -1, -1), (True, 1.0, 0, 1)]
+    assert df.select(geo.is_convex(F.lit(None).cast("array<struct<x:double,y:double>>")).alias("c")).where("c is not null").isEmpty()
