@@ -43,7 +43,10 @@ def _cuts(edges: DataFrame, group: str, size: float) -> DataFrame:
     box = ("x0", "x1", "y0", "y1")
     a = _cells(edges, size, *[F.col(c) for c in box])
     b = a.select(group, "_i", "_j", F.col("rid").alias("_rid"), *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
-    both = a.join(b, [group, "_i", "_j"]).where("rid <> _rid")
+    both = a.join(b.hint("merge"), [group, "_i", "_j"]).where("rid <> _rid")
+    # a pair that shares several cells is taken in the first
+    first = lambda c: F.floor((F.greatest(F.least(f"{c}0", f"{c}1"), F.least(f"_{c}0", f"_{c}1")) - BESIDE) / size)
+    both = both.where((F.col("_i") == first("x")) & (F.col("_j") == first("y")))
     dx, dy, ex, ey = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")
     ox, oy = F.col("_x0") - F.col("x0"), F.col("_y0") - F.col("y0")
     cross, own = dx * ey - dy * ex, dx * dx + dy * dy
@@ -66,15 +69,16 @@ def outline(rings: DataFrame, group: str = "track", size: float = 1.0) -> DataFr
     piece = cut.withColumn("p", F.explode(F.arrays_zip(F.slice("ts", 1, n).alias("s"), F.slice("ts", 2, n).alias("t")))).withColumns({"s": F.col("p")["s"], "t": F.col("p")["t"]})
     ends = {f"{c}{k}": F.round(at(F.col(p), f"{c}0", f"{c}1"), DIGITS) for c in "xy" for k, p in ((0, "s"), (1, "t"))}
     one = piece.select(group, *[v.alias(c) for c, v in ends.items()]).where("x0 <> x1 or y0 <> y1").distinct()
-    one = written(one.withColumn("pid", F.monotonically_increasing_id()))
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     length = F.hypot(dx, dy)
-    side = one.select(group, "pid", ((F.col("x0") + F.col("x1")) / 2 + dy / length * BESIDE).alias("x"), ((F.col("y0") + F.col("y1")) / 2 - dx / length * BESIDE).alias("y"))
-    side = side.withColumns({"_i": F.floor(F.col("x") / size), "_j": F.floor(F.col("y") / size)})
+    x, y = (F.col("x0") + F.col("x1")) / 2 + dy / length * BESIDE, (F.col("y0") + F.col("y1")) / 2 - dx / length * BESIDE
     edge = lambda pick, c: pick(F.transform("ring", lambda p: p[c]))
-    covered = _cells(rings.select(group, "ring"), size, edge(F.array_min, "x"), edge(F.array_max, "x"), edge(F.array_min, "y"), edge(F.array_max, "y"))
-    inner = side.join(covered, [group, "_i", "_j"]).where(winding(F.col("ring"), F.col("x"), F.col("y")) != 0).select("pid").distinct()
-    return one.join(inner, "pid", "left_anti").select(group, "x0", "y0", "x1", "y1")
+    boxed = rings.select(F.col(group).alias("_g"), "ring", *[edge(pick, c).alias(f"_{c}{k}") for c in "xy" for k, pick in ((0, F.array_min), (1, F.array_max))])
+    covered = _cells(boxed, size, *[F.col(c) for c in ("_x0", "_x1", "_y0", "_y1")])
+    # a ring's box is asked before the ring, and a piece that one ring holds asks no other
+    cell = (F.col(group) == F.col("_g")) & (F.floor(x / size) == F.col("_i")) & (F.floor(y / size) == F.col("_j"))
+    inner = cell & x.between(F.col("_x0"), F.col("_x1")) & y.between(F.col("_y0"), F.col("_y1")) & (winding(F.col("ring"), x, y) != 0)
+    return one.join(covered.hint("merge"), inner, "left_anti").select(group, "x0", "y0", "x1", "y1")
 
 
 def areas(pieces: DataFrame, group: str = "track") -> DataFrame:

@@ -142,3 +142,20 @@ def test_rings_are_worked_out_once(spark):
     out = df.select("id", geo.is_convex(drawn).alias("c"), geo.ring_area(drawn).alias("a"), geo.winding(drawn, F.lit(0.5), F.lit(0.4)).alias("w"), geo.winding(F.col("r"), point, F.lit(0.25)).alias("p")).orderBy("id").collect()
     assert [tuple(r)[1:] for r in out] == [(True, 4.0, 1, 1), (False, 1.5, 1, 1), (True, 4.0, -1, -1), (True, 1.0, 0, 1)]
     assert df.select(geo.is_convex(F.lit(None).cast("array<struct<x:double,y:double>>")).alias("c")).where("c is not null").isEmpty()
+
+
+def test_outlines_ask_boxes_first(spark):
+    """A piece of a union is compared with boxes before rings, and dropped by one join, with no list of pieces and rings that meet."""
+    from gyrelake.operators import outlines
+
+    rows = [(t, k, 0.25 * k, 0.125 * (k % 3)) for t in range(2) for k in range(6)]
+    rings = spark.createDataFrame(rows, "track long, rid long, lon double, lat double").select("track", "rid", box_ring(0.5).alias("ring"))
+    pieces = outlines.outline(rings)
+    plan = pieces._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line and "Inner" in line]
+    assert plan.count("LeftAnti") == 1 and len(joins) == 1  # the one inner join is that of edges that cut each other
+    anti = next(line for line in plan.splitlines() if "LeftAnti" in line)
+    assert anti.index("_x0") < anti.index("zip_with")
+    cells = {(t, i, j) for t, _, lon, lat in rows for i in range(int((lon - 0.5) * 16), int((lon + 0.5) * 16)) for j in range(int((lat - 0.5) * 16), int((lat + 0.5) * 16))}
+    found = {r["track"]: r["area"] for r in outlines.areas(pieces).collect()}
+    assert found == pytest.approx({t: sum(c[0] == t for c in cells) / 256 for t in range(2)})
