@@ -159,3 +159,35 @@ def test_outlines_ask_boxes_first(spark):
     cells = {(t, i, j) for t, _, lon, lat in rows for i in range(int((lon - 0.5) * 16), int((lon + 0.5) * 16)) for j in range(int((lat - 0.5) * 16), int((lat + 0.5) * 16))}
     found = {r["track"]: r["area"] for r in outlines.areas(pieces).collect()}
     assert found == pytest.approx({t: sum(c[0] == t for c in cells) / 256 for t in range(2)})
+
+
+@pytest.mark.parametrize("forward", [True, False])
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_reached_reads_its_table_once(spark, monkeypatch, forward, few):
+    """Links along and against time, between segments and networks: what a plain walk reaches, and each row is read once."""
+    import numpy as np
+    from gyrelake.operators import networks
+
+    monkeypatch.setattr(networks, "FEW", few, raising=False)
+    rng = np.random.default_rng(5)
+    rows = [(k, int(k // 40), int(k // 8) % 5, int(k % 8), *[int(v) if v < 120 else None for v in rng.integers(0, 260, 2)]) for k in range(120)]
+    schema = "obs_id long, track long, segment long, time long, next_id long, prev_id long"
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    net = spark.createDataFrame(rows, schema)
+    found = sorted(r["obs_id"] for r in networks.reached(net.mapInPandas(counted, schema), net.where("obs_id in (3, 77)"), forward).collect())
+    todo, want = [3, 77], {3, 77}
+    while todo:
+        _, track, segment, time, after, before = rows[todo.pop()]
+        goes = [r[0] for r in rows if r[1:3] == (track, segment) and (r[3] >= time if forward else r[3] <= time)]
+        link = after if forward else before
+        new = {*goes, *([] if link is None else [link])} - want
+        want |= new
+        todo += new
+    assert found == sorted(want) and len(want) > 20
+    assert read.value == len(rows)
