@@ -191,3 +191,35 @@ def test_reached_reads_its_table_once(spark, monkeypatch, forward, few):
         todo += new
     assert found == sorted(want) and len(want) > 20
     assert read.value == len(rows)
+
+
+def test_meshes_by_batch(spark):
+    """Mesh points of rings of many sizes, empty ones and missing points among them, are those of one ring after another; points
+    outside are never rows, and a mesh is met in parts."""
+    import numpy as np
+    from gyrelake.functions import kernels
+
+    rng = np.random.default_rng(3)
+    rings = []
+    for k in range(12):
+        n = int(rng.integers(3, 9))
+        angle, r = np.linspace(0, 2 * np.pi, n, endpoint=False), rng.uniform(0.2, 1.5)
+        x, y = rng.uniform(-3, 3) + r * np.cos(angle), rng.uniform(-3, 3) + r * np.sin(angle)
+        rings.append((k, [(float(a), float(b)) for a, b in zip([*x, x[0]], [*y, y[0]], strict=True)][:: -1 if k % 2 else 1]))
+    rings += [(20, []), (21, None), (22, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]), (23, [(None, None)] * 4), (24, [(0.0, 0.0)] * 3)]
+    df = spark.createDataFrame(rings, "obs_id long, ring array<struct<x:double,y:double>>")
+    want = set()
+    for k, ring in rings:
+        if ring and ring[0][0] is not None:
+            x, y = (np.array(v) for v in zip(*ring, strict=True))
+            mesh = [(i * 0.25, j * 0.25) for i in range(-20, 21) for j in range(-20, 21)]
+            want |= {(k, *p) for p, held in zip(mesh, kernels.inside(*np.array(mesh).T, x, y), strict=True) if held}
+    made = pairs.seeds(df, 0.25)
+    found = [tuple(r) for r in made.collect()]
+    assert set(found) == want and len(found) == len(want) > 100
+    assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    x, y = (np.concatenate([[p[c] for p in r] for _, r in rings[:12]]) for c in (0, 1))
+    for most in (7, 1 << 18):
+        parts = list(kernels.mesh_inside(x, y, np.cumsum([0, *[len(r) for _, r in rings[:12]]]), 0.25, most))
+        assert {(int(k), a, b) for ks, xs, ys in parts for k, a, b in zip(ks, xs, ys, strict=True)} == {w for w in want if w[0] < 12}
+        assert (len(parts) > 12) == (most == 7)
