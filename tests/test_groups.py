@@ -223,3 +223,21 @@ def test_meshes_by_batch(spark):
         parts = list(kernels.mesh_inside(x, y, np.cumsum([0, *[len(r) for _, r in rings[:12]]]), 0.25, most))
         assert {(int(k), a, b) for ks, xs, ys in parts for k, a, b in zip(ks, xs, ys, strict=True)} == {w for w in want if w[0] < 12}
         assert (len(parts) > 12) == (most == 7)
+
+
+def test_aligned_counts_equal_the_pairs(spark):
+    a = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, 2.9), (4, 7.0), (5, 30.0)], "obs_id long, time double")
+    b = spark.createDataFrame([(6, 0.5), (7, 2.0), (8, 8.0), (9, 50.0)], "obs_id long, time double")
+    for all_left in (False, True):
+        want = {r["bin"]: r["n"] for r in pairs.aligned(a, b, "time", 3, all_left).groupBy("bin").agg(F.count("b_obs_id").alias("n")).collect()}
+        assert {r["bin"]: r["n"] for r in pairs.aligned_counts(a, b, "time", 3, all_left).collect()} == want
+
+
+def test_ways_over_land_are_walked_once_for_groups(spark):
+    at = spark.createDataFrame([(k, 1, float(k % 3), 0.0) for k in range(30)], "obs_id long, time int, lon double, lat double")
+    land = spark.createDataFrame([(1, 0, 1)], "i int, j int, mask int")
+    groups = pairs.near_groups(at, at, 2.0, ["time"])
+    kept = pairs.crossing_land(groups, land, 0.0, 0.0, 1.0)
+    assert kept.count() == 2  # of nine pairs of places, those that stay at 0 or 2
+    rows = pairs.crossing_land(pairs.near_centres(at, at, 2.0, ["time"]), land, 0.0, 0.0, 1.0).select("a_obs_id", "b_obs_id").collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, pairs.expanded(kept).select("a_obs_id", "b_obs_id").collect())) and len(rows) == 200
